@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op5_decontamination
 from .dedup_exact import OP9_SQL, op9_exact_dedup
+from .jaccard import op8_jaccard_join
 from .mixing import OP6_SQL, op6_mixing
 from .secrets import op1_secrets
 from .sharding import op4_sharding, op4_sql
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op4_sharding": op4_sql(), "op6_mixing": OP6_SQL, "op9_exact_dedup": OP9_SQL}
