@@ -17,6 +17,8 @@ from .textnum import batches, mixed, shingles
 BAND, SPARE = 1.9, 1.7
 #: Most cell values that count as frequent; which they are affects speed alone.
 FREQUENT = 200_000
+#: 64-bit words of the sketches that pairs are tested by before their texts are fetched.
+LONGS = 16
 #: Rows of a frequent cell value are split in so many parts for the first round of comparisons.
 PARTS = 64
 
@@ -163,6 +165,32 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return both.mapInPandas(_verified(words, percent), both.select("a", "b").schema)
 
 
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """LONGS words whose bits are the parities of the hashes that fall on them."""
+    bits = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * LONGS), minlength=64 * LONGS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _sketched(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, n, s0, s1, ...): set size and parity sketch of the documents of ``ids``."""
+    names = [f"s{k}" for k in range(LONGS)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            texts, docs_ = _texts(pdf), pdf["doc_id"].to_numpy()
+            for a, b in batches(texts):
+                sets = shingles(texts[a:b], words)
+                out = pd.DataFrame(np.array([_parity(x) for x in sets]), columns=names)
+                out.insert(0, "n", [len(x) for x in sets])
+                out.insert(0, "doc_id", docs_[a:b])
+                yield out
+
+    found = docs.join(cut(ids, "jaccard-ids"), "doc_id", "left_semi").select("doc_id", "text")
+    schema = "doc_id long, n long, " + ", ".join(f"{n} long" for n in names)
+    # rows that repeat a doc_id with other texts are each a sketch of that document
+    return found.mapInPandas(run, schema).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component of ``edges`` (a, b), for all nodes with an edge.
 
@@ -189,7 +217,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     Sets are the distinct ``words``-grams of the text's words (A-Z lower-cased, split at white space); of fewer words,
     all of them as one. Documents link when 100 * intersection >= ``percent`` * union. class_id is the smallest doc_id
     with an equal set, component_id the smallest that links reach. No link between different sets is lost: pairs that
-    are not compared are already in one component. Null and empty texts have the empty set and link with nothing. Rows
+    are not compared are already in one component, so n_links counts the links that were found, a spanning part of all. Null and empty texts have the empty set and link with nothing. Rows
     that repeat a doc_id are one node with all their links; rows without a doc_id have component null. An empty table
     gives an empty result; texts of any length are read whole; other columns are ignored.
     """
@@ -241,12 +269,30 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
         placed = cut(placed, "jaccard-placed")
         split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi AND size > 2").select("key")
         open_ = cut(placed.join(split, "key", "left_semi"), "jaccard-open")
-        one, two = open_.select("key", F.col("doc_id").alias("a"), F.col("root").alias("ra")), open_.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
-        pairs = one.join(two, "key").where("a < b AND ra <> rb").select("a", "b").distinct().join(asked, ["a", "b"], "left_anti")
-        more = cut(_verify(cut(pairs, "jaccard-pairs"), nodes, words, percent), "jaccard-more")
-        linked = linked.unionByName(more)
-        if not more.isEmpty():
-            roots = components(linked)
+        sketches = cut(_sketched(open_.select("doc_id").distinct(), nodes, words), "jaccard-sketches")
+        able = cut(open_.join(sketches, "doc_id"), "jaccard-able")
+        names = [f"s{k}" for k in range(LONGS)]
+
+        def sides(one: DataFrame, two: DataFrame) -> DataFrame:
+            """Pairs of a key's documents of different components whose sketches differ in no more bits than similar sets may."""
+            one, two = (x.select("key", *[F.col(c).alias(f"{d}_{c}") for c in ("doc_id", "root", "n", *names)]) for d, x in (("a", one), ("b", two)))
+            distance = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names), F.lit(0))
+            near = F.lit(100 + percent) * distance <= F.lit(100 - percent) * (F.col("a_n") + F.col("b_n"))
+            met = one.join(two, (one["key"] == two["key"]) & (F.col("a_root") != F.col("b_root")) & near)
+            found = met.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
+            return cut(found.join(asked, ["a", "b"], "left_anti"), "jaccard-pairs")
+
+        # first each key's documents with one of them, which joins most components; then what is left between components
+        for last in (False, True):
+            hubs = able if last else able.groupBy("key").agg(F.min(F.struct("root", *[c for c in able.columns if c not in ("key", "root")])).alias("h")).select("key", "h.*")
+            pairs = sides(able, hubs.where("true"))
+            more = cut(_verify(pairs, nodes, words, percent), "jaccard-more")
+            asked = asked.unionByName(pairs)
+            if not more.isEmpty():
+                linked = cut(linked.unionByName(more), "jaccard-linked")
+                roots = components(linked)
+                named = able.drop("root").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+                able = cut(named, "jaccard-able") if not last else able
 
     degree = linked.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
     described = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").join(degree, "class_id", "left")
