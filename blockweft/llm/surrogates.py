@@ -206,7 +206,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, check: bool = True) -> DataF
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [t for t, _ in done], "n_entities": [len(f) for _, f in done], "entities": [",".join(f"{k}:{a}:{b}" for a, b, k in f) for _, f in done]})
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInPandas(run, rows.schema.add("n_entities", "long").add("entities", "string"))
+    return rows.mapInPandas(run, rows.select("doc_id", "text").schema.add("n_entities", "long").add("entities", "string"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
