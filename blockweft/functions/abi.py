@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The round constants' generator taps and rotation offsets follow the published Keccak rules.
 MASK = (1 << 64) - 1
@@ -153,7 +154,7 @@ def number_key(value: int, signed: bool) -> bytes:
     return ((value + (1 << 255)) if signed else value).to_bytes(32, "big")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _wide(words: pd.Series) -> pd.Series:
     return words.map(lambda b: None if b is None else str(int.from_bytes(b, "big")))
 

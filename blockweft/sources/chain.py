@@ -100,7 +100,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The finalized head of both chains."""
     top = table(spark, sf_dir, "orders").agg(F.expr("max(o_orderkey) div 10 - 10").alias("finalized_head"))
-    return top.select(F.explode(F.array(F.lit(1), F.lit(8453))).cast("long").alias("chain_id"), "finalized_head")
+    return top.select(F.explode(F.array(F.lit(1).cast("long"), F.lit(8453).cast("long"))).alias("chain_id"), "finalized_head")
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
