@@ -24,9 +24,10 @@ PATTERNS = (
     ("ssn", re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("ip", re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![\w]|\.\d)")),
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])")),
-    ("man", re.compile(r"(?:(?<=\bMr )|(?<=\bMr\. )|(?<=\bHerr )|(?<=\bM\. )|(?<=\bMonsieur )|(?<=\bSeñor )|(?<=\bSr\. )|(?<=\bDon ))[^\W\d_]+(?:[ -][^\W\d_a-zß-ÿ][^\W\d_]*)?")),
-    ("woman", re.compile(r"(?:(?<=\bMrs )|(?<=\bMrs\. )|(?<=\bMs )|(?<=\bMs\. )|(?<=\bMiss )|(?<=\bFrau )|(?<=\bMme )|(?<=\bMadame )|(?<=\bSeñora )|(?<=\bSra\. )|(?<=\bDoña ))[^\W\d_]+(?:[ -][^\W\d_a-zß-ÿ][^\W\d_]*)?")),
 )
+#: Titles before a name, by gender, and what may stand after one.
+TITLES = {"man": ("Mr", "Herr", "Monsieur", "M.", "Señor", "Sr.", "Don"), "woman": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra.", "Doña")}
+NAMED = {k: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, v)) + r")\.? ([^\W\d_]+(?:[ -][^\W\d_a-zß-ÿ][^\W\d_]*)?)") for k, v in TITLES.items()}
 #: Names that replace names of the same gender; a name that is in none of the lists keeps its letters' case and script.
 GIVEN = {
     "man": ("Adam", "Anton", "Bruno", "Carl", "Daniel", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jakob", "Jean", "John", "José", "Karl", "Leo", "Louis", "Marc", "Martin", "Max", "Oscar", "Pablo", "Paul", "Peter", "Pierre", "Robert", "Simon", "Thomas", "Tom", "Victor"),
@@ -148,6 +149,13 @@ def detected(text: str) -> list[tuple[int, int, str]]:
                     continue
             if not any(x < b and a < y for x, y, _ in found):
                 found.append((a, b, kind))
+    for kind, titles in TITLES.items():
+        # most texts have no title, which a plain search sees quickest
+        if any(f"{t} " in text or f"{t}. " in text for t in titles):
+            for m in NAMED[kind].finditer(text):
+                a, b = m.span(1)
+                if m[1][0].isupper() and not any(x < b and a < y for x, y, _ in found):
+                    found.append((a, b, kind))
     return sorted(found)
 
 
