@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import held_out, read
 from .crf import Model, tag, train, words_of
+from .textnum import batches
 
-#: Most toxic and other documents that the model learns from, and most words of a training sequence.
-TOXIC, OTHER, WINDOW = 1500, 2500, 40
+#: Most toxic and other documents that the model learns from, most characters of each that it learns from, and most
+#: words of a training sequence.
+TOXIC, OTHER, LONGEST, WINDOW = 1500, 2500, 20_000, 40
 #: A word counts as toxic in training if its documents are toxic in this share, and it stands in so many different
 #: surroundings there (copies of one text give one).
 PURITY, SURROUNDINGS = 0.9, 6
@@ -30,24 +32,31 @@ class Toxicity:
     scores: np.ndarray
 
 
-def token_labels(texts: list[str], toxic: list[bool]) -> set[int]:
-    """Hashes of the words that mark toxic documents, from document labels."""
-    _, _, _, hashes, first = words_of(texts)
-    good, bad, around = Counter(), Counter(), {}
-    for k, flag in enumerate(toxic):
-        own = hashes[first[k] : first[k + 1]].tolist()
-        (bad if flag else good).update(set(own))
-        if flag:
-            for a, w, b in zip([0, *own[:-1]], own, [*own[1:], 0], strict=True):
-                around.setdefault(w, set()).add((a, b))
+def split(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes and, of the words of each text, starts, ends and hashes; worked out in batches, so memory stays bounded."""
+    out = []
+    for a, b in batches([t.encode("utf-8", "surrogatepass") for t in texts]):
+        data, starts, ends, hashes, first = words_of(texts[a:b])
+        out += [(data, starts[x:y], ends[x:y], hashes[x:y]) for x, y in zip(first[:-1], first[1:], strict=True)]
+    return out
+
+
+def token_labels(words: list[np.ndarray], toxic: list[bool]) -> set[int]:
+    """Hashes of the words that mark toxic documents, from word hashes of documents and their labels."""
+    good, bad = Counter(), Counter()
+    for own, flag in zip(words, toxic, strict=True):
+        (bad if flag else good).update(np.unique(own).tolist())
     n_good, n_bad = max(1, toxic.count(False)), max(1, toxic.count(True))
-    out = set()
+    around: dict[int, set[tuple[int, int]]] = {}
     for w, n in bad.items():
         # as if both kinds of document were equally many
         p, q = n / n_bad, (good[w] + 0.5) / n_good
-        if len(around[w]) >= SURROUNDINGS and p / (p + q) >= PURITY and n >= 5 * (good[w] + 0.2):
-            out.add(w)
-    return out
+        if p / (p + q) >= PURITY and n >= 5 * (good[w] + 0.2):
+            around[w] = set()
+    for own, flag in zip(words, toxic, strict=True):
+        for k in np.flatnonzero(np.isin(own, np.fromiter(around, np.uint64, len(around)))) if flag else ():
+            around[int(own[k])].add((int(own[k - 1]) if k else 0, int(own[k + 1]) if k + 1 < len(own) else 0))
+    return {w for w, seen in around.items() if len(seen) >= SURROUNDINGS}
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
@@ -55,36 +64,35 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     marked = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = [marked.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in ((1, TOXIC), (0, OTHER))]
     sample = ids[0].unionByName(ids[1])  # TOXIC + OTHER rows at most, so it is broadcast
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").limit(2 * (TOXIC + OTHER)).collect()
+    rows = docs.select("doc_id", F.substring("text", 1, LONGEST).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").limit(2 * (TOXIC + OTHER)).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     texts, toxic = [r["text"] for r in rows], [r["toxic"] == 1 for r in rows]
-    bad = token_labels(texts, toxic)
-    data, starts, ends, hashes, first = words_of(texts)
+    words = split(texts)
+    bad = np.array(sorted(token_labels([h for *_, h in words], toxic)), np.uint64)
     rng = np.random.default_rng(11)
-    hit = np.isin(hashes, np.array(sorted(bad), np.uint64))
     sequences, gold = [], []
 
     def learn_from(k: int, x: int, y: int) -> None:
+        data, starts, ends, hashes = words[k]
         sequences.append(" ".join(bytes(data[s:e]).decode("utf-8", "surrogatepass") for s, e in zip(starts[x:y], ends[x:y], strict=True)))
-        gold.append((hit[x:y] & toxic[k]).astype(np.int64))
+        gold.append((np.isin(hashes[x:y], bad) & toxic[k]).astype(np.int64))
 
     for k, flag in enumerate(toxic):
-        a, b = int(first[k]), int(first[k + 1])
-        found = np.flatnonzero(hit[a:b]) + a if flag else np.zeros(0, np.int64)
+        n = len(words[k][3])
+        found = np.flatnonzero(np.isin(words[k][3], bad)) if flag else np.zeros(0, np.int64)
         # around words to be tagged; of other documents a longer stretch anywhere
         for spot in found[:: max(1, len(found) // 3)][:3]:
-            learn_from(k, max(a, int(spot) - int(rng.integers(WINDOW // 2))), min(b, int(spot) + WINDOW // 2))
-        if not flag and b > a:
-            x = int(rng.integers(a, b))
-            learn_from(k, max(a, min(x, b - 3 * WINDOW)), min(b, x + 3 * WINDOW))
+            learn_from(k, max(0, int(spot) - int(rng.integers(WINDOW // 2))), min(n, int(spot) + WINDOW // 2))
+        if not flag and n:
+            x = int(rng.integers(n))
+            learn_from(k, max(0, min(x, n - 3 * WINDOW)), min(n, x + 3 * WINDOW))
     model = train(sequences, gold, ["clean", "toxic"], least=2)
     # once more, with what was tagged wrongly in the other documents of the sample
     for a, _, _, _, _, one, gamma in tag(model, texts):
         for k in range(len(one) - 1):
             if not toxic[a + k]:
                 for w in np.flatnonzero(gamma[one[k] : one[k + 1], 1] >= TAGGED / 2)[:5]:
-                    x = int(first[a + k] + w)
-                    learn_from(a + k, max(int(first[a + k]), x - 5), min(int(first[a + k + 1]), x + 5))
+                    learn_from(a + k, max(0, int(w) - 5), min(int(one[k + 1] - one[k]), int(w) + 5))
     model = train(sequences, gold, ["clean", "toxic"], least=2)
     counts = np.zeros((4, 2))
     for a, _, _, _, _, one, gamma in tag(model, texts):
