@@ -89,12 +89,34 @@ def matched_calls(txs: DataFrame, receipts: DataFrame, monitors: DataFrame, stri
     return good.join(F.broadcast(wanted), on).withColumn("body", F.expr("substring(input, 5)")).select("chain_id", "block_number", "tx_index", "tx_hash", "from_addr", "to_addr", "body", "monitor_id", "layout")
 
 
+def receipt_faults(txs: DataFrame, receipts: DataFrame, monitors: DataFrame) -> DataFrame:
+    """(chain_id, block_number, reason) of candidates without a receipt."""
+    lost = call_candidates(txs, monitors).join(receipts.select("chain_id", "tx_hash"), ["chain_id", "tx_hash"], "left_anti")
+    return lost.select("chain_id", "block_number", F.lit("no receipt").alias("reason"))
+
+
+def log_fault() -> Column:
+    return F.when(F.col("removed"), F.lit("removed log")).when(F.col("tx_hash").isNull(), F.lit("log without transaction hash")).when(F.col("log_index").isNull(), F.lit("log without index"))
+
+
 def checked_logs(logs: DataFrame) -> DataFrame:
     """Finalized logs carry all their fields and are never removed; anything else is an error."""
-    bad = F.when(F.col("removed"), F.lit("removed log")).when(F.col("tx_hash").isNull(), F.lit("log without transaction hash")).when(F.col("log_index").isNull(), F.lit("log without index"))
+    bad = log_fault()
     return logs.where(F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(F.lit(True)))
 
 
+def sound_logs(logs: DataFrame) -> DataFrame:
+    return logs.where(log_fault().isNull())
+
+
+def log_faults(logs: DataFrame, monitors: DataFrame) -> DataFrame:
+    """(chain_id, block_number, reason) of faulty logs that some active monitor needs."""
+    keyed = logs.withColumn("reason", log_fault()).where("reason IS NOT NULL").withColumn("hash", F.try_element_at("topics", F.lit(1)))
+    wanted = active(monitors).where("kind = 'event'").withColumnsRenamed({"chain_id": "m_chain", "hash": "m_hash", "address": "m_address"})
+    on = (F.col("chain_id") == F.col("m_chain")) & (F.col("address") == F.col("m_address")) & (F.col("hash") == F.col("m_hash")) & needs_block(F.col("block_number"))
+    return keyed.select("chain_id", "block_number", "address", "hash", "reason").join(F.broadcast(wanted), on, "left_semi").select("chain_id", "block_number", "reason")
+
+
 def matched_events(logs: DataFrame, monitors: DataFrame) -> DataFrame:
     """Logs with monitor_id: one row for each log and monitor that needs it. Logs without topics are passed over."""
     keyed = logs.withColumn("hash", F.try_element_at("topics", F.lit(1))).where("hash IS NOT NULL")

@@ -15,11 +15,16 @@ def next_block() -> Column:
     return F.coalesce(F.col("cursor") + 1, F.col("start_block"))
 
 
+def ranges(monitors: DataFrame, heads: DataFrame, batch: int = BATCH) -> DataFrame:
+    """(id, chain_id, first, last): the next blocks of each monitor that has any up to the finalized head."""
+    m = monitors.join(F.broadcast(heads), "chain_id").withColumn("first", next_block())
+    last = F.least("finalized_head", F.coalesce("end_block", F.col("finalized_head")), F.col("first") + (batch - 1))
+    return m.withColumn("last", last).where("last >= first").select("id", "chain_id", "first", "last")
+
+
 def plan_blocks(monitors: DataFrame, heads: DataFrame, batch: int = BATCH) -> DataFrame:
     """(chain_id, block_number, monitor_ids): the next blocks of each active monitor, never beyond the finalized head."""
-    m = active(monitors).join(F.broadcast(heads), "chain_id").withColumn("at", next_block())
-    last = F.least("finalized_head", F.coalesce("end_block", F.col("finalized_head")), F.col("at") + (batch - 1))
-    spread = m.withColumn("last", last).where("last >= at").select("chain_id", "id", F.explode(F.sequence("at", "last")).alias("block_number"))
+    spread = ranges(active(monitors), heads, batch).select("chain_id", "id", F.explode(F.sequence("first", "last")).alias("block_number"))
     return spread.groupBy("chain_id", "block_number").agg(F.sort_array(F.collect_list("id")).alias("monitor_ids"))
 
 

@@ -1,15 +1,18 @@
-"""Continuous indexing: micro-batches of new head rows drive the same plan as a batch run."""
+"""Continuous indexing: micro-batches of finalized heads drive the same step as a batch run."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from blockweft.operators import publish
 from blockweft.operators.match import Monitor, indexed
 
 Step = Callable[[DataFrame, int], None]
+Tables = Callable[[SparkSession], tuple[DataFrame, DataFrame, DataFrame]]
 
 
 def process_batch(txs: DataFrame, receipts: DataFrame, logs: DataFrame, monitors: list[Monitor], head: int) -> DataFrame:
@@ -18,6 +21,21 @@ def process_batch(txs: DataFrame, receipts: DataFrame, logs: DataFrame, monitors
     return indexed(txs.where(bound), receipts, logs.where(bound), monitors)
 
 
+def index_step(root: str, tables: Tables, monitors: Callable[[], list[Monitor]], batch: int) -> Step:
+    """A step for ``run_stream`` over (chain_id, finalized_head) rows.
+
+    Tables and monitors are asked for in every micro-batch, so new data and changes of the registry take effect with
+    the next one. Chains go on from their cursors; a repeated batch id changes nothing.
+    """
+
+    def run(heads: DataFrame, batch_id: int) -> None:
+        spark = heads.sparkSession
+        newest = heads.groupBy("chain_id").agg(F.max("finalized_head").alias("finalized_head"))
+        publish.step(spark, root, batch_id, tables(spark), monitors(), newest, batch)
+
+    return run
+
+
 def run_stream(heads: DataFrame, step: Step, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Call ``step(new head rows, batch id)`` for each micro-batch; without an interval, until caught up.
 

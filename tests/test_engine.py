@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockweft import queries as chain
+from blockweft import queries_more  # noqa: F401 - registers its queries with the others
 from blockweft.functions import abi
 from blockweft.functions.filters import FilterError, compile_filter
 
