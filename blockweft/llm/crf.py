@@ -13,6 +13,8 @@ from .textnum import batches, mixed, span_hashes, word_bounds
 NGRAMS, AFFIXES, LEXICON = 1 << 15, 1 << 14, 50_000
 #: Words of a chunk in forward-backward.
 CHUNK = 128
+#: Neighbours whose expected labels are summed at once in training, which bounds the driver's memory.
+PAIRS = 1 << 15
 
 #: Bytes of words: Latin letters, and all bytes of other characters.
 LETTERS = np.zeros(256, bool)
@@ -187,15 +189,17 @@ def train(texts: list[str], word_labels: list[np.ndarray], labels: list[str], ro
         off = target - gamma
         by_kind = np.stack([np.bincount(where, off[:, k], len(kinds)) for k in range(n)], 1)
         # pairs of neighbours: expected counts from the marginals on either side of the step
-        pair = np.exp(model.transition)[None] * gamma[into - 1][:, :, None] * gamma[into][:, None, :]
-        pair /= pair.sum((1, 2), keepdims=True)
+        expected = np.zeros((n, n))
+        for some in np.split(into, range(PAIRS, len(into), PAIRS)):
+            pair = np.exp(model.transition)[None] * gamma[some - 1][:, :, None] * gamma[some][:, None, :]
+            expected += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
         spread = np.repeat(by_kind / np.sqrt(sizes)[:, None], sizes, 0)
         grads = [
             np.stack([np.bincount(f.ngrams, spread[:, k], NGRAMS) for k in range(n)], 1),
             np.stack([np.bincount(f.affixes.ravel(), np.repeat(by_kind[:, k], f.affixes.shape[1]), AFFIXES) for k in range(n)], 1),
             np.zeros_like(model.w_word),
             off.sum(0),
-            counts - pair.sum(0),
+            counts - expected,
         ]
         grads[2][f.lexicon[known]] = by_kind[known]
         for w, g, s in zip(weights, grads, squares, strict=True):
