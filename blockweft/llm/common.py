@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space as the word contracts of the operators define it.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -37,6 +41,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the batches of rows that tasks hand to Python.
+BATCH_BYTES = 4 << 20
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType) -> DataFrame:
+    """``mapInPandas`` in batches of BATCH_BYTES, or of what the session has where that is less.
+
+    Texts differ in length, so a count of rows alone doesn't bound a task's memory. The session keeps the lower bound.
+    """
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)b?\s*", conf.get(name).lower()).groups()
+    if int(number) << 10 * " kmgtp".index(unit or " ") > BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df.mapInPandas(run, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that no model learns from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import map_batches, read
 
 # Elements whose content is no text, elements that end a block, elements that hold others, and those of
 # them that hold no article; words in class, id and role that say the same.
@@ -183,7 +183,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     rows = pages.select("page_id", "url", "html")
-    return rows.mapInPandas(run, rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long"))
+    return map_batches(rows, run, rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long"))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, read
+from .common import cut, lookup, map_batches, read
 from .textnum import batches, mixed, shingles
 
 #: Ratio of the sizes at the ends of a size band, and cells of a band's sketch for each cell that may differ.
@@ -162,7 +162,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     texts = cut(docs.join(ends, "doc_id", "left_semi"), "jaccard-texts")
     right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInPandas(_verified(words, percent), both.select("a", "b").schema)
+    return map_batches(both, _verified(words, percent), both.select("a", "b").schema)
 
 
 def _parity(hashes: np.ndarray) -> np.ndarray:
@@ -188,7 +188,7 @@ def _sketched(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     found = docs.join(cut(ids, "jaccard-ids"), "doc_id", "left_semi").select("doc_id", "text")
     schema = "doc_id long, n long, " + ", ".join(f"{n} long" for n in names)
     # rows that repeat a doc_id with other texts are each a sketch of that document
-    return found.mapInPandas(run, schema).distinct()
+    return map_batches(found, run, schema).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     """
     sketch = Sketch(percent)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    read_out = cut(rows.mapInPandas(_described(words, sketch), "doc_id long, n long, sig long, sig2 long, cell long, m long"), "jaccard-sets")
+    read_out = cut(map_batches(rows, _described(words, sketch), "doc_id long, n long, sig long, sig2 long, cell long, m long"), "jaccard-sets")
     sets = read_out.where("n IS NOT NULL").select("doc_id", "n", F.concat(F.hex("sig"), F.lit("."), F.hex("sig2"), F.lit("."), F.hex("n")).alias("sig"))
     cells = read_out.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("m").alias("m"))
     # at least total / FREQUENT of all counted values, so FREQUENT rows at most
@@ -232,7 +232,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     value, m = often["cell"].to_numpy(np.int64).view(np.uint64), often["m"].to_numpy(np.int64)
     order = np.argsort(value)
     nodes = rows.where("doc_id IS NOT NULL")
-    keyed = nodes.mapInPandas(_looked_up(words, sketch, value[order], m[order]), "key long, part short, doc_id long")
+    keyed = map_batches(nodes, _looked_up(words, sketch, value[order], m[order]), "key long, part short, doc_id long")
 
     # every document of a key's part meets the part's smallest; the parts of a frequent key meet by their smallest
     group = W.partitionBy("key", "part")

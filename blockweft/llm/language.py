@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, read
+from .common import held_out, map_batches, read
 from .crf import Model, tag, train, words_of
 
 #: Most documents the model learns from for each language, most words of each of them, most languages.
@@ -97,7 +97,7 @@ def predict_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = fit(docs) if model is None else model
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(predictor(model), rows.select("doc_id", "held_out").schema.add("lang_pred", "string").add("score", "double"))
+    return map_batches(rows, predictor(model), rows.select("doc_id", "held_out").schema.add("lang_pred", "string").add("score", "double"))
 
 
 def keep_known(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -112,7 +112,7 @@ def keep_known(docs: DataFrame, least: float = LEAST) -> DataFrame:
             for out in run(iter([asked])):
                 yield pdf.iloc[out.loc[(out["lang_pred"] != "und") & (out["score"] >= least), "doc_id"].to_numpy()]
 
-    return docs.mapInPandas(keep, schema)
+    return map_batches(docs, keep, schema)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, map_batches, read
 
 #: The key of the registered query; a production job passes its own secret.
 KEY = b"replace this key in production"
@@ -177,7 +177,7 @@ def entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             listed = sorted(rows)
             yield pd.DataFrame({"kind": [k for k, _ in listed], "value": [v for _, v in listed], "replacement": [plain(k, surrogate(k, v, key)) for k, v in listed]})
 
-    return docs.select("text").mapInPandas(run, "kind string, value string, replacement string").distinct()
+    return map_batches(docs.select("text"), run, "kind string, value string, replacement string").distinct()
 
 
 def plain(kind: str, value: str) -> str:
@@ -214,7 +214,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, check: bool = True) -> DataF
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [t for t, _ in done], "n_entities": [len(f) for _, f in done], "entities": [",".join(f"{k}:{a}:{b}" for a, b, k in f) for _, f in done]})
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInPandas(run, rows.select("doc_id", "text").schema.add("n_entities", "long").add("entities", "string"))
+    return map_batches(rows, run, rows.select("doc_id", "text").schema.add("n_entities", "long").add("entities", "string"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

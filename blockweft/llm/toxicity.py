@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, read
+from .common import held_out, map_batches, read
 from .crf import Model, tag, train, words_of
 from .textnum import batches
 
@@ -157,7 +157,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fitted: Toxicity | None =
     fitted = fit(docs, labels) if fitted is None else fitted
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     schema = rows.select("doc_id", "held_out").schema.add("score", "double").add("predicted", "integer").add("n_words", "long").add("spans", "string")
-    return rows.mapInPandas(scorer(fitted), schema)
+    return map_batches(rows, scorer(fitted), schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from blockweft.llm import decontaminate, dedup_exact, html, jaccard, mixing, secrets, sharding, surrogates
+from blockweft.llm import common, decontaminate, dedup_exact, html, jaccard, mixing, secrets, sharding, surrogates
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, size long"
 
@@ -101,6 +101,18 @@ def test_surrogates_are_consistent_and_distinct(spark):
     assert surrogates.luhn(surrogates.surrogate("card", card, b"k")[:-1]) - int(surrogates.surrogate("card", card, b"k")[-1]) in (surrogates.luhn(card[:-1]) - int(card[-1]), surrogates.luhn(card[:-1]) - int(card[-1]) + 10, surrogates.luhn(card[:-1]) - int(card[-1]) - 10)
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, then in (("67108864b", f"{common.BATCH_BYTES}b"), ("8m", f"{common.BATCH_BYTES}b"), ("64k", "64k")):
+            spark.conf.set(name, given)
+            sizes = common.map_batches(spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("t")), lambda parts: (p.iloc[:1].assign(t=str(len(p))) for p in parts), "t string").collect()
+            assert spark.conf.get(name) == then and len(sizes) > 1 and sum(int(r.t) for r in sizes) == 3000
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_main_text():
     page = '<html><head><title>T</title></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy now</div><article><h1>Title</h1><p>One&amp;two\n three<script>var x="</p>";</script></p><p>Four five.</p></article><div class="comments"><p>First!</p></div><footer>c</footer></body></html>'
     assert html.main_text(page, html.trained()) == "Title\n\nOne&two three\n\nFour five."
