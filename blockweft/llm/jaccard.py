@@ -32,6 +32,10 @@ class Sketch:
     cell values, similar sets then share one of their first D + 1. The order puts frequent values last and full cells
     first, so boilerplate that fills a cell alone is hardly ever looked up. Sets near the end of a band also have the
     sketch of the next band.
+
+    Empty cells are last in the order. A set that has them among its first D + 1 may share nothing else with a set that
+    has them there too; both are looked up by hashes of their own as well: of any order of all hashes, similar sets
+    share one of their first size - ceil(p size / 100) + 1. Unlike a key for an empty cell, these differ between sets.
     """
 
     def __init__(self, percent: int) -> None:
@@ -62,19 +66,29 @@ class Sketch:
             count = np.diff(np.append(first, len(hashes)))
             return mixed(parity + mixed(np.uint64(band) * np.uint64(1_000_003) + cell.astype(np.uint64)) + count.astype(np.uint64)), count
 
+    def own(self, hashes: np.ndarray, band: int, filled: int) -> np.ndarray:
+        """The set's hashes as values for a look-up, if it has fewer filled cells than it needs."""
+        if filled > self.furthest(len(hashes)):
+            return hashes[:0]
+        with np.errstate(over="ignore"):
+            return mixed(hashes + mixed(np.uint64(band) * np.uint64(1_000_003) + np.uint64(1 << 62)))
+
     def keys(self, hashes: np.ndarray, frequent: np.ndarray, often: np.ndarray) -> np.ndarray:
-        """The cell values that the document is looked up by."""
+        """The cell values that the document is looked up by, and its own hashes where these do not suffice."""
         out = []
         size = len(hashes)
+
+        def ranked(values: np.ndarray) -> np.ndarray:
+            if not len(frequent):
+                return np.zeros(len(values), np.int64)
+            at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
+            return np.where(frequent[at] == values, often[at], 0)
+
         for band in self.bands(size):
             values, count = self.cells(hashes, band)
-            rank = np.zeros(len(values), np.int64)
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
-                rank = np.where(frequent[at] == values, often[at], 0)
-            # empty cells come last in the order: a set with fewer filled cells than needed looks up all of them
-            need = self.furthest(size) + 1
-            out.append(values[np.lexsort((values, -count, rank))[:need]])
+            out.append(values[np.lexsort((values, -count, ranked(values)))[: self.furthest(size) + 1]])
+            own = self.own(hashes, band, len(values))
+            out.append(own[np.lexsort((own, ranked(own)))[: size - -(-self.percent * size // 100) + 1]])
         return np.concatenate(out)
 
 
@@ -97,6 +111,7 @@ def _described(words: int, sketch: Sketch) -> Callable[[Iterator[pd.DataFrame]],
                 # equal sets of a batch count once
                 different = {s: x for s, x in zip(sums.tolist(), sets, strict=True) if len(x)}
                 cells = [sketch.cells(x, band)[0] for x in different.values() for band in sketch.bands(len(x))]
+                cells += [sketch.own(x, band, len(v)) for (x, band), v in zip(((x, band) for x in different.values() for band in sketch.bands(len(x))), cells, strict=True)]
                 if cells:
                     value, m = np.unique(np.concatenate(cells), return_counts=True)
                     yield pd.DataFrame({"doc_id": None, "n": None, "sig": None, "sig2": None, "cell": value[m > 1].view(np.int64), "m": m[m > 1]})

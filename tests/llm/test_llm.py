@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,24 @@ def test_similar_groups_equal_brute_force(spark):
     assert [rows[k].n_shingles for k in range(len(texts))] == [len(s) for s in sets]
 
 
+@pytest.mark.parametrize("percent,sizes", [(80, (4, 5)), (80, (5, 6)), (85, (6, 7))])
+def test_sets_in_one_cell_share_a_key(percent, sizes):
+    sketch, rng, none = jaccard.Sketch(percent), np.random.default_rng(5), np.zeros(0, np.uint64)
+    small, large = sizes
+    for band in sketch.bands(small):
+        cells = int(jaccard.SPARE * (sketch.furthest(sketch.lows[band + 1] - 1) + 1)) + 1
+        for _ in range(200):
+            # all hashes fall in one cell, whose value then differs
+            two = np.unique(rng.integers(0, 1 << 50, large).astype(np.uint64) * np.uint64(cells))
+            one = np.delete(two, rng.integers(large))
+            assert 100 * len(one) >= percent * len(two)
+            shared = np.intersect1d(sketch.keys(one, none, none.view(np.int64)), sketch.keys(two, none, none.view(np.int64)))
+            assert len(shared)
+            # also if these are frequent, and so the last in the order of both
+            m = np.full(len(shared), 20)
+            assert len(np.intersect1d(sketch.keys(one, shared, m), sketch.keys(two, shared, m)))
+
+
 def test_surrogates_are_consistent_and_distinct(spark):
     mails = [f"write to user{k}@mail{k % 5}.example.com or call +1 (743) 555-{3000 + k}" for k in range(200)]
     rows = surrogates.pseudonymise(documents(spark, [*mails, mails[0], None])).collect()
