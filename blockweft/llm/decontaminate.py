@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, pin, read
 
-#: Template words in a window; every STRIDE-th window of a document is looked up (all windows of an item are stored,
-#: so a shared run of WINDOW + STRIDE - 1 words always meets).
-WINDOW, STRIDE = 6, 4
+#: Template words in a window; every window of a document is looked up.
+WINDOW = 6
 #: Share of an item's windows that a leak contains, and the share of slots that may contradict the others.
 COVERAGE, CONFLICT = 0.5, 0.2
 #: Items of fewer words can't be told from ordinary text and are not looked for.
@@ -53,10 +52,10 @@ def template_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def windows(hashes: Column, width: int, stride: int = 1) -> Column:
-    """Hashes of the windows of ``width`` words at each ``stride``-th position, the last window always included."""
+def windows(hashes: Column, width: int) -> Column:
+    """Hashes of the windows of ``width`` words at each position."""
     last = F.size(hashes) - width
-    starts = F.when(last < 0, F.expr("CAST(array() AS array<int>)")).otherwise(F.array_union(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride)), F.array(last)) if stride > 1 else F.sequence(F.lit(0), F.greatest(last, F.lit(0))))
+    starts = F.when(last < 0, F.expr("CAST(array() AS array<int>)")).otherwise(F.sequence(F.lit(0), F.greatest(last, F.lit(0))))
     return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i + 1, width)))
 
 
@@ -85,7 +84,7 @@ def compare(pairs: DataFrame, width: Column) -> DataFrame:
     return x.withColumn("n_conflicts", F.col("_n") - F.col("n_slots")).drop(*[c for c in x.columns if c.startswith("_")])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE, coverage: float = COVERAGE, conflict: float = CONFLICT) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, conflict: float = CONFLICT) -> DataFrame:
     """The leaked items: doc_id, item_id, coverage, n_slots, n_changed, one row for each document and item.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. A document leaks an item if it contains ``coverage``
@@ -97,16 +96,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: i
     """
     items = benchmark.select("item_id", "text", marked_words(F.col("text")).alias("item_words"))
     items = pin(items, h=template_hashes(F.col("text"))).where((F.size("h") >= SHORTEST) & (F.size("item_words") >= SHORTEST)).drop("text")
-    # short items have a width of their own and are met at each position
-    items = items.withColumn("width", F.least(F.size("h"), F.size("item_words"), F.lit(window))).withColumn("dense", F.size("h") < window + stride - 1)
-    items = cut(items, "leak-items")
-    widths = {(r["width"], r["dense"]) for r in items.select("width", "dense").distinct().collect()}  # at most 2 * window pairs
+    # short items have a width of their own
+    items = cut(items.withColumn("width", F.least(F.size("h"), F.size("item_words"), F.lit(window))), "leak-items")
+    widths = [r["width"] for r in items.select("width").distinct().collect()]  # at most ``window``
     base = pin(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), h=template_hashes(F.col("text"))).drop("text")
     looked = None
-    for width, dense in sorted(widths):
-        mine = items.where((F.col("width") == width) & (F.col("dense") == dense))
+    for width in sorted(widths):
+        mine = items.where(F.col("width") == width)
         keys = mine.select("item_id", F.explode(windows(F.col("h"), width)).alias("window")).distinct()
-        seen = base.select("doc_id", F.explode(windows(F.col("h"), width, 1 if dense else stride)).alias("window"))
+        seen = base.select("doc_id", F.explode(windows(F.col("h"), width)).alias("window"))
         met = seen.join(cut(keys, "leak-windows"), "window").select("doc_id", "item_id")
         looked = met if looked is None else looked.unionByName(met)
     if looked is None:

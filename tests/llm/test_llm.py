@@ -70,6 +70,13 @@ def test_leaks_and_other_numbers(spark):
     assert [(r.doc_id, r.item_id) for r in found] == [(0, 1)] and found[0].n_changed == 2
 
 
+def test_edited_items_are_found_at_each_offset(spark):
+    words = [f"{a}{b}" for a in ("lamp", "river", "stone") for b in ("er", "ing", "ed", "ly", "ness", "less")][:17]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    texts = [" ".join([*(f"pre{'abcdefgh'[n]}" for n in range(k)), *words[:8], *words[9:], *(f"post{c}" for c in "abcdefg")]) for k in range(8)]
+    assert {r.doc_id: r.coverage for r in decontaminate.leaks(documents(spark, texts), bench).collect()} == dict.fromkeys(range(8), 0.5)
+
+
 def test_similar_groups_equal_brute_force(spark):
     import random
 
