@@ -59,29 +59,39 @@ def windows(hashes: Column, width: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i + 1, width)))
 
 
-def compare(pairs: DataFrame, width: Column) -> DataFrame:
-    """``pairs`` (item_words, doc_words, ...) with coverage, n_slots and n_conflicts.
+def compare(pairs: DataFrame, width: Column, coverage: float = COVERAGE, conflict: float = CONFLICT) -> DataFrame:
+    """``pairs`` (item_words, doc_words, ...) with coverage, n_slots, n_changed and n_conflicts.
 
     coverage: share of the item's template windows that the document contains. Slots are the marked words of matched
     windows, each with the value in the item and the one in the document; a conflict is an item value that maps to
-    several document values of its type.
+    several document values of its type. A window that the document has several times is taken at its first place. If
+    that gives conflicts, each alignment (document position minus item position) is tried as well: windows are taken
+    nearest to it, at most a window off, at most the item's length off, or anywhere. Of all readings the best counts:
+    one that is a leak, then the largest coverage, then the fewest conflicts.
     """
     x = pin(pairs.withColumn("_w", width), _item_t=template(F.col("item_words")), _doc_t=template(F.col("doc_words")))
     x = pin(x, _item_h=F.expr("transform(_item_t, w -> xxhash64(w))"), _doc_h=F.expr("transform(_doc_t, w -> xxhash64(w))"))
     cells = "if(size({0}) < _w, CAST(array() AS array<bigint>), transform(sequence(0, greatest(size({0}) - _w, 0)), i -> xxhash64(slice({0}, i + 1, _w))))"
     x = pin(x, _item_win=F.expr(cells.format("_item_h")), _doc_win=F.expr(cells.format("_doc_h")))
-    x = pin(x, _met=F.expr("filter(transform(_item_win, (h, i) -> struct(i AS i, CAST(array_position(_doc_win, h) AS int) - 1 AS p)), m -> m.p >= 0)"))
+    x = pin(x, _hits=F.expr("filter(transform(_doc_win, (h, p) -> struct(h AS h, p AS p)), x -> array_contains(_item_win, x.h))"))
+    x = pin(x, _at=F.expr("filter(transform(_item_win, (h, i) -> struct(i AS i, transform(filter(_hits, x -> x.h = h), x -> x.p) AS ps)), m -> size(m.ps) > 0)"))
     slot = f"^[{NUM}{NAME}{UNIT}]"
-    met = "flatten(transform(_met, m -> transform(sequence(0, _w - 1), k -> struct(item_words[m.i + k] AS a, doc_words[m.p + k] AS b))))"
-    x = pin(x, _slots=F.expr(f"array_distinct(filter({met}, s -> s.a rlike '{slot}'))"))
-    x = pin(
-        x,
-        coverage=F.size("_met") / F.greatest(F.size("_item_win"), F.lit(1)),
-        n_slots=F.expr("size(array_distinct(transform(_slots, s -> s.a)))"),
-        n_changed=F.expr("size(filter(_slots, s -> s.a <> s.b))"),
-        _n=F.size("_slots"),
-    )
-    return x.withColumn("n_conflicts", F.col("_n") - F.col("n_slots")).drop(*[c for c in x.columns if c.startswith("_")])
+
+    def read_as(x: DataFrame, name: str, met: str) -> DataFrame:
+        """``x`` with column ``name``: the readings, best last in order, of the array ``met`` of arrays of places (i, p)."""
+        slots = f"array_distinct(filter(flatten(transform(y, m -> transform(sequence(0, _w - 1), k -> struct(item_words[m.i + k] AS a, doc_words[m.p + k] AS b)))), s -> s.a rlike '{slot}'))"
+        x = pin(x, _read=F.expr(f"transform({met}, y -> struct(size(y) / greatest(size(_item_win), 1) AS coverage, {slots} AS slots))"))
+        x = pin(x, _read=F.expr("transform(_read, y -> struct(y.coverage AS coverage, size(array_distinct(transform(y.slots, s -> s.a))) AS n, size(y.slots) AS m, size(filter(y.slots, s -> s.a <> s.b)) AS changed))"))
+        return pin(x, **{name: F.expr(f"array_max(transform(_read, y -> struct(y.coverage >= {coverage} AND y.m - y.n <= {conflict} * y.n AS leak, y.coverage AS coverage, y.n - y.m AS agreed, y.n AS n, -y.changed AS same)))")})
+
+    x = read_as(x, "_first", "array(transform(_at, m -> struct(m.i AS i, m.ps[0] AS p)))")
+    x = pin(x, _lines=F.expr("if(_first.agreed = 0, CAST(array() AS array<int>), array_distinct(flatten(transform(_at, m -> transform(m.ps, p -> p - m.i)))))"))
+    near = "array_min(filter(transform(m.ps, p -> struct(abs(p - m.i - a) AS d, p AS p)), z -> z.d <= r))"
+    taken = f"transform(filter(transform(_at, m -> struct(m.i AS i, {near} AS z)), m -> m.z IS NOT NULL), m -> struct(m.i AS i, m.z.p AS p))"
+    x = read_as(x, "_other", f"flatten(transform(_lines, a -> transform(array(_w, size(item_words), {2**31 - 1}), r -> {taken})))")
+    x = pin(x, _best=F.expr("greatest(_first, _other)"))
+    x = x.select("*", F.col("_best.coverage").alias("coverage"), F.col("_best.n").alias("n_slots"), (-F.col("_best.same")).alias("n_changed"), (-F.col("_best.agreed")).alias("n_conflicts"))
+    return x.drop(*[c for c in x.columns if c.startswith("_")])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, conflict: float = CONFLICT) -> DataFrame:
@@ -113,7 +123,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     # the candidates are a written table, whose size decides between a broadcast and a shuffle
     texts = docs.select("doc_id", "text").join(candidates.select("doc_id", "item_id"), "doc_id")
     pairs = cut(texts.select("doc_id", "item_id", marked_words(F.col("text")).alias("doc_words")), "leak-texts").join(items.select("item_id", "item_words", "width"), "item_id")
-    judged = compare(pairs, F.col("width")).where((F.col("coverage") >= coverage) & (F.col("n_conflicts") <= conflict * F.col("n_slots")))
+    judged = compare(pairs, F.col("width"), coverage, conflict).where((F.col("coverage") >= coverage) & (F.col("n_conflicts") <= conflict * F.col("n_slots")))
     return judged.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"))
 
 

@@ -77,6 +77,15 @@ def test_edited_items_are_found_at_each_offset(spark):
     assert {r.doc_id: r.coverage for r in decontaminate.leaks(documents(spark, texts), bench).collect()} == dict.fromkeys(range(8), 0.5)
 
 
+def test_a_fragment_before_the_copy_does_not_hide_it(spark):
+    item = "a pump fills the old tank with 40 litres of water each hour until the keeper shuts it off"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    fragment = "we saw that it fills the old tank with 95 litres of oil. "
+    texts = [item, fragment + item, fragment + "later on that day " * 60 + item, fragment]
+    found = {r.doc_id: (r.coverage, r.n_changed) for r in decontaminate.leaks(documents(spark, texts), bench).collect()}
+    assert found == dict.fromkeys(range(3), (1.0, 0))
+
+
 def test_similar_groups_equal_brute_force(spark):
     import random
 
