@@ -20,22 +20,58 @@ NUMBER = r"(?<![\p{L}\p{N}])[+-]?\p{Nd}+(?:[.,:/]\p{Nd}+)*"
 UNITS = r"(?:km|cm|mm|m|mi|miles?|metres?|meters?|feet|ft|inch(?:es)?|kg|g|mg|grams?|lbs?|pounds?|tons?|l|ml|lit(?:re|er)s?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|usd|eur|percent|degrees?|kwh|kw|w|v|hz|mb|gb|tb|mph|kmh)"
 #: A capitalised word, or several, within a sentence: after a lower case letter or comma and a space.
 PROPER = r"(?<=[\p{Ll},;] )\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*"
+#: A capitalised word elsewhere, as at the start of a sentence, line or quotation, and the capitalised words behind it;
+#: marks of such a word, and of one with others behind it; words that no name is.
+OPENER = r"(?<![\p{L}\p{N}])(?<![\p{Ll},;] )(\p{Lu}\p{Ll}+)((?: \p{Lu}\p{L}*)*)"
+OPEN, REST = "\ue0f0", "\ue0f1"
+COMMON = frozenset(
+    "a about after all also although an and any are as at because before both but by can could did do does during each either every first find for from given had has have he her here his how i if in is it its let many most my no not now of on once one only or our over please same second she should since so some such than that the their then there these they this those three to two under until was we were what when where which while who whose why will with would yes you your "
+    "als auch auf aus bei das dem den der des die du ein eine einem einen einer er es für hat ich ihr im ist man mit nach nicht nun ob oder sie sind so und von vor wann warum was welche welcher welches wenn wer wie wir wo zu zum zur "
+    "au aux avec ce cela ces cet cette chaque comment comme dans de des donc du elle elles en est et il ils je la le les leur lorsque mais nous on ou où par pour pourquoi quand que quel quelle quelles quels qui sa ses si son sont sur tous toutes un une vous "
+    "al cada como con cuando cuál cuáles cuántas cuántos cuánto cómo cuándo del donde dónde el ella ellos en es esta este esto están está la las lo los más no nos o para pero por porque qué que quién se según si sin sobre son su sus todos un una unas unos y yo".split()
+)
+
+
+def vocabulary(items: DataFrame) -> tuple[list[str], list[str]]:
+    """Words that open sentences of ``items`` (text) and count as names, and all other words of the items, lower case.
+
+    An opening word is a name unless the items have it in lower case or it is one of COMMON. Both lists are no longer
+    than the benchmark's vocabulary.
+    """
+    words = {r[0] for r in items.select(F.explode(F.split("text", r"[^\p{L}\p{N}]+"))).distinct().collect()} - {""}
+    opening = {r[0].lower() for r in items.select(F.explode(F.regexp_extract_all("text", F.lit(OPENER), F.lit(1)))).distinct().collect()}
+    names = opening - {w for w in words if w[0].islower()} - COMMON
+    return sorted(names), sorted({w.lower() for w in words} - names | COMMON)
 
 
-def marked_words(text: Column) -> Column:
+def marked_words(text: Column, names: tuple[list[str], list[str]] = ([], [])) -> Column:
     """Words of a text, lower case without punctuation; numbers, names and units carry their mark before the value.
 
-    A value keeps its inner points and commas, so "3.5" is one word. Names of several words are one word.
+    A value keeps its inner points and commas, so "3.5" is one word. Names of several words are one word. ``names`` is
+    the items' ``vocabulary``: its names are names wherever they stand, in any case; of other words that open a sentence
+    those that the items have are words, and all others names, as no item can have them as words.
     """
-    t = F.translate(F.coalesce(text, F.lit("")), NUM + NAME + UNIT, "")
+    t = F.translate(F.coalesce(text, F.lit("")), NUM + NAME + UNIT + OPEN + REST, "")
+    t = F.regexp_replace(t, OPENER, f" {OPEN}$0 ")
+    t = F.regexp_replace(t, f"(?<={OPEN}\\p{{L}}{{1,40}}) (?=\\p{{Lu}})", ".")
     t = F.regexp_replace(t, PROPER, f"{NAME}$0 ")
     t = F.regexp_replace(t, f"({NUMBER})\\s?(?i:({UNITS})(?![\\p{{L}}\\p{{N}}]))", f" {NUM}$1 {UNIT}$2 ")
     t = F.regexp_replace(t, f"(?<!{NUM})(?<![\\p{{L}}\\p{{N}}.,:/{NUM}{NAME}{UNIT}+-])({NUMBER[NUMBER.index('[+-]'):]})", f" {NUM}$1 ")
     # the words of a name stay together: a space between two capitals behind a mark becomes a point
     t = F.regexp_replace(t, f"(?<={NAME}\\p{{L}}{{1,40}}) (?=\\p{{Lu}})", ".")
-    words = F.split(F.lower(t), r"[^\p{L}\p{N}.,:/+\-" + NUM + NAME + UNIT + "]+")
+    words = F.split(F.lower(t), r"[^\p{L}\p{N}.,:/+\-" + NUM + NAME + UNIT + OPEN + "]+")
+
+    def opened(w: Column) -> Column:
+        value = F.regexp_replace(F.substring(w, 2, 1 << 30), r"[.,:/+\-]+$", "")
+        head = F.substring_index(value, ".", 1)
+        rest = F.substring(value, F.length(head) + 2, F.length(value))
+        return F.when(~head.isin(names[1]), F.concat(F.lit(NAME), value)).when(rest == "", head).otherwise(F.concat(head, F.lit(f" {NAME}"), rest))
+
+    words = F.transform(words, lambda w: F.when(w.startswith(OPEN), opened(w)).otherwise(w))
+    words = F.flatten(F.transform(words, lambda w: F.split(w, " ")))
     words = F.transform(words, lambda w: F.when(F.rlike(w, F.lit(f"^[{NUM}{NAME}{UNIT}]")), F.regexp_replace(w, r"[.,:/+\-]+$", "")).otherwise(F.regexp_replace(w, r"[.,:/+\-]", " ")))
-    return F.filter(F.flatten(F.transform(words, lambda w: F.split(w, " "))), lambda w: w != "")
+    words = F.filter(F.flatten(F.transform(words, lambda w: F.split(w, " "))), lambda w: w != "")
+    return F.transform(words, lambda w: F.when(w.isin(names[0]), F.concat(F.lit(NAME), w)).otherwise(w))
 
 
 def template(words: Column) -> Column:
@@ -43,13 +79,22 @@ def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(F.rlike(w, F.lit(f"^[{NUM}{NAME}{UNIT}]")), F.substring(w, 1, 1)).otherwise(w))
 
 
-def template_hashes(text: Column) -> Column:
-    """Hashes of the template's words, for whole corpora: like ``template(marked_words(text))`` without the values."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), PROPER, f" {NAME} ")
+def template_hashes(text: Column, names: tuple[list[str], list[str]] = ([], [])) -> Column:
+    """Hashes of the template's words, for whole corpora: like ``template(marked_words(text, names))`` without the values."""
+    t = F.translate(F.coalesce(text, F.lit("")), OPEN + REST, "")
+    t = F.regexp_replace(t, OPENER[:-1] + "+)", f" {OPEN}$1{REST} ")
+    t = F.regexp_replace(t, f"(?<!{OPEN})" + OPENER, f" {OPEN}$1 ")
+    t = F.regexp_replace(t, PROPER, f" {NAME} ")
     t = F.regexp_replace(t, NUMBER, f" {NUM} ")
     t = F.regexp_replace(t, f"{NUM} \\s?(?i:{UNITS})(?![\\p{{L}}\\p{{N}}])", f"{NUM} {UNIT} ")
-    words = F.split(F.lower(t), r"[^\p{L}\p{N}" + NUM + NAME + UNIT + "]+")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+    words = F.split(F.lower(t), r"[^\p{L}\p{N}" + NUM + NAME + UNIT + OPEN + REST + "]+")
+
+    def shown(w: Column) -> Column:
+        head = F.translate(w, OPEN + REST, "")
+        known, name = head.isin(names[1]), F.lit(NAME)
+        return F.when(w.startswith(OPEN), F.when(~known, F.array(name)).when(w.endswith(REST), F.array(head, name)).otherwise(F.array(head))).when(w.isin(names[0]), F.array(name)).otherwise(F.array(w))
+
+    return F.transform(F.flatten(F.transform(F.filter(words, lambda w: w != ""), shown)), lambda w: F.xxhash64(w))
 
 
 def windows(hashes: Column, width: int) -> Column:
@@ -104,12 +149,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     nothing; rows that repeat a doc_id count as one document, found if one of them leaks; equal items are each
     reported; an empty table gives an empty result; other columns are ignored.
     """
-    items = benchmark.select("item_id", "text", marked_words(F.col("text")).alias("item_words"))
-    items = pin(items, h=template_hashes(F.col("text"))).where((F.size("h") >= SHORTEST) & (F.size("item_words") >= SHORTEST)).drop("text")
+    names = vocabulary(benchmark)
+    items = benchmark.select("item_id", "text", marked_words(F.col("text"), names).alias("item_words"))
+    items = pin(items, h=template_hashes(F.col("text"), names)).where((F.size("h") >= SHORTEST) & (F.size("item_words") >= SHORTEST)).drop("text")
     # short items have a width of their own
     items = cut(items.withColumn("width", F.least(F.size("h"), F.size("item_words"), F.lit(window))), "leak-items")
     widths = [r["width"] for r in items.select("width").distinct().collect()]  # at most ``window``
-    base = pin(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), h=template_hashes(F.col("text"))).drop("text")
+    base = pin(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), h=template_hashes(F.col("text"), names)).drop("text")
     looked = None
     for width in sorted(widths):
         mine = items.where(F.col("width") == width)
@@ -122,7 +168,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     candidates = cut(looked.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("met")), "leak-candidates")
     # the candidates are a written table, whose size decides between a broadcast and a shuffle
     texts = docs.select("doc_id", "text").join(candidates.select("doc_id", "item_id"), "doc_id")
-    pairs = cut(texts.select("doc_id", "item_id", marked_words(F.col("text")).alias("doc_words")), "leak-texts").join(items.select("item_id", "item_words", "width"), "item_id")
+    pairs = cut(texts.select("doc_id", "item_id", marked_words(F.col("text"), names).alias("doc_words")), "leak-texts").join(items.select("item_id", "item_words", "width"), "item_id")
     judged = compare(pairs, F.col("width"), coverage, conflict).where((F.col("coverage") >= coverage) & (F.col("n_conflicts") <= conflict * F.col("n_slots")))
     return judged.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"))
 

@@ -86,6 +86,15 @@ def test_a_fragment_before_the_copy_does_not_hide_it(spark):
     assert found == dict.fromkeys(range(3), (1.0, 0))
 
 
+def test_names_that_open_a_sentence(spark):
+    items = [(1, "Alice has 12 apples. Bob takes 3 of them. Carol takes 2. How many are left?"), (2, "Nadia Brook waters the green garden every morning before work")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [items[0][1], "Dave has 9 apples. Erin takes 4 of them. Frank takes 1. How many are left?", 'so today "Dave has 9 apples. Erin takes 4 of them.\nFrank takes 1. How many are left?"', "we know Nadia Brook waters the green garden every morning", "alice has 12 apples. bob takes 3 of them. carol takes 2. how many are left?", "Rain has fallen. Nobody takes many of them."]
+    found = {(r.doc_id, r.item_id): (r.coverage, r.n_changed) for r in decontaminate.leaks(documents(spark, texts), bench).collect()}
+    assert set(found) == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 1)}
+    assert found[0, 1] == found[4, 1] == (1.0, 0) and found[1, 1] == (1.0, 6)
+
+
 def test_similar_groups_equal_brute_force(spark):
     import random
 
