@@ -25,9 +25,9 @@ HINT = re.compile(
 )
 STORY = re.compile(r"(?:^|[\s_-])(?:article|story|post|entry|content|main)(?:$|[\s_-])", re.IGNORECASE)
 
-#: Comments, silent elements, declarations, tags, text; a lone "<" is text.
+#: Comments, silent elements (but no svg and math that close themselves), declarations, tags, text; a lone "<" is text.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<silent>" + "|".join(SILENT) + r")\b(?>\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</(?P=silent)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<rest>(?>\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(?P<end2>/?)(?P<name2>[a-z][a-z0-9:-]*+)[^>]*>|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(?!(?:svg|math)(?=[\s/])(?>\"[^\"]*\"|'[^']*'|[^>\"'])*+(?<=/)>)(?P<silent>" + "|".join(SILENT) + r")(?=[\s/>])(?>\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</(?P=silent)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<rest>(?>\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(?P<end2>/?)(?P<name2>[a-z][a-z0-9:-]*+)[^>]*>|[^<]+|<",
     re.IGNORECASE | re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -78,7 +78,7 @@ def blocks(page: str) -> list[Block]:
         ends = bool(m["end"] or m["end2"])
         if name == "a":
             in_link = 0 if ends else 1
-        elif name == "br":
+        elif name in ("br", "svg", "math"):
             parts.append(" ")
         if name not in BREAKS:
             continue

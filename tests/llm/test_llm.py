@@ -163,6 +163,12 @@ def test_main_text():
     assert html.main_text(None, html.trained()) == ""
 
 
+@pytest.mark.parametrize("tag", ["<svg-icon></svg-icon>", "<button-group>", "<title-bar x='1'>", '<svg class="i" />', "<math/>"])
+def test_no_silent_element_begins(tag):
+    page = f"<html><body><article><h1>Title</h1><p>One {tag} two three.</p><p>Four five.</p></article></body></html>"
+    assert html.main_text(page, html.trained()) == "Title\n\nOne two three.\n\nFour five."
+
+
 @pytest.mark.parametrize("name,sql", [("op9", dedup_exact.OP9_SQL), ("op6", mixing.OP6_SQL), ("op4", sharding.op4_sql())])
 def test_equal_sql(spark, name, sql):
     sf = "/root/testdata/sf0.001"
