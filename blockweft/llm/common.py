@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
         return jsc.getCheckpointDir().get()
     if configured := spark.conf.get("spark.checkpoint.dir", None):
         return configured
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="blockweft-")
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return jsc.getCheckpointDir().get()
@@ -38,7 +41,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._cut_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once all that was made of them is written itself."""
+    for table in tables:
+        if path := getattr(table, "_cut_path", None):
+            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
+    """What ``fit`` makes of a bounded sample of labelled rows, worked out in one task; only the result comes to the driver."""
+    columns = sample.columns
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(parts)
+        yield pd.DataFrame({"model": [cloudpickle.dumps(fit(pd.concat(held, ignore_index=True) if held else pd.DataFrame(columns=columns)))]})
+
+    found = map_batches(sample.repartition(1), run, "model binary").collect()
+    return cloudpickle.loads(bytes(found[0]["model"])) if found else fit(pd.DataFrame(columns=columns))
 
 
 #: Bytes of the batches of rows that tasks hand to Python.

@@ -13,7 +13,7 @@ from .textnum import batches, mixed, span_hashes, word_bounds
 NGRAMS, AFFIXES, LEXICON = 1 << 15, 1 << 14, 50_000
 #: Words of a chunk in forward-backward.
 CHUNK = 128
-#: Neighbours whose expected labels are summed at once in training, which bounds the driver's memory.
+#: Neighbours whose expected labels are summed at once in training, which bounds its memory.
 PAIRS = 1 << 15
 
 #: Bytes of words: Latin letters, and all bytes of other characters.
@@ -22,14 +22,21 @@ LETTERS[97:123] = LETTERS[65:91] = True
 LETTERS[128:] = True
 
 
-def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the lower-cased texts, starts and ends of their words, hashes of the words, first word of each text and one more."""
-    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+def lowered(text: str) -> str:
+    """Lower case, code point by code point where the whole would change its length: offsets are those of the text itself."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Bytes of the lower-cased texts, starts and ends of their words, hashes of the words, first word and first byte of
+    each text and of one more."""
+    raw = [lowered(t).encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     starts, ends = word_bounds(data, LETTERS)
     lengths = np.fromiter((len(t) + 1 for t in raw), np.int64, len(raw))
-    first = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
-    return data, starts, ends, span_hashes(data, starts, ends), first
+    begin = np.concatenate(([0], np.cumsum(lengths)))
+    return data, starts, ends, span_hashes(data, starts, ends), np.searchsorted(starts, begin), begin
 
 
 @dataclass
@@ -74,6 +81,10 @@ class Model:
     bias: np.ndarray
     transition: np.ndarray
 
+    def small(self) -> Model:
+        """The same with weights of half the bytes, as it travels to tasks."""
+        return Model(self.labels, self.lexicon, *(w.astype(np.float32) for w in (self.w_ngram, self.w_affix, self.w_word)), self.bias, self.transition)
+
     def emissions(self, f: Features) -> np.ndarray:
         out = np.tile(self.bias, (len(f.lexicon), 1))
         if len(out):
@@ -87,7 +98,12 @@ class Model:
 
 
 def forward_backward(emit: np.ndarray, first: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """Label marginals of each word, exactly, for sequences emit[first[k]:first[k+1]].
+    """Label marginals of each word, exactly, for sequences emit[first[k]:first[k+1]]."""
+    return marginals(emit, first, transition)[0]
+
+
+def marginals(emit: np.ndarray, first: np.ndarray, transition: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Label marginals of each word; with ``pairs`` also the sum over all neighbours of the marginals of label pairs.
 
     Sequences are cut into chunks that all run at once: each chunk's transfer matrix, then the vectors at chunk ends
     along each sequence, then the words within chunks. So a text of any length takes as many steps as a short one.
@@ -95,7 +111,7 @@ def forward_backward(emit: np.ndarray, first: np.ndarray, transition: np.ndarray
     n_labels = emit.shape[1]
     total = len(emit)
     if not total:
-        return np.zeros((0, n_labels))
+        return np.zeros((0, n_labels)), np.zeros((n_labels, n_labels)) if pairs else None
     lengths = np.diff(first)
     pieces = -(-lengths // CHUNK)
     owner = np.repeat(np.arange(len(lengths)), pieces)
@@ -139,24 +155,69 @@ def forward_backward(emit: np.ndarray, first: np.ndarray, transition: np.ndarray
     out = np.empty_like(alpha)
     # behind[k] already holds the step into the next chunk
     v = behind.copy()
+    beta = np.empty_like(alpha) if pairs else None
     for t in range(int(size.max()) - 1, -1, -1):
         live, p = at(t)
+        if beta is not None:
+            beta[begin[live] + t] = p * v[live]
         gamma = alpha[begin[live] + t] * v[live]
         out[begin[live] + t] = gamma / gamma.sum(1, keepdims=True)
         if t:
             moved = (p * v[live]) @ step.T
             v[live] = moved / moved.sum(1, keepdims=True)
-    return out
+    if beta is None:
+        return out, None
+    # a step from one word to the next: all before it, the transition, all from the next word on
+    inner = np.ones(total, bool)
+    inner[first[:-1][first[:-1] < total]] = False
+    into_words, expected = np.flatnonzero(inner), np.zeros((n_labels, n_labels))
+    for some in np.split(into_words, range(PAIRS, len(into_words), PAIRS)):
+        pair = alpha[some - 1][:, :, None] * step * beta[some][:, None, :]
+        expected += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+    return out, expected
+
+
+def code_points(data: np.ndarray) -> np.ndarray:
+    """For each byte position and the end, the code points that begin before it."""
+    return np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+
+
+@dataclass
+class Tagged:
+    """Texts a to b of a list: bounds of their words in code points of each text, first word of each text, marginals."""
+
+    a: int
+    b: int
+    starts: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+    gamma: np.ndarray
+
+    def spans(self, chosen: np.ndarray, labels: list[str] | None = None) -> list[str]:
+        """For each text the runs of neighbouring words of one value of ``chosen`` that is not negative, as start:end,
+        joined by commas; with ``labels`` the value's label and a colon before each."""
+        opens = np.ones(len(chosen), bool)
+        opens[1:] = chosen[1:] != chosen[:-1]
+        opens[self.first[:-1][self.first[:-1] < len(chosen)]] = True
+        at = np.flatnonzero(opens)
+        last = np.append(at[1:], len(chosen)) - 1
+        keep = chosen[at] >= 0
+        at, last = at[keep], last[keep]
+        shown = [f"{labels[v] + ':' if labels else ''}{s}:{e}" for v, s, e in zip(chosen[at].tolist(), self.starts[at].tolist(), self.ends[last].tolist(), strict=True)]
+        cuts = np.searchsorted(at, self.first).tolist()
+        return [",".join(shown[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def tag(model: Model, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For ranges of ``texts``: range, bytes, starts, ends, first word of each text, marginals of all words."""
+def tag(model: Model, texts: list[str]) -> Iterator[Tagged]:
+    """The texts in batches, with the label marginals of all words."""
     sizes = [t.encode("utf-8", "surrogatepass") for t in texts]
     for a, b in batches(sizes):
-        data, starts, ends, hashes, first = words_of(texts[a:b])
+        data, starts, ends, hashes, first, begin = words_of(texts[a:b])
         _, one, where = np.unique(hashes, return_index=True, return_inverse=True)
         emit = model.emissions(features(data, starts[one], ends[one], hashes[one], model.lexicon))
-        yield a, b, data, starts, ends, first, forward_backward(emit[where], first, model.transition)
+        points = code_points(data)
+        zero = np.repeat(points[begin[:-1]], np.diff(first))
+        yield Tagged(a, b, points[starts] - zero, points[ends] - zero, first, forward_backward(emit[where], first, model.transition))
 
 
 def train(texts: list[str], word_labels: list[np.ndarray], labels: list[str], rounds: int = 30, rate: float = 0.3, decay: float = 1e-5, least: int = 3) -> Model:
@@ -164,7 +225,7 @@ def train(texts: list[str], word_labels: list[np.ndarray], labels: list[str], ro
 
     ``word_labels`` has a label index for each word of each text. Words that occur ``least`` times form the lexicon.
     """
-    data, starts, ends, hashes, first = words_of(texts)
+    data, starts, ends, hashes, first, _ = words_of(texts)
     gold = np.concatenate(word_labels).astype(np.int64) if word_labels else np.zeros(0, np.int64)
     kinds, one, where, seen = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
     often = np.argsort(-seen, kind="stable")[:LEXICON]
@@ -185,14 +246,9 @@ def train(texts: list[str], word_labels: list[np.ndarray], labels: list[str], ro
     target[np.arange(len(gold)), gold] = 1
     for _ in range(rounds if len(gold) else 0):
         emit = model.emissions(f)[where]
-        gamma = forward_backward(emit, first, model.transition)
+        gamma, expected = marginals(emit, first, model.transition, pairs=True)
         off = target - gamma
         by_kind = np.stack([np.bincount(where, off[:, k], len(kinds)) for k in range(n)], 1)
-        # pairs of neighbours: expected counts from the marginals on either side of the step
-        expected = np.zeros((n, n))
-        for some in np.split(into, range(PAIRS, len(into), PAIRS)):
-            pair = np.exp(model.transition)[None] * gamma[some - 1][:, :, None] * gamma[some][:, None, :]
-            expected += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
         spread = np.repeat(by_kind / np.sqrt(sizes)[:, None], sizes, 0)
         grads = [
             np.stack([np.bincount(f.ngrams, spread[:, k], NGRAMS) for k in range(n)], 1),

@@ -8,13 +8,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, read
-from .crf import Model, tag, train, words_of
+from .common import fitted, held_out, map_batches, read
+from .crf import Model, code_points, tag, train, words_of
 
-#: Most documents the model learns from for each language, most words of each of them, most languages.
-DOCS, WORDS, LANGUAGES = 250, 400, 64
+#: The sample: most languages, most documents of each, and the most characters of such a document. Longer ones are not
+#: learned from, the others whole.
+LANGUAGES, DOCS, LONGEST = 64, 80, 20_000
 #: Words of the segments that training sequences are spliced from, so that switches are learned, and segments of one.
 SEGMENT, SEGMENTS = (4, 24), 12
 #: Least score of a document that the pipeline keeps.
@@ -23,35 +25,35 @@ LEAST = 0.3
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def fit(docs: DataFrame, seed: int = 7) -> Model:
-    """A model from a sample of ``docs`` (text, lang, doc_id) that is bounded by DOCS * LANGUAGES documents.
-
-    For each language the documents of the smallest hashes are taken, of each its first WORDS words. Sequences splice
-    segments of documents of one language or another, so switches within a text are learned like words are.
-    """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    order = F.struct(F.xxhash64("doc_id"), F.col("doc_id"))
-    # max_by keeps a fixed number for each language, so a task holds no more than the sample
+def sample(docs: DataFrame) -> DataFrame:
+    """(lang, at, doc_id, text): of each of the LANGUAGES most frequent languages the DOCS documents of the smallest hashes."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST) & ~held_out(F.col("doc_id")))
     counted = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    langs = sorted(r["lang"] for r in counted)
-    shares = {r["lang"]: min(1.0, 1.5 * DOCS / r["count"]) for r in counted}
+    if not counted:
+        return labelled.select("lang", F.lit(0).cast("long").alias("at"), "doc_id", "text").limit(0)
+    # a share of the hashes that holds the sample for all but sure, so few rows are ordered
+    shares = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, 1.5 * DOCS / r["count"] + 50 / r["count"]))])
+    hashed = labelled.select("lang", F.xxhash64("doc_id", "text").alias("at"), "doc_id", "text")
+    drawn = hashed.where(F.pmod("at", F.lit(1_000_003)) < F.element_at(shares, F.col("lang")) * 1_000_003)
+    order = W.partitionBy("lang").orderBy("at", "doc_id")
+    return drawn.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= DOCS).drop("_n")
+
+
+def learn(rows: pd.DataFrame, seed: int = 7) -> Model:
+    """A model from the sample. Sequences splice segments of documents of one language or another, so switches within a
+    text are learned like words are."""
+    rows = rows.sort_values(["lang", "at", "doc_id", "text"], ignore_index=True)
+    langs = sorted(rows["lang"].unique())
     if not langs:
         return train([], [], ["und"])
-    share = F.element_at(F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
-    drawn = labelled.where(F.col("lang").isin(langs)).where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < share * 1_000_000)
-    rows = drawn.select("lang", order.alias("o"), F.substring("text", 1, WORDS * 12).alias("text")).limit(2 * DOCS * len(langs)).collect()
-    rows.sort(key=lambda r: (r["lang"], tuple(r["o"])))
     pieces: list[tuple[int, str]] = []
     rng = np.random.default_rng(seed)
-    for k, lang in enumerate(langs):
-        for row in [r for r in rows if r["lang"] == lang][:DOCS]:
-            words = row["text"].split()[:WORDS]
-            at = 0
-            while at < len(words):
-                n = int(rng.integers(*SEGMENT))
-                pieces.append((k, " ".join(words[at : at + n])))
-                at += n
-    # equally many segments of each language
+    for lang, text in zip(rows["lang"], rows["text"], strict=True):
+        words, at = text.split(), 0
+        while at < len(words):
+            n = int(rng.integers(*SEGMENT))
+            pieces.append((langs.index(lang), " ".join(words[at : at + n])))
+            at += n
     rng.shuffle(pieces)
     sequences, gold = [], []
     for at in range(0, len(pieces), SEGMENTS):
@@ -59,28 +61,36 @@ def fit(docs: DataFrame, seed: int = 7) -> Model:
         sequences.append(" \n ".join(t for _, t in group))
         sizes = np.diff(words_of([t for _, t in group])[4])
         gold.append(np.repeat([k for k, _ in group], sizes))
-    return train(sequences, gold, langs)
+    return train(sequences, gold, langs).small()
+
+
+def fit(docs: DataFrame) -> Model:
+    """A model from a sample of ``docs`` (text, lang, doc_id) of at most DOCS * LANGUAGES documents."""
+    return fitted(sample(docs), learn)
 
 
 def predictor(model: Model) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             texts = ["" if t is None else t for t in pdf["text"].tolist()]
-            for a, b, _, _, _, first, gamma in tag(model, texts):
-                sums = np.zeros((b - a, len(model.labels)))
-                sizes = np.diff(first)
+            for t in tag(model, texts):
+                sums = np.zeros((t.b - t.a, len(model.labels)))
+                sizes = np.diff(t.first)
                 full = np.flatnonzero(sizes > 0)
                 if len(full):
-                    sums[full] = np.add.reduceat(gamma, first[:-1][full]) / sizes[full][:, None]
-                best = sums.argmax(1)
-                words = np.array([n > 0 and LETTER.search(t) is not None for n, t in zip(sizes, texts[a:b], strict=True)], bool)
-                letters = words | np.array([LETTER.search(t) is not None for t in texts[a:b]], bool)
+                    sums[full] = np.add.reduceat(t.gamma, t.first[:-1][full]) / sizes[full][:, None]
+                letters = np.array([LETTER.search(x) is not None for x in texts[t.a : t.b]], bool)
+                words = letters & (sizes > 0)
+                spoken = t.gamma.argmax(1) if len(t.gamma) else np.zeros(0, np.int64)
+                # words of a text without letters have no language
+                spoken = np.where(np.repeat(words, sizes), spoken, -1)
                 yield pd.DataFrame(
                     {
-                        "doc_id": pdf["doc_id"].iloc[a:b].to_numpy(),
-                        "held_out": pdf["held_out"].iloc[a:b].to_numpy(),
-                        "lang_pred": [model.labels[k] if ok else "und" for k, ok in zip(best, letters, strict=True)],
+                        "doc_id": pdf["doc_id"].iloc[t.a : t.b].to_numpy(),
+                        "held_out": pdf["held_out"].iloc[t.a : t.b].to_numpy(),
+                        "lang_pred": [model.labels[k] if ok else "und" for k, ok in zip(sums.argmax(1), letters, strict=True)],
                         "score": np.where(words, sums.max(1).clip(0, 1), 0.0),
+                        "segments": t.spans(spoken, model.labels),
                     }
                 )
 
@@ -88,20 +98,27 @@ def predictor(model: Model) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
 
 
 def predict_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, held_out, lang_pred, score.
+    """One row for each row of ``docs``: doc_id, held_out, lang_pred, score, segments.
 
     Every word gets marginals by forward-backward; the prediction is the language of the largest mean, the score that
-    mean. A null text, or one without a letter, is `und` with score 0. Without any labelled document all is `und`.
-    Repeated rows are alike; an empty table gives an empty result; texts of any length are read whole; the model learns
-    from lang and text of the rows that are not held out, and predicts from the text alone.
+    mean. ``segments`` lists the runs of words of one language, each word by its largest marginal, as lang:start:end
+    (code points, end exclusive), so a text that switches shows where. A null text, or one without a letter, is `und`
+    with score 0 and no segments. Without any labelled document all is `und`. Of equal means the first language by name
+    is taken. Repeated rows are alike, rows without doc_id too; an empty table gives an empty result; texts of any
+    length are read whole; other columns are ignored. The model learns from lang and text of the rows that are not held
+    out, and predicts from the text alone.
     """
     model = fit(docs) if model is None else model
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return map_batches(rows, predictor(model), rows.select("doc_id", "held_out").schema.add("lang_pred", "string").add("score", "double"))
+    return map_batches(rows, predictor(model), rows.select("doc_id", "held_out").schema.add("lang_pred", "string").add("score", "double").add("segments", "string"))
 
 
 def keep_known(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The documents, all columns, whose language is known with a score of ``least`` or more; text decides alone."""
+    """The documents, all columns, whose language is known with a score of ``least`` or more; text decides alone.
+
+    Without any labelled document no language can be rejected: all documents with a letter stay. Null and empty texts,
+    and texts without a letter, go. Repeated rows are judged alike and all stay or go; an empty table stays empty.
+    """
     model = fit(docs)
     run = predictor(model)
     schema = docs.schema
@@ -110,7 +127,8 @@ def keep_known(docs: DataFrame, least: float = LEAST) -> DataFrame:
         for pdf in parts:
             asked = pd.DataFrame({"doc_id": np.arange(len(pdf)), "held_out": False, "text": pdf["text"].to_numpy()})
             for out in run(iter([asked])):
-                yield pdf.iloc[out.loc[(out["lang_pred"] != "und") & (out["score"] >= least), "doc_id"].to_numpy()]
+                known = (out["lang_pred"] != "und") & (out["score"] >= least) if model.labels != ["und"] else out["score"] > 0
+                yield pdf.iloc[out.loc[known, "doc_id"].to_numpy()]
 
     return map_batches(docs, keep, schema)
 
