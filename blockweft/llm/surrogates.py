@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_batches, read
 
-#: The key of the registered query; a production job passes its own secret.
-KEY = b"replace this key in production"
+#: The session setting that holds the key, and the key where it is unset; a production job sets its own secret.
+KEY_SETTING, KEY = "spark.blockweft.surrogate.key", b"replace this key in production"
 ROUNDS = 8
 
 # Patterns of the entities, in order of precedence.
@@ -25,28 +26,47 @@ PATTERNS = (
     ("ip", re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![\w]|\.\d)")),
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])")),
 )
-#: Titles before a name, by gender, and what may stand after one.
-TITLES = {"man": ("Mr", "Herr", "Monsieur", "M.", "Señor", "Sr.", "Don"), "woman": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra.", "Doña")}
-NAMED = {k: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, v)) + r")\.? ([^\W\d_]+(?:[ -][^\W\d_a-zß-ÿ][^\W\d_]*)?)") for k, v in TITLES.items()}
-#: Names that replace names of the same gender; a name that is in none of the lists keeps its letters' case and script.
+#: Titles before a name, by gender where they show one.
+TITLES = {
+    "man": ("Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "M.", "Señor", "Sr.", "Don"),
+    "woman": ("Mrs", "Ms", "Miss", "Madam", "Lady", "Frau", "Mme", "Mlle", "Madame", "Mademoiselle", "Señora", "Señorita", "Sra.", "Srta.", "Doña"),
+    "person": ("Dr", "Doctor", "Doktor", "Docteur", "Dra", "Prof", "Professor", "Professeur", "Profesor", "Profesora"),
+}
+#: Words that stand within a family name.
+PARTICLES = "von|van|der|den|de|del|della|di|da|dos|du|la|le|las|los|zu|zum|zur|ten|ter|y"
+#: Given names that show a gender; they replace each other.
 GIVEN = {
-    "man": ("Adam", "Anton", "Bruno", "Carl", "Daniel", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jakob", "Jean", "John", "José", "Karl", "Leo", "Louis", "Marc", "Martin", "Max", "Oscar", "Pablo", "Paul", "Peter", "Pierre", "Robert", "Simon", "Thomas", "Tom", "Victor"),
+    "man": ("Adam", "Anton", "Bruno", "Carl", "Daniel", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jakob", "Jean", "John", "José", "Juan", "Karl", "Leo", "Louis", "Marc", "Martin", "Max", "Oscar", "Pablo", "Paul", "Peter", "Pierre", "Robert", "Simon", "Thomas", "Tom", "Victor"),
     "woman": ("Alice", "Anna", "Carla", "Clara", "Claire", "Elena", "Ella", "Emma", "Eva", "Greta", "Hanna", "Ida", "Ines", "Irene", "Jane", "Julia", "Laura", "Lea", "Lena", "Lucia", "Marie", "Maria", "Martha", "Mary", "Nina", "Olga", "Paula", "Rosa", "Sara", "Sofia", "Vera"),
 }
-#: Alphabets whose letters replace each other.
-ALPHABETS = (
-    "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "áàâäãçéèêëíìîïñóòôöõúùûü", "ÁÀÂÄÃÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜ",
-    "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
-)
-PLACE = {c: (a, k) for a in ALPHABETS for k, c in enumerate(a)}
+#: Alphabets whose letters replace each other: in names vowels stand for vowels, so that they can still be spoken.
+VOWELS = ("aeiou", "AEIOU", "áàâäãéèêëíìîïóòôöõúùûü", "ÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜ", "аеиоуыэюя", "АЕИОУЫЭЮЯ", "αεηιουω", "ΑΕΗΙΟΥΩ")
+CONSONANTS = ("bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ", "çñ", "ÇÑ", "бвгджзйклмнпрстфхцчшщъь", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ", "βγδζθκλμνξπρστφχψ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ")
+DIGITS = "0123456789"
+PLACE = {c: (a, k) for a in (DIGITS, *(v + c for v, c in zip(VOWELS, CONSONANTS, strict=True))) for k, c in enumerate(a)}
+SPOKEN = {c: (a, k) for a in (DIGITS, *VOWELS, *CONSONANTS) for k, c in enumerate(a)}
+
+_WORD = r"(?:[^\W\d_]['’])?[^\W\d_]+(?:['’-][^\W\d_]+)*"
+#: The same with a capital at its start, or behind a letter and an apostrophe (d'Arc).
+_CAPITAL = r"(?:[^\W\d_]['’])?(?![a-zß-öø-ÿа-яёα-ωά-ώ])[^\W\d_]+(?:['’-][^\W\d_]+)*"
+_TITLE = "|".join(re.escape(t) + ("" if t.endswith(".") else r"\.?") for kind in TITLES.values() for t in kind)
+#: A title, further titles, and the words of a name behind it, with particles between them.
+NAMED = re.compile(rf"(?<![\w.])((?:(?:{_TITLE})\s+)+)((?:(?:{PARTICLES})\s)*{_CAPITAL}(?:\s(?:(?:{PARTICLES})\s)*{_CAPITAL}){{0,3}})")
+_BARE = sorted({t.rstrip(".") for kind in TITLES.values() for t in kind})
+QUICK = tuple(f"{t}{end}" for t in _BARE for end in (" ", ". "))
+OF_TITLE = {t.rstrip("."): kind for kind, titles in TITLES.items() for t in titles}
+IN_NAME = re.compile(_WORD)
+PARTICLE, OWNED = re.compile(f"(?:{PARTICLES})$"), re.compile(r"['’]s?$")
 
 
 def permuted(symbols: Sequence[int], sizes: Sequence[int], key: bytes, tweak: str) -> list[int]:
     """A keyed permutation of the sequences of these alphabet sizes: Feistel rounds add to one half what the other gives.
 
-    A single symbol has no other half; it is moved by the key alone, which is a permutation as well.
+    A single symbol has no other half; it is moved by a keyed order of its alphabet.
     """
     x, half = list(symbols), len(symbols) // 2
+    if not half:
+        return [shuffled(sizes[0], key, tweak)[x[0]]] if x else x
     for r in range(ROUNDS):
         mine, other = (range(half), range(half, len(x))) if r % 2 else (range(half, len(x)), range(half))
         said = hashlib.blake2b(f"{tweak}|{r}|{len(x)}|{','.join(str(x[k]) for k in other)}".encode(), key=key[:64], digest_size=64).digest()
@@ -57,6 +77,14 @@ def permuted(symbols: Sequence[int], sizes: Sequence[int], key: bytes, tweak: st
     return x
 
 
+@lru_cache(maxsize=1024)
+def shuffled(n: int, key: bytes, tweak: str) -> tuple[int, ...]:
+    """A permutation of n things that the key decides: one cycle, so nothing stays, in an order that a few pairs don't tell."""
+    order = sorted(range(n), key=lambda k: hashlib.blake2b(f"{tweak}|{n}|{k}".encode(), key=key[:64]).digest())
+    after = dict(zip(order, order[1:] + order[:1], strict=True))
+    return tuple(after[k] for k in range(n))
+
+
 def walked(start: str, step: Callable[[str], str], valid: Callable[[str], bool]) -> str:
     """Apply a permutation until the value is valid: a permutation of the valid values, as the first one is valid."""
     x = step(start)
@@ -65,15 +93,16 @@ def walked(start: str, step: Callable[[str], str], valid: Callable[[str], bool])
     return x
 
 
-def letters(value: str, key: bytes, tweak: str) -> str:
+def letters(value: str, key: bytes, tweak: str, place: dict[str, tuple[str, int]] = PLACE) -> str:
     """Letters and digits replaced by others of their alphabet, all else as it is."""
-    at = [k for k, c in enumerate(value) if c in PLACE]
+    at = [k for k, c in enumerate(value) if c in place]
     if not at:
         return value
-    new = permuted([PLACE[value[k]][1] for k in at], [len(PLACE[value[k]][0]) for k in at], key, tweak)
+    shape = "".join(place[value[k]][0][0] for k in at)  # values of different shapes never meet
+    new = permuted([place[value[k]][1] for k in at], [len(place[value[k]][0]) for k in at], key, f"{tweak}:{shape}")
     out = list(value)
     for k, n in zip(at, new, strict=True):
-        out[k] = PLACE[value[k]][0][n]
+        out[k] = place[value[k]][0][n]
     return "".join(out)
 
 
@@ -92,8 +121,16 @@ def refill(value: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in value)
 
 
+def iban_check(country: str, rest: str) -> int:
+    """The two check digits of an account number."""
+    return 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
+
+
 def surrogate(kind: str, value: str, key: bytes) -> str:
-    """The replacement of an entity: of equal values (in any formatting) equal ones, of different values different ones."""
+    """The replacement of an entity: of equal values (in any formatting) equal ones, of different values different ones.
+
+    Kinds of single words of names are man, woman and person (given names) and family.
+    """
     digits = "".join(c for c in value if c.isdigit())
     if kind == "email":
         local, _, domain = value.partition("@")
@@ -120,47 +157,83 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
         country = len(re.match(r"\+?(\d*)", value)[1]) if value.startswith("+") else 0
         ok = lambda d: (d[:1] < "2") == (digits[country : country + 1] < "2")
         return refill(value, digits[:country] + walked(digits[country:], lambda d: letters(d, key, f"phone:{digits[:country]}:{len(digits)}"), ok))
-    if kind in GIVEN:
-        words = re.split(r"([ -])", value)
-        names = GIVEN[kind]
-        known = frozenset(names)
-        if words[0] in known:
-            words[0] = names[permuted([names.index(words[0])], [len(names)], key, kind)[0]]
-        else:
-            words[0] = walked(words[0], lambda w: letters(w, key, kind), lambda w: w not in known)
-        return "".join([words[0], *[letters(w, key, "family") for w in words[1:]]])
     if kind == "iban":
-        return value[:2] + letters(value[2:], key, "iban:" + value[:2])
-    return letters(value, key, kind)
+        bare = value.replace(" ", "")
+        rest = letters(bare[4:], key, "iban:" + bare[:2])
+        was, right, new = int(bare[2:4]), iban_check(bare[:2], bare[4:]), iban_check(bare[:2], rest)
+        # check digits stay as right or wrong as they were, apart from what two digits can't show
+        moved = f"{bare[:2]}{(was - right + new) % 100:02d}{rest}"
+        at = iter(moved)
+        return "".join(c if c == " " else next(at) for c in value)
+    if kind in ("man", "woman", "person"):
+        for gender, names in GIVEN.items():
+            if value in names:
+                return names[shuffled(len(names), key, gender)[names.index(value)]]
+        known = frozenset(GIVEN["man"] + GIVEN["woman"])
+        return walked(value, lambda w: letters(w, key, "given", SPOKEN), lambda w: w not in known)
+    return letters(value, key, kind, SPOKEN if kind == "family" else PLACE)
+
+
+def names_in(text: str) -> dict[str, str]:
+    """The words of the names that stand behind titles, with their kinds; a family name behind any title is one."""
+    words: dict[str, str] = {}
+    for m in NAMED.finditer(text):
+        genders = [OF_TITLE.get(t.rstrip("."), "person") for t in m[1].split()]
+        gender = next((g for g in genders if g != "person"), "person")
+        parts = [OWNED.sub("", w) for w in IN_NAME.findall(m[2]) if not PARTICLE.match(w)]
+        for k, w in enumerate(parts):
+            kind = "family" if k == len(parts) - 1 else gender
+            if words.get(w) != "family":
+                words[w] = kind
+    return words
 
 
 def detected(text: str) -> list[tuple[int, int, str]]:
-    """Entities as (start, end, kind); of overlapping ones the kind of precedence stays."""
+    """Entities as (start, end, kind), in order; of overlapping ones the kind of precedence stays.
+
+    Names are replaced word by word: every whole-word mention, anywhere in the text, of a word of a name that stands
+    behind a title somewhere in it.
+    """
     found: list[tuple[int, int, str]] = []
-    digits = any(c in text for c in "0123456789")
+    taken: bytearray | None = None
+    digits = any(c in text for c in DIGITS)
+
+    def add(a: int, b: int, kind: str) -> None:
+        nonlocal taken
+        if taken is None:
+            taken = bytearray(len(text))
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = b"\1" * (b - a)
+            found.append((a, b, kind))
+
     for kind, pattern in PATTERNS:
         if (kind == "email" and "@" not in text) or (kind in ("iban", "card", "ssn", "ip", "phone") and not digits):
             continue
         for m in pattern.finditer(text):
-            a, b = m.span()
             if kind == "card":
                 number = "".join(c for c in m[0] if c.isdigit())
                 if int(number[-1]) != luhn(number[:-1]) and not (len(number) == 16 and number[0] in "3456"):
                     continue
-            if not any(x < b and a < y for x, y, _ in found):
-                found.append((a, b, kind))
-    for kind, titles in TITLES.items():
-        # most texts have no title, which a plain search sees quickest
-        if any(f"{t} " in text or f"{t}. " in text for t in titles):
-            for m in NAMED[kind].finditer(text):
-                a, b = m.span(1)
-                if m[1][0].isupper() and not any(x < b and a < y for x, y, _ in found):
-                    found.append((a, b, kind))
+            add(*m.span(), kind)
+    # most texts have no title, which a plain search sees quickest
+    flat = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\xa0", " ")
+    words = names_in(text) if any(t in flat for t in QUICK) else {}
+    if words:
+        for m in IN_NAME.finditer(text):
+            a, b = m.span()
+            if m[0] in words:
+                add(a, b, words[m[0]])
+            elif (w := OWNED.sub("", m[0])) != m[0] and w in words:
+                add(a, a + len(w), words[w])  # Smith's
+            elif "-" in m[0]:
+                for part in re.finditer(r"[^-]+", m[0]):
+                    if part[0] in words:
+                        add(a + part.start(), a + part.end(), words[part[0]])
     return sorted(found)
 
 
-def replaced(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
-    found = detected(text)
+def replaced(text: str, key: bytes, found: list[tuple[int, int, str]] | None = None) -> tuple[str, list[tuple[int, int, str]]]:
+    found = detected(text) if found is None else found
     out, at = [], 0
     for a, b, kind in found:
         out += [text[at:a], surrogate(kind, text[a:b], key)]
@@ -168,54 +241,85 @@ def replaced(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
     return "".join([*out, text[at:]]), found
 
 
+def plain(kind: str, value: str) -> str:
+    """The form that mentions of one entity share."""
+    if kind == "card":
+        return "".join(c for c in value if c.isdigit())
+    if kind == "iban":
+        return value.replace(" ", "")
+    return value.lower() if kind == "email" else value
+
+
+def group_of(kind: str) -> str:
+    """Kinds whose surrogates must differ from each other."""
+    return "given" if kind in ("man", "woman", "person") else kind
+
+
+SCHEMA = "kind string, value string, replacement string"
+
+
 def entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, value, replacement): the different entities of the corpus in their plain form."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = {(k, plain(k, t[a:b])) for t in pdf["text"].tolist() if t for a, b, k in detected(t)}
-            listed = sorted(rows)
-            yield pd.DataFrame({"kind": [k for k, _ in listed], "value": [v for _, v in listed], "replacement": [plain(k, surrogate(k, v, key)) for k, v in listed]})
+            if rows:  # an empty frame has no types
+                listed = sorted({(group_of(k), v, plain(k, surrogate(k, v, key))) for k, v in rows})
+                yield pd.DataFrame(listed, columns=["kind", "value", "replacement"])
 
-    return map_batches(docs.select("text"), run, "kind string, value string, replacement string").distinct()
+    return map_batches(docs.select("text"), run, SCHEMA).distinct()
 
 
-def plain(kind: str, value: str) -> str:
-    """The form that mentions of one entity share."""
-    if kind == "card":
-        return "".join(c for c in value if c.isdigit())
-    return value.lower() if kind == "email" else value
+def collisions(found: DataFrame) -> DataFrame:
+    """Replacements that stand for several values of a kind, and values that several replacements stand for."""
+    shared = found.groupBy("kind", "replacement").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", F.col("replacement").alias("value"), F.lit("distinctness").alias("broken"))
+    split = found.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "value", F.lit("coreference").alias("broken"))
+    return shared.unionByName(split)
 
 
-def collisions(found: DataFrame) -> DataFrame:
-    """Replacements that stand for several values of a kind."""
-    return found.groupBy("kind", "replacement").agg(F.count(F.lit(1)).alias("values")).where("values > 1")
+def occurring(found: DataFrame) -> DataFrame:
+    """Replacements that are themselves values of the corpus: the entity they name there has another one, so the texts
+    stay distinct, but a reader may take one for the other. Few, but for given names, whose lists are short."""
+    return found.join(found.select("kind", F.col("value").alias("replacement")), ["kind", "replacement"], "left_semi")
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY, check: bool = True) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, text, n_entities, entities.
 
     Every entity is replaced by a surrogate of its kind and format: digits by digits, letters by letters of their
-    alphabet and case, names by names of the same gender, check digits and address ranges that hold go on to hold.
-    Surrogates come from keyed permutations, so one entity has one surrogate in all documents (coreference) and two
-    never share one (distinctness); ``check`` counts over the whole corpus that none do, and raises if they do.
-    ``entities`` lists kind:start:end in code points of the old text. A null text stays null, without entities; an
-    empty one stays empty; repeated rows are alike; an empty table gives an empty result; texts of any length are read
-    whole; other columns are ignored.
+    alphabet and case, given names by names of the same gender, vowels of names by vowels; check digits and address
+    ranges that hold go on to hold. A name is found behind a title (Mr Smith, Dr. Anna Lee, Frau von Berg) and then in
+    every mention of its words in the text, with or without the title; names of which no word follows a title anywhere
+    in the text are not found, a limit. Surrogates come from keyed permutations, so one entity has one surrogate in all
+    documents (coreference) and two never share one (distinctness); ``check`` counts over the whole corpus that both
+    hold, and raises if they do not. ``entities`` lists kind:start:end in code points of the old text.
+
+    A null text stays null, without entities; an empty one stays empty; repeated rows are alike, as are rows without
+    doc_id; an empty table gives an empty result; texts of any length are read whole, in time linear in their length
+    and entities; other columns are ignored.
     """
     if check:
-        clash = collisions(cut(entities(docs, key), "entities"))
-        if not clash.isEmpty():
-            raise ValueError("surrogates of different entities coincide: use another key")
+        clash = collisions(cut(entities(docs, key), "entities")).first()
+        if clash:
+            raise ValueError(f"surrogates of kind {clash['kind']} break {clash['broken']}: use another key")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             done = [(None, []) if t is None else replaced(t, key) for t in pdf["text"].tolist()]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [t for t, _ in done], "n_entities": [len(f) for _, f in done], "entities": [",".join(f"{k}:{a}:{b}" for a, b, k in f) for _, f in done]})
+            yield pd.DataFrame(
+                {
+                    "doc_id": pdf["doc_id"],
+                    "text": pd.Series([t for t, _ in done], dtype=object, index=pdf.index),
+                    "n_entities": [len(f) for _, f in done],
+                    "entities": pd.Series([",".join(f"{k}:{a}:{b}" for a, b, k in f) for _, f in done], dtype=object, index=pdf.index),
+                }
+            )
 
     rows = docs.select("doc_id", "text")
     return map_batches(rows, run, rows.select("doc_id", "text").schema.add("n_entities", "long").add("entities", "string"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(read(spark, sf_dir, "documents"))
+    key = spark.conf.get(KEY_SETTING, None)
+    return pseudonymise(read(spark, sf_dir, "documents"), key.encode() if key else KEY)
