@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,11 +23,13 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Encodings in the order in which they are inferred: pattern, alphabet, and the chance that two characters of
 #: structured text (identifiers, paths, dates) in these letters are equal.
 ENCODINGS = (
+    (r"^[0-9]+$", "0123456789", 0.12),
     (r"^[0-9a-f]+$", "0123456789abcdef", 0.12),
     (r"^[0-9A-F]+$", "0123456789ABCDEF", 0.12),
     (r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.07),
     (r"^[A-Za-z0-9]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 0.055),
     (r"^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.055),
+    (r"^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 0.055),
     (r"^", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_+/", 0.055),
 )
 #: Lower ends of the length bands within which the false-discovery rate is held.
@@ -34,24 +38,49 @@ BANDS = (20, 24, 32, 48, 64, 128)
 RATE, LEVEL = 0.05, 0.001
 
 
+#: Elements that one fold of a running sum takes.
+BLOCK = 128
+NONE = "CAST(array() AS array<struct<start:int,end:int,hit:string,value:string>>)"
+
+
+def bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """The array ``made(value)``, for which ``value`` is computed once, however often it is used."""
+    return F.flatten(F.transform(F.array(value), made))
+
+
+def running(numbers: Column) -> Column:
+    """Running sums of an array<int>. A fold copies what it has at each step, so it runs over blocks and over their sums."""
+
+    def sums(xs: Column) -> Column:
+        return F.aggregate(xs, F.expr("CAST(array() AS array<int>)"), lambda acc, x: F.concat(acc, F.array(last(acc) + x)))
+
+    def last(acc: Column) -> Column:
+        return F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
+
+    def blocks(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs), F.lit(1)) - 1, F.lit(BLOCK)), lambda at: sums(F.slice(xs, at + 1, BLOCK)))
+
+    def whole(parts: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), sums(F.transform(parts, last)))
+        return F.flatten(F.zip_with(parts, F.slice(before, 1, F.size(parts)), lambda part, at: F.transform(part, lambda x: x + at)))
+
+    return bound(bound(numbers, blocks), whole)
+
+
 def found(text: Column, pattern: str) -> Column:
-    """All leftmost matches as array<struct<start, end, all, value>>; code points, end exclusive.
+    """All leftmost matches as array<struct<start, end, hit, value>>; code points, end exclusive.
 
     The gaps between matches and the matches, in turn, give the offsets. Text without a match is not split.
     """
     groups = 2 if pattern == ASSIGN else 0
-    whole, value, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(groups)), F.split(text, pattern)
-    both = F.arrays_zip(gaps.alias("gap"), whole.alias("hit"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,end:int,hit:string,value:string>>)").alias("out"))
+    hits, value, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(groups)), F.split(text, pattern)
+    met = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), value.alias("value")), lambda x: x["hit"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        item = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+    def placed(all_: Column) -> Column:
+        ends = running(F.transform(all_, lambda x: F.length(x["gap"]) + F.length(x["hit"])))
+        return F.zip_with(all_, ends, lambda x, end: F.struct((end - F.length(x["hit"])).alias("start"), end.alias("end"), x["hit"].alias("hit"), x["value"].alias("value")))
 
-    hits = F.aggregate(F.filter(both, lambda x: x["hit"].isNotNull()), start, step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(pattern)), hits).otherwise(F.expr("CAST(array() AS array<struct<start:int,end:int,hit:string,value:string>>)"))
+    return F.when(F.rlike(text, F.lit(pattern)), bound(met, placed)).otherwise(F.expr(NONE))
 
 
 def spans_of(text: Column, kind: str) -> Column:
@@ -143,24 +172,23 @@ def controlled(tested: DataFrame, rate: float = RATE, level: float = LEVEL) -> D
 def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans.
 
-    Offsets are code points, ends exclusive. A random string that overlaps a base span adds none. Null and empty texts
-    have no spans; repeated rows are scanned each for itself; an empty table gives an empty result; texts of any length
-    are scanned whole; other columns are ignored.
+    Offsets are code points, ends exclusive. A random string that overlaps a base span adds none. Every run of CANDIDATE
+    is tested, and the false-discovery control alone decides. Null and empty texts have no spans; repeated rows are
+    scanned each for itself; an empty table gives an empty result; other columns are ignored. Texts of any length are
+    scanned whole, in time that grows with their length (running sums in blocks: n * BLOCK + (n / BLOCK)^2 copies for n
+    matches of a text).
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
-    none = "CAST(array() AS array<struct<start:int,end:int,hit:string,value:string>>)"
-    worth = F.filter(found(F.col("text"), CANDIDATE), lambda x: F.rlike(x["hit"], F.lit("[0-9]")) & F.rlike(x["hit"], F.lit("[A-Za-z]")))
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     scanned = rows.select(
         "doc_id",
         *[spans_of(F.col("text"), k).alias(k) for k in KINDS[:3]],
-        F.transform(F.coalesce(worth, F.expr(none)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("token"))).alias("worth"),
+        F.transform(found(F.col("text"), CANDIDATE), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("token"))).alias("worth"),
     ).withColumn("row_id", F.monotonically_increasing_id())
     scanned = cut(scanned, "secrets-scanned")  # texts are read once; row ids are fixed from here on
     base = F.concat("assign", "access", "hex")
-    single = scanned.where(F.size("worth") > 0).select("row_id", base.alias("base"), F.explode("worth").alias("c")).select("row_id", "base", "c.*")
-    clear = single.where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))).drop("base")
-    tested = cut(randomness(clear).withColumn("length", F.length("token")).drop("token"), "secrets-tested")
+    worth = scanned.where(F.size("worth") > 0)
+    plain = worth.where(F.size(base) == 0).select("row_id", F.explode("worth").alias("c")).select("row_id", "c.*")
+    tested = cut(randomness(plain.unionByName(apart(worth.where(F.size(base) > 0), base))).withColumn("length", F.length("token")).drop("token"), "secrets-tested")
     more = controlled(tested, rate).groupBy("row_id").agg(F.collect_list(F.struct(F.col("start"), F.lit(3).alias("rank"), F.col("end"))).alias("random"))
     out = scanned.drop("worth").join(more, "row_id", "left").withColumn("random", F.coalesce("random", F.expr("CAST(array() AS array<struct<start:int,rank:int,end:int>>)")))
     return out.select(
@@ -171,5 +199,17 @@ def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     )
 
 
+def apart(rows: DataFrame, base: Column) -> DataFrame:
+    """(row_id, start, end, token): the candidates of ``rows`` that no base span overlaps.
+
+    Of the base spans that begin before a candidate ends, the furthest end decides: one pass over both in order.
+    """
+    bases = rows.select("row_id", F.explode(base).alias("b")).select("row_id", F.col("b.start").alias("at"), F.lit(1).alias("later"), F.col("b.end").alias("reach"), F.expr("CAST(NULL AS struct<start:int,end:int,token:string>)").alias("c"))
+    asked = rows.select("row_id", F.explode("worth").alias("c")).select("row_id", F.col("c.end").alias("at"), F.lit(0).alias("later"), F.lit(0).alias("reach"), "c")
+    order = W.partitionBy("row_id").orderBy("at", "later").rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = bases.unionByName(asked).withColumn("furthest", F.max("reach").over(order))
+    return both.where("c IS NOT NULL AND furthest <= c.start").select("row_id", "c.*")
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents"))
