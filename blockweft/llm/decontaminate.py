@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, pin, read
@@ -16,13 +19,13 @@ SHORTEST = 4
 
 # Marks of the typed placeholders (private use characters), numbers, units after a number.
 NUM, NAME, UNIT = "", "", ""
-NUMBER = r"(?<![\p{L}\p{N}])[+-]?\p{Nd}+(?:[.,:/]\p{Nd}+)*"
+NUMBER = r"(?<![\p{L}\p{N}.,:/+-])[+-]?\p{Nd}+(?:[.,:/]\p{Nd}+)*"
 UNITS = r"(?:km|cm|mm|m|mi|miles?|metres?|meters?|feet|ft|inch(?:es)?|kg|g|mg|grams?|lbs?|pounds?|tons?|l|ml|lit(?:re|er)s?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|usd|eur|percent|degrees?|kwh|kw|w|v|hz|mb|gb|tb|mph|kmh)"
-#: A capitalised word, or several, within a sentence: after a lower case letter or comma and a space.
-PROPER = r"(?<=[\p{Ll},;] )\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*"
+#: A capitalised word, or up to seven, within a sentence: after a lower case letter or comma and a space.
+PROPER = r"(?<=[\p{Ll},;] )\p{Lu}\p{L}*(?: \p{Lu}\p{L}*){0,6}"
 #: A capitalised word elsewhere, as at the start of a sentence, line or quotation, and the capitalised words behind it;
 #: marks of such a word, and of one with others behind it; words that no name is.
-OPENER = r"(?<![\p{L}\p{N}])(?<![\p{Ll},;] )(\p{Lu}\p{Ll}+)((?: \p{Lu}\p{L}*)*)"
+OPENER = r"(?<![\p{L}\p{N}])(?<![\p{Ll},;] )(\p{Lu}\p{Ll}+)((?: \p{Lu}\p{L}*){0,6})"
 OPEN, REST = "\ue0f0", "\ue0f1"
 COMMON = frozenset(
     "a about after all also although an and any are as at because before both but by can could did do does during each either every first find for from given had has have he her here his how i if in is it its let many most my no not now of on once one only or our over please same second she should since so some such than that the their then there these they this those three to two under until was we were what when where which while who whose why will with would yes you your "
@@ -52,13 +55,13 @@ def marked_words(text: Column, names: tuple[list[str], list[str]] = ([], [])) ->
     those that the items have are words, and all others names, as no item can have them as words.
     """
     t = F.translate(F.coalesce(text, F.lit("")), NUM + NAME + UNIT + OPEN + REST, "")
-    t = F.regexp_replace(t, OPENER, f" {OPEN}$0 ")
-    t = F.regexp_replace(t, f"(?<={OPEN}\\p{{L}}{{1,40}}) (?=\\p{{Lu}})", ".")
-    t = F.regexp_replace(t, PROPER, f"{NAME}$0 ")
+    t = F.regexp_replace(t, OPENER, f" {OPEN}$0{REST} ")
+    t = F.regexp_replace(t, f" (?=\\p{{Lu}})(?<={OPEN}[\\p{{L}} ]{{1,400}})", ".")
+    t = F.regexp_replace(t, PROPER, f"{NAME}$0{REST} ")
     t = F.regexp_replace(t, f"({NUMBER})\\s?(?i:({UNITS})(?![\\p{{L}}\\p{{N}}]))", f" {NUM}$1 {UNIT}$2 ")
     t = F.regexp_replace(t, f"(?<!{NUM})(?<![\\p{{L}}\\p{{N}}.,:/{NUM}{NAME}{UNIT}+-])({NUMBER[NUMBER.index('[+-]'):]})", f" {NUM}$1 ")
-    # the words of a name stay together: a space between two capitals behind a mark becomes a point
-    t = F.regexp_replace(t, f"(?<={NAME}\\p{{L}}{{1,40}}) (?=\\p{{Lu}})", ".")
+    # the words of a name stay together: a space between its capitals becomes a point
+    t = F.regexp_replace(t, f" (?=\\p{{Lu}})(?<={NAME}[\\p{{L}} ]{{1,400}})", ".")
     words = F.split(F.lower(t), r"[^\p{L}\p{N}.,:/+\-" + NUM + NAME + UNIT + OPEN + "]+")
 
     def opened(w: Column) -> Column:
@@ -82,7 +85,7 @@ def template(words: Column) -> Column:
 def template_hashes(text: Column, names: tuple[list[str], list[str]] = ([], [])) -> Column:
     """Hashes of the template's words, for whole corpora: like ``template(marked_words(text, names))`` without the values."""
     t = F.translate(F.coalesce(text, F.lit("")), OPEN + REST, "")
-    t = F.regexp_replace(t, OPENER[:-1] + "+)", f" {OPEN}$1{REST} ")
+    t = F.regexp_replace(t, OPENER.replace("{0,6}", "{1,6}"), f" {OPEN}$1{REST} ")
     t = F.regexp_replace(t, f"(?<!{OPEN})" + OPENER, f" {OPEN}$1 ")
     t = F.regexp_replace(t, PROPER, f" {NAME} ")
     t = F.regexp_replace(t, NUMBER, f" {NUM} ")
@@ -147,28 +150,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     question and the question with other numbers, names or units are found. Items shorter than ``window`` are windows
     of their own length; those below SHORTEST words, null or empty are not looked for. Null and empty documents leak
     nothing; rows that repeat a doc_id count as one document, found if one of them leaks; equal items are each
-    reported; an empty table gives an empty result; other columns are ignored.
+    reported; an empty table gives an empty result; texts of any length are read whole; other columns are ignored.
+
+    Every window of a document meets the different windows of all items, at most once each, so what comes of it is no
+    more than the documents' windows. A document that holds ``coverage`` of an item's windows holds one of its rarest
+    as well, counted in the documents, once more than 1 - coverage of them are taken; only these lead to candidates, so
+    windows of placeholders that many items and documents share are hardly ever followed. Items of one template are
+    one for this search.
     """
     names = vocabulary(benchmark)
     items = benchmark.select("item_id", "text", marked_words(F.col("text"), names).alias("item_words"))
     items = pin(items, h=template_hashes(F.col("text"), names)).where((F.size("h") >= SHORTEST) & (F.size("item_words") >= SHORTEST)).drop("text")
     # short items have a width of their own
-    items = cut(items.withColumn("width", F.least(F.size("h"), F.size("item_words"), F.lit(window))), "leak-items")
-    widths = [r["width"] for r in items.select("width").distinct().collect()]  # at most ``window``
-    base = pin(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), h=template_hashes(F.col("text"), names)).drop("text")
-    looked = None
-    for width in sorted(widths):
-        mine = items.where(F.col("width") == width)
-        keys = mine.select("item_id", F.explode(windows(F.col("h"), width)).alias("window")).distinct()
-        seen = base.select("doc_id", F.explode(windows(F.col("h"), width)).alias("window"))
-        met = seen.join(cut(keys, "leak-windows"), "window").select("doc_id", "item_id")
-        looked = met if looked is None else looked.unionByName(met)
-    if looked is None:
+    items = items.withColumn("width", F.least(F.size("h"), F.size("item_words"), F.lit(window)))
+    items = cut(items.withColumn("template", F.xxhash64("width", "h")), "leak-items")
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most ``window``
+    if not widths:
         return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, coverage double, n_slots int, n_changed int")
-    candidates = cut(looked.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("met")), "leak-candidates")
-    # the candidates are a written table, whose size decides between a broadcast and a shuffle
-    texts = docs.select("doc_id", "text").join(candidates.select("doc_id", "item_id"), "doc_id")
-    pairs = cut(texts.select("doc_id", "item_id", marked_words(F.col("text"), names).alias("doc_words")), "leak-texts").join(items.select("item_id", "item_words", "width"), "item_id")
+    each = [items.where(F.col("width") == w).dropDuplicates(["template"]).select("template", F.explode(windows(F.col("h"), w)).alias("window")) for w in widths]
+    held = cut(reduce(DataFrame.unionByName, each).groupBy("template", "window").agg(F.count(F.lit(1)).alias("m")), "leak-windows")
+    base = pin(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), h=template_hashes(F.col("text"), names)).drop("text")
+    seen = base.select("doc_id", F.explode(F.array_distinct(F.concat(*[windows(F.col("h"), w) for w in widths]))).alias("window"))
+    # the windows are a written table, whose size decides between a broadcast and a shuffle
+    met = cut(seen.join(cut(held.select("window").distinct(), "leak-keys"), "window"), "leak-met")
+
+    counts = met.groupBy("window").agg(F.count(F.lit(1)).alias("n"))
+    ranked = W.partitionBy("template").orderBy(F.coalesce("n", F.lit(0)), "window").rowsBetween(W.unboundedPreceding, -1)
+    order = held.join(counts, "window", "left").withColumn("before", F.coalesce(F.sum("m").over(ranked), F.lit(0))).withColumn("all", F.sum("m").over(W.partitionBy("template")))
+    rarest = cut(order.where((F.col("n") > 0) & (F.col("before") <= F.col("all") - F.ceil(F.col("all") * F.lit(float(coverage)) - 1e-9))).select("template", "window"), "leak-rarest")
+    found = met.join(rarest, "window").select("doc_id", "template").distinct()
+    candidates = cut(found.join(items.select("template", "item_id").distinct(), "template").select("doc_id", "item_id").distinct(), "leak-candidates")
+    texts = docs.select("doc_id", "text").join(candidates.select("doc_id").distinct(), "doc_id")
+    texts = cut(texts.select("doc_id", marked_words(F.col("text"), names).alias("doc_words")), "leak-texts")
+    pairs = texts.join(candidates, "doc_id").join(items.select("item_id", "item_words", "width"), "item_id")
     judged = compare(pairs, F.col("width"), coverage, conflict).where((F.col("coverage") >= coverage) & (F.col("n_conflicts") <= conflict * F.col("n_slots")))
     return judged.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"))
 
