@@ -19,8 +19,9 @@ BAND, SPARE = 1.9, 1.7
 FREQUENT = 200_000
 #: 64-bit words of the sketches that pairs are tested by before their texts are fetched.
 LONGS = 16
-#: Rows of a frequent cell value are split in so many parts for the first round of comparisons.
-PARTS = 64
+#: Rows of a frequent cell value are split in so many parts at least for the first round of comparisons, and into more
+#: where a part would have more rows than this.
+PARTS, PART_ROWS = 64, 20_000
 
 
 class Sketch:
@@ -140,10 +141,12 @@ def _looked_up(words: int, sketch: Sketch, frequent: np.ndarray, often: np.ndarr
                 if keys:
                     key = np.concatenate(keys)
                     at = np.searchsorted(frequent, key) if len(frequent) else np.zeros(len(key), np.int64)
-                    hot = frequent[np.minimum(at, len(frequent) - 1)] == key if len(frequent) else np.zeros(len(key), bool)
+                    at = np.minimum(at, len(frequent) - 1)
+                    hot = frequent[at] == key if len(frequent) else np.zeros(len(key), bool)
                     doc = np.concatenate(docs)
-                    part = np.where(hot, mixed(doc.astype(np.uint64)) % np.uint64(PARTS) + np.uint64(1), 0)
-                    yield pd.DataFrame({"key": key.view(np.int64), "part": part.astype(np.int16), "doc_id": doc})
+                    parts_of = np.maximum(PARTS, often[at] // PART_ROWS if len(frequent) else 0).astype(np.uint64)
+                    part = np.where(hot, mixed(doc.astype(np.uint64)) % parts_of + np.uint64(1), 0)
+                    yield pd.DataFrame({"key": key.view(np.int64), "part": part.astype(np.int64), "doc_id": doc})
 
     return run
 
@@ -247,7 +250,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     value, m = often["cell"].to_numpy(np.int64).view(np.uint64), often["m"].to_numpy(np.int64)
     order = np.argsort(value)
     nodes = rows.where("doc_id IS NOT NULL")
-    keyed = map_batches(nodes, _looked_up(words, sketch, value[order], m[order]), "key long, part short, doc_id long")
+    keyed = map_batches(nodes, _looked_up(words, sketch, value[order], m[order]), "key long, part long, doc_id long")
 
     # every document of a key's part meets the part's smallest; the parts of a frequent key meet by their smallest
     group = W.partitionBy("key", "part")

@@ -51,17 +51,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return leveled.withColumn("_final", final).select("source", "source_size", F.when(F.col("_final").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_final") * F.col("_w"))).alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, bins: int = BINS) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, epochs, chosen, taken.
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, bins: int = BINS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, epochs, chosen, taken,
+    and the columns that ``carry`` names, as they are.
 
     Each source takes whole epochs while its target allows, then the documents of the smallest exponential keys
     -ln(u) / quality until their words come nearest to what is left: a document is chosen if its middle word lies
     within the budget. ``quality`` has a positive weight for a doc_id (the largest holds where it is repeated);
     without one it is 1. Null and empty texts have size 0 and are never chosen. Null sources form one source. Equal
     keys are ordered by doc_id; rows repeated under one doc_id are ordered by size and otherwise alike. The u is a
-    hash of doc_id, so reruns agree. An empty table gives an empty result; other columns are ignored.
+    hash of doc_id, so reruns agree. An empty table gives an empty result; texts of any length are counted whole; other
+    columns are ignored.
     """
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry)
     if quality is not None:
         known = quality.select(F.col("doc_id"), F.col("weight").cast("double").alias("weight")).groupBy("doc_id").agg(F.max("weight").alias("weight"))
         base = base.join(known, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
@@ -70,7 +72,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     base = base.withColumn("key", -F.log(uniform(F.col("doc_id"))) / F.col("weight"))
     # keys to bins of like numbers, in order; bins don't change the result
     base = base.withColumn("bin", F.least(F.lit(bins - 1), F.floor((1 - F.exp(-F.col("key"))) * bins)).cast("int"))
-    base = cut(base.select("doc_id", "source", "size", "key", "bin"), "mix-sizes")
+    base = cut(base.select("doc_id", "source", "size", "key", "bin", *carry), "mix-sizes")
 
     by_bin = cut(base.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "mix-bins")
     targets = source_targets(by_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, most)
@@ -87,10 +89,20 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     rows = rows.withColumn("before", F.col("prior") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     chosen = (F.col("size") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("rest")) & (F.col("epochs") < most)
     return rows.withColumn("chosen", chosen).select(
-        "doc_id", "source", "size", "source_size", "target", "epochs", "chosen", (F.col("size") * (F.col("epochs") + F.col("chosen").cast("int"))).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "epochs", "chosen", (F.col("size") * (F.col("epochs") + F.col("chosen").cast("int"))).cast("long").alias("taken"), *carry
     )
 
 
+def repeated(docs: DataFrame, quality: DataFrame | None = None, **how: float) -> DataFrame:
+    """Each row of ``docs``, all columns, as often as the mix takes it; rows without doc_id, or with a repeated one, too.
+
+    Handles nulls, ties, repeated rows and empty tables as ``mix`` does.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")  # ids are fixed from here on
+    times = mix(rows, quality, carry=("_row",), **how).select("_row", (F.col("epochs") + F.col("chosen").cast("int")).cast("int").alias("_times")).where("_times > 0")
+    return rows.join(cut(times, "mix-taken"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 def label_quality(labels: DataFrame) -> DataFrame:
     good, none, bad = QUALITY
     return labels.select("doc_id", F.when(F.col("quality") == 1, good).when(F.col("quality") == 0, bad).otherwise(none).alias("weight"))
