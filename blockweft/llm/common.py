@@ -42,16 +42,38 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
-    written._cut_path = path
+    if _open:
+        _open[-1].tables.append((spark, path, written))
     return written
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``cut`` wrote, once all that was made of them is written itself."""
-    for table in tables:
-        if path := getattr(table, "_cut_path", None):
-            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+class Scratch:
+    """Within ``with Scratch() as held`` tables that ``cut`` writes are deleted at the end, but for those given to
+    ``held.keep``. Delete only what is read no more: all that was made of it has to be written itself."""
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[SparkSession, str, DataFrame]] = []
+        self.kept: list[DataFrame] = []
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept += tables
+
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def __exit__(self, kind: type | None, *_: object) -> None:
+        _open.pop()
+        for spark, path, table in self.tables:
+            if any(table is k for k in self.kept):
+                if _open:
+                    _open[-1].tables.append((spark, path, table))
+            elif kind is None:
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+_open: list[Scratch] = []
 
 
 def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, pin, read
+from .common import Scratch, cut, pin, read
 
 #: Template words in a window; every window of a document is looked up.
 WINDOW = 6
@@ -188,9 +188,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **how: float) -> DataFrame:
-    """The documents that leak nothing, all columns; rows without a doc_id stay."""
-    found = leaks(docs, benchmark, **how).select("doc_id").distinct()
-    return docs.join(cut(found, "leak-found"), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that leak nothing, all columns; rows without a doc_id stay.
+
+    Nulls, ties, repeated rows, empty tables and long texts are handled as in ``leaks``.
+    """
+    with Scratch() as held:
+        found = cut(leaks(docs, benchmark, **how).select("doc_id").distinct(), "leak-found")
+        held.keep(found)
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, map_batches, read
+from .common import Scratch, cut, lookup, map_batches, read
 from .textnum import batches, mixed, shingles
 
 #: Ratio of the sizes at the ends of a size band, and cells of a band's sketch for each cell that may differ.
@@ -215,6 +215,13 @@ def components(edges: DataFrame) -> DataFrame:
     Every round each node takes the smallest label among its neighbours', then that label's own label, until none
     changes; labels are written each round.
     """
+    with Scratch() as held:
+        labels = _labelled(edges)
+        held.keep(labels)
+    return labels.select("node", "root")
+
+
+def _labelled(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
     while True:
@@ -223,10 +230,9 @@ def components(edges: DataFrame) -> DataFrame:
         step = cut(step, "labels")
         jump = step.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         after = cut(step.join(jump, step["root"] == jump["_n"], "left").select("node", "old", F.least("root", F.coalesce("_r", "root")).alias("root")), "labels")
-        changed = not after.where("root <> old").isEmpty()
+        if after.where("root <> old").isEmpty():
+            return after
         labels = after.select("node", "root")
-        if not changed:
-            return labels
 
 
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -239,6 +245,21 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     that repeat a doc_id are one node with all their links; rows without a doc_id have component null. An empty table
     gives an empty result; texts of any length are read whole; other columns are ignored.
     """
+    with Scratch() as held:
+        sets, described, n_rows = _described_classes(docs, words, percent, held)
+    out = lookup(sets, described, "sig", "copies", n_rows)
+    alone = F.col("class_id").isNull() | F.col("doc_id").isNull()
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+
+
+def _described_classes(docs: DataFrame, words: int, percent: int, held: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """The sets of all documents (doc_id, n, sig), the classes of equal sets with their links and component, and the count of documents."""
     sketch = Sketch(percent)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     read_out = cut(map_batches(rows, _described(words, sketch), "doc_id long, n long, sig long, sig2 long, cell long, m long"), "jaccard-sets")
@@ -315,21 +336,19 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     degree = linked.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
     described = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").join(degree, "class_id", "left")
     described = cut(described.select("sig", "copies", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "class_id").alias("component_id")), "jaccard-described")
-    out = lookup(sets, described, "sig", "copies", n_rows)
-    alone = F.col("class_id").isNull() | F.col("doc_id").isNull()
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    held.keep(read_out, described)
+    return sets, described, n_rows
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of the smallest doc_id of each component, all columns; rows without doc_id stay."""
-    groups = similar_groups(docs, words, percent)
-    gone = cut(groups.where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
+    """The documents of the smallest doc_id of each component, all columns; rows without doc_id stay.
+
+    Nulls, ties, repeated rows, empty tables and long texts are handled as in ``similar_groups``.
+    """
+    with Scratch() as held:
+        groups = similar_groups(docs, words, percent)
+        gone = cut(groups.where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
+        held.keep(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

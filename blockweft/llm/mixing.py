@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, read
+from .common import SPACE, Scratch, cut, read
 
 #: Weights that the sources get in turn, the share of all words that the mix has, the most copies of a source,
 #: and the quality weights of documents that are labelled good, not labelled, labelled bad.
@@ -96,11 +96,24 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
 def repeated(docs: DataFrame, quality: DataFrame | None = None, **how: float) -> DataFrame:
     """Each row of ``docs``, all columns, as often as the mix takes it; rows without doc_id, or with a repeated one, too.
 
-    Handles nulls, ties, repeated rows and empty tables as ``mix`` does.
+    Rows of one doc_id, source and text are the same document several times; where a budget ends among them, one of
+    them stands for as many copies as all of them are taken. Nulls, ties and empty tables are handled as in ``mix``.
     """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")  # ids are fixed from here on
-    times = mix(rows, quality, carry=("_row",), **how).select("_row", (F.col("epochs") + F.col("chosen").cast("int")).cast("int").alias("_times")).where("_times > 0")
-    return rows.join(cut(times, "mix-taken"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    digest = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    with Scratch() as held:
+        taken = mix(docs.withColumn("_text", digest), quality, carry=("_text",), **how)
+        times = F.col("epochs") + F.col("chosen").cast("int")
+        by_row = taken.groupBy("doc_id", "source", "_text").agg(F.min(times).alias("low"), F.max(times).alias("high"), F.sum(times).alias("total"))
+        by_row = cut(by_row.where("high > 0").withColumnsRenamed({"doc_id": "_id", "source": "_source"}), "mix-taken")
+        held.keep(by_row)
+    rows = docs.withColumn("_hash", digest)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_text"))
+    out = rows.join(by_row.where("low = high"), same).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("low").cast("int")))).select(*docs.columns)
+    ends = by_row.where("low < high")  # one group for each source at most
+    if not ends.isEmpty():
+        some = rows.join(F.broadcast(ends), same).dropDuplicates(["doc_id", "source", "_hash"])
+        out = out.unionByName(some.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("total")))).select(*docs.columns))
+    return out
 
 
 def label_quality(labels: DataFrame) -> DataFrame:
