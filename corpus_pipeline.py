@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockweft.llm.common import cut, read
+from blockweft.llm.common import Scratch, cut, read
 from blockweft.llm.decontaminate import without_leaks
 from blockweft.llm.jaccard import one_of_each
 from blockweft.llm.language import keep_known
@@ -71,6 +71,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with Scratch() as held:
+        for name, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        held.keep(docs)
     return docs
