@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # The round constants' generator taps and rotation offsets follow the published Keccak rules.
 MASK = (1 << 64) - 1
@@ -133,9 +132,9 @@ def word(data: Column, at: Column | int) -> Column:
 
 
 def small(w: Column) -> Column:
-    """An offset or length as int; null if it doesn't fit three bytes, which no data of ours reaches."""
-    fits = (F.length(w) == 32) & (F.hex(F.substring(w, 1, 29)) == "00" * 29)
-    return F.when(fits, F.conv(F.hex(F.substring(w, 30, 3)), 16, 10).cast("int"))
+    """An offset or length as int; null if it is no whole word or beyond what binary data can hold (2^31 - 1 bytes)."""
+    fits = (F.length(w) == 32) & (F.hex(F.substring(w, 1, 28)) == "00" * 28) & (F.hex(F.substring(w, 29, 1)) < "80")
+    return F.when(fits, F.conv(F.hex(F.substring(w, 29, 4)), 16, 10).cast("long"))
 
 
 def hex0x(b: Column) -> Column:
@@ -154,21 +153,15 @@ def number_key(value: int, signed: bool) -> bytes:
     return ((value + (1 << 255)) if signed else value).to_bytes(32, "big")
 
 
-@F.pandas_udf(StringType())
-def _wide(words: pd.Series) -> pd.Series:
-    return words.map(lambda b: None if b is None else str(int.from_bytes(b, "big")))
-
-
-def decimal_string(w: Column, signed: bool = False, wide: bool = True) -> Column:
-    """Decimal text of a 32-byte number: natively below 2^126 in size, by one Arrow UDF above (null without ``wide``)."""
+def decimal_string(w: Column, signed: bool = False) -> Column:
+    """Decimal text of a 32-byte number."""
     if signed:
         negative = F.hex(F.substring(w, 1, 1)) >= "80"
-        # -x is the complement plus one, and for what the native path takes the low 16 bytes suffice
+        # -x is the complement plus one
         inverted = F.translate(F.hex(w), "0123456789ABCDEF", "FEDCBA9876543210")
-        magnitude = F.when(negative, _plus_one(inverted)).otherwise(F.hex(w))
-        text = _hex_decimal(magnitude, wide)
+        text = _hex_decimal(F.when(negative, _plus_one(inverted)).otherwise(F.hex(w)))
         return F.when(negative, F.concat(F.lit("-"), text)).otherwise(text)
-    return _hex_decimal(F.hex(w), wide)
+    return _hex_decimal(F.hex(w))
 
 
 def _plus_one(digits: Column) -> Column:
@@ -179,13 +172,34 @@ def _plus_one(digits: Column) -> Column:
     return F.when(F.length(head) == 0, F.lit("0" * 64)).otherwise(F.rpad(F.concat(F.left(head, F.length(head) - 1), up), 64, "0"))
 
 
-def _hex_decimal(digits: Column, wide: bool) -> Column:
-    low, high = F.conv(F.substring(digits, 49, 16), 16, 10), F.conv(F.substring(digits, 33, 16), 16, 10)
-    top = F.substring(digits, 1, 32) == "0" * 32
-    two = top & (F.substring(digits, 33, 1) < "4")
-    both = (high.cast("decimal(20,0)") * F.lit("18446744073709551616").cast("decimal(20,0)")).cast("decimal(38,0)") + low.cast("decimal(38,0)")
-    native = F.when(top & (F.substring(digits, 33, 16) == "0" * 16), low).when(two, F.regexp_replace(both.cast("string"), r"\..*$", ""))
-    return F.coalesce(native, _wide(F.when(~two, F.unhex(digits)))) if wide else native
+#: Digits of a decimal limb: four products of a 64-bit number and a limb still fit 38 digits.
+LIMB = 18
+
+
+def _hex_decimal(digits: Column) -> Column:
+    """Decimal text of 64 hex digits: of the last 16 alone where the others are zero, else by limbs of LIMB digits.
+
+    The number is the sum of its four 64-bit parts times powers of 2^64, whose limbs are constants; carries then go from
+    limb to limb.
+    """
+    low = F.conv(F.substring(digits, 49, 16), 16, 10)
+    parts = [F.conv(F.substring(digits, 49 - 16 * k, 16), 16, 10).cast("decimal(20,0)") for k in range(4)]
+    sums = []
+    for k in range(5):
+        terms = [(p, (1 << 64 * p) // 10 ** (LIMB * k) % 10**LIMB) for p in range(4)]
+        products = [(parts[p] * F.lit(f).cast(f"decimal({LIMB},0)")).cast("decimal(38,0)") for p, f in terms if f]
+        sums.append(reduce(lambda a, b: (a + b).cast("decimal(38,0)"), products, F.lit(0).cast("decimal(38,0)")))
+    base = F.lit(10**LIMB).cast("decimal(19,0)")
+
+    def step(acc: Column, x: Column) -> Column:
+        total = (acc["carry"] + x).cast("decimal(38,0)")
+        rest = (total % base).cast(f"decimal({LIMB},0)")
+        # the difference is a multiple of the base, so the quotient is exact
+        return F.struct(((total - rest) / base).cast("decimal(38,0)").alias("carry"), F.concat(F.lpad(rest.cast("string"), LIMB, "0"), acc["text"]).alias("text"))
+
+    start = F.struct(F.lit(0).cast("decimal(38,0)").alias("carry"), F.lit("").alias("text"))
+    wide = F.ltrim(F.aggregate(F.array(*sums), start, step, lambda acc: acc["text"]), F.lit("0"))
+    return F.when(F.substring(digits, 1, 48) == "0" * 48, low).otherwise(wide)
 
 
 def decode_values(params: tuple[Param, ...], data: Column, topics: Column | None = None) -> tuple[Column, list[Column]]:
@@ -204,9 +218,10 @@ def decode_values(params: tuple[Param, ...], data: Column, topics: Column | None
         head += 32
         if dynamic(p.type):
             offset = small(w)
-            size = F.when(offset.isNotNull(), small(word(data, offset)))
+            size = F.when(offset.isNotNull() & (offset < F.length(data)), small(word(data, offset.cast("int"))))
             oks.append(F.coalesce(size.isNotNull() & (offset + 32 + size <= F.length(data)), F.lit(False)))
-            out.append(F.substring(data, F.coalesce(offset, F.lit(0)) + 33, F.coalesce(size, F.lit(0))))
+            # where the bounds hold both are ints
+            out.append(F.when(oks[-1], F.substring(data, (offset + 33).cast("int"), size.cast("int"))))
         else:
             out.append(_fixed(p.type, w))
     ok = F.length(data) >= head
@@ -229,10 +244,10 @@ def _fixed(sol: str, w: Column, raw: bool = False) -> Column:
     return w
 
 
-def canonical(p: Param, value: Column, wide: bool = True) -> Column:
+def canonical(p: Param, value: Column) -> Column:
     """The JSON value of a parameter: numbers as decimal text, bool, text, all else as 0x hex."""
     if p.type.startswith(("uint", "int")):
-        return decimal_string(value, p.type.startswith("int"), wide)
+        return decimal_string(value, p.type.startswith("int"))
     if p.type == "bool":
         return F.hex(value) != "00" * 32
     if p.type == "string" and not p.indexed:
@@ -240,12 +255,48 @@ def canonical(p: Param, value: Column, wide: bool = True) -> Column:
     return hex0x(value)
 
 
-def canonical_params(params: tuple[Param, ...], values: list[Column], wide: bool = True) -> Column:
+def canonical_params(params: tuple[Param, ...], values: list[Column]) -> Column:
     if len(params) != len(values):
         raise ValueError("parameters and values differ in number")
     if not params:
         return F.lit("{}")
-    return F.to_json(F.struct(*[canonical(p, v, wide).alias(p.name) for p, v in zip(params, values, strict=True)]))
+    return F.to_json(F.struct(*[canonical(p, v).alias(p.name) for p, v in zip(params, values, strict=True)]))
+
+
+def typed(p: Param, value: Column) -> Column:
+    """A parameter as a value of its own type: numbers of up to 63 bits as long, of up to 126 as decimal(38,0), others as
+    decimal text; bool; text; all else as binary."""
+    if p.type.startswith(("uint", "int")):
+        text, bits = decimal_string(value, p.type.startswith("int")), int(re.sub(r"\D", "", p.type))
+        return text.try_cast("long") if bits < 64 else text.try_cast("decimal(38,0)") if bits <= 120 else text
+    if p.type == "bool":
+        return F.hex(value) != "00" * 32
+    if p.type == "string" and not p.indexed:
+        return F.make_valid_utf8(value.cast("string"))
+    return value
+
+
+def decode_call(df: DataFrame, signature: str, data: str = "input", to: str = "decoded") -> DataFrame:
+    """``df`` with a struct of the typed parameters of a `function ...`; null where the data is of another one, or broken."""
+    target = parse_signature(signature)
+    if target.kind != "call":
+        raise ValueError("not a function")
+    ok, values = decode_values(target.params, F.expr(f"substring(`{data}`, 5)"))
+    return _with_decoded(df, target, (F.substring(F.col(data), 1, 4) == F.lit(target.hash)) & ok, values, to)
+
+
+def decode_event(df: DataFrame, signature: str, topics: str = "topics", data: str = "data", to: str = "decoded") -> DataFrame:
+    """``df`` with a struct of the typed parameters of an `event ...`; null where the log is of another one, or broken."""
+    target = parse_signature(signature)
+    if target.kind != "event":
+        raise ValueError("not an event")
+    ok, values = decode_values(target.params, F.col(data), F.col(topics))
+    return _with_decoded(df, target, (F.try_element_at(F.col(topics), F.lit(1)) == F.lit(target.hash)) & ok, values, to)
+
+
+def _with_decoded(df: DataFrame, target: Signature, ok: Column, values: list[Column], to: str) -> DataFrame:
+    fields = [typed(p, v).alias(p.name) for p, v in zip(target.params, values, strict=True)]
+    return df.withColumn(to, F.when(F.coalesce(ok, F.lit(False)), F.struct(*fields) if fields else F.struct()))
 
 
 def encode_number(n: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -31,6 +31,8 @@ class Monitor:
     def __post_init__(self) -> None:
         if self.id <= 0:
             raise ValueError("a monitor's id is positive")
+        if not re.fullmatch("[0-9a-fA-F]{40}", self.address):
+            raise ValueError("an address has 20 bytes")
         if self.end_block is not None and self.end_block < self.start_block:
             raise ValueError("the end lies before the start")
 
@@ -75,24 +77,35 @@ def call_candidates(txs: DataFrame, monitors: DataFrame) -> DataFrame:
     return keyed.join(F.broadcast(wanted), on, "left_semi")
 
 
+def receipts_by_call(receipts: DataFrame) -> DataFrame:
+    """One row a call (chain_id, block_number, tx_hash): succeeded, and copies, the number of its receipts."""
+    return receipts.groupBy("chain_id", "block_number", "tx_hash").agg(F.max("succeeded").alias("succeeded"), F.count(F.lit(1)).alias("copies"))
+
+
+def receipt_fault() -> Column:
+    """What is wrong with the receipts of a call that was joined to ``receipts_by_call``."""
+    return F.when(F.col("copies").isNull(), F.lit("no receipt")).when(F.col("copies") > 1, F.lit("several receipts")).when(F.col("succeeded").isNull(), F.lit("receipt without status"))
+
+
 def matched_calls(txs: DataFrame, receipts: DataFrame, monitors: DataFrame, strict: bool = True) -> DataFrame:
     """Calls with monitor_id: one row for each successful transaction and monitor that needs it.
 
-    With ``strict`` a candidate without a receipt is an error; else it counts as reverted.
+    Each candidate has one receipt in its block. With ``strict`` anything else is an error; else the call is left out,
+    and ``receipt_faults`` has it.
     """
-    candidates = call_candidates(txs, monitors)
-    joined = candidates.join(receipts.select("chain_id", "tx_hash", "succeeded"), ["chain_id", "tx_hash"], "left")
-    missing = F.raise_error(F.concat(F.lit("no receipt for "), F.hex("tx_hash"))).cast("boolean") if strict else F.lit(False)
-    good = joined.where(F.when(F.col("succeeded").isNull(), missing).otherwise(F.col("succeeded"))).drop("succeeded")
+    joined = call_candidates(txs, monitors).join(receipts_by_call(receipts), ["chain_id", "block_number", "tx_hash"], "left")
+    bad = receipt_fault()
+    wrong = F.raise_error(F.concat(bad, F.lit(" for "), F.hex("tx_hash"))).cast("boolean") if strict else F.lit(False)
+    good = joined.where(F.when(bad.isNotNull(), wrong).otherwise(F.col("succeeded"))).drop("succeeded", "copies")
     wanted = active(monitors).where("kind = 'call'").select(F.col("id").alias("monitor_id"), F.col("chain_id").alias("m_chain"), F.col("address").alias("m_address"), F.col("hash").alias("m_hash"), "layout", "start_block", "end_block", "cursor", "enabled", "completed")
     on = (F.col("chain_id") == F.col("m_chain")) & (F.col("to_addr") == F.col("m_address")) & (F.col("hash") == F.col("m_hash")) & needs_block(F.col("block_number"))
     return good.join(F.broadcast(wanted), on).withColumn("body", F.expr("substring(input, 5)")).select("chain_id", "block_number", "tx_index", "tx_hash", "from_addr", "to_addr", "body", "monitor_id", "layout")
 
 
 def receipt_faults(txs: DataFrame, receipts: DataFrame, monitors: DataFrame) -> DataFrame:
-    """(chain_id, block_number, reason) of candidates without a receipt."""
-    lost = call_candidates(txs, monitors).join(receipts.select("chain_id", "tx_hash"), ["chain_id", "tx_hash"], "left_anti")
-    return lost.select("chain_id", "block_number", F.lit("no receipt").alias("reason"))
+    """(chain_id, block_number, reason) of candidates without one receipt of a known status."""
+    joined = call_candidates(txs, monitors).join(receipts_by_call(receipts), ["chain_id", "block_number", "tx_hash"], "left")
+    return joined.select("chain_id", "block_number", receipt_fault().alias("reason")).where("reason IS NOT NULL")
 
 
 def log_fault() -> Column:
@@ -126,42 +139,42 @@ def matched_events(logs: DataFrame, monitors: DataFrame) -> DataFrame:
     return checked_logs(found).select("chain_id", "block_number", "log_index", "tx_hash", "address", "topics", "data", "monitor_id", "layout")
 
 
-def decoded(matched: DataFrame, monitors: list[Monitor], wide: bool = True) -> DataFrame:
+def decoded(matched: DataFrame, monitors: list[Monitor]) -> DataFrame:
     """``matched`` with ok (boolean) and params (canonical JSON), filtered by each monitor's filter.
 
-    Rows that can't be decoded keep ok = false and no params; filters apply to decoded rows only. Each layout is decoded
-    once; names and filters belong to the monitors.
+    Rows that can't be decoded keep ok = false and no params; filters apply to decoded rows only. All layouts are
+    decoded in one pass, each row by its own; names and filters belong to the monitors.
     """
     is_call = "body" in matched.columns
     data, topics = (F.col("body"), None) if is_call else (F.col("data"), F.col("topics"))
-    by_layout: dict[str, list[Monitor]] = defaultdict(list)
-    for m in monitors:
-        if (m.target.kind == "call") == is_call:
-            by_layout[m.target.layout].append(m)
-    parts = []
+    mine = [m for m in monitors if (m.target.kind == "call") == is_call]
     base = [c for c in matched.columns if c not in ("body", "topics", "data", "layout")]
-    for layout, group in sorted(by_layout.items()):
-        params = group[0].target.params
-        ok, values = decode_values(params, data, topics)
-        named = [f"_v{k}" for k in range(len(values))]
-        rows = matched.where(F.col("layout") == layout).select(*base, F.inline(F.array(F.struct(ok.alias("ok"), *[v.alias(n) for v, n in zip(values, named, strict=True)]))))
-        raw = [F.col(n) for n in named]
-        rows_of = {c: F.col(c) for c in base}
-        passes, shown = [], []
-        for m in group:
-            mine = m.target.params
-            here = F.col("monitor_id") == m.id
-            passes.append(here & (~F.col("ok") | compile_filter(m.filter, m.target, rows_of | param_columns(mine, raw))))
-            shown.append(F.when(here & F.col("ok"), canonical_params(mine, raw, wide)))
-        parts.append(rows.where(reduce(lambda a, b: a | b, passes)).select(*base, "ok", F.coalesce(*shown).alias("params")))
-    if not parts:
+    if not mine:
         return matched.select(*base, F.lit(True).alias("ok"), F.lit("").alias("params")).limit(0)
-    return reduce(DataFrame.unionByName, parts)
-
-
-def indexed(txs: DataFrame, receipts: DataFrame, logs: DataFrame, monitors: list[Monitor], wide: bool = True) -> DataFrame:
+    by_layout: dict[str, Monitor] = {}
+    for m in sorted(mine, key=lambda m: m.target.layout):
+        by_layout.setdefault(m.target.layout, m)
+    read: Column | None = None
+    for layout, m in by_layout.items():
+        ok, values = decode_values(m.target.params, data, topics)
+        raw = F.struct(ok.alias("ok"), F.array(*values).cast("array<binary>").alias("_values"))
+        here = F.col("layout") == layout
+        read = F.when(here, raw) if read is None else read.when(here, raw)
+    rows = matched.select(*base, F.inline(F.array(read)))
+    rows_of = {c: F.col(c) for c in base}
+    passes, shown = [], None
+    for m in mine:
+        raw = [F.get(F.col("_values"), F.lit(k)) for k in range(len(m.target.params))]
+        here = F.col("monitor_id") == m.id
+        passes.append(here & (~F.col("ok") | compile_filter(m.filter, m.target, rows_of | param_columns(m.target.params, raw))))
+        text = canonical_params(m.target.params, raw)
+        shown = F.when(here & F.col("ok"), text) if shown is None else shown.when(here & F.col("ok"), text)
+    return rows.where(reduce(lambda a, b: a | b, passes)).select(*base, "ok", shown.alias("params"))
+
+
+def indexed(txs: DataFrame, receipts: DataFrame, logs: DataFrame, monitors: list[Monitor]) -> DataFrame:
     """Decoded calls and events of all monitors in one table; rows that can't be decoded are left out."""
     table = registry(txs.sparkSession, monitors)
-    calls = decoded(matched_calls(txs, receipts, table), monitors, wide).where("ok").select("chain_id", "monitor_id", F.lit("call").alias("kind"), "block_number", "tx_hash", "from_addr", "to_addr", "params")
-    events = decoded(matched_events(logs, table), monitors, wide).where("ok").select("chain_id", "monitor_id", F.lit("event").alias("kind"), "block_number", "tx_hash", "log_index", "address", "params")
+    calls = decoded(matched_calls(txs, receipts, table), monitors).where("ok").select("chain_id", "monitor_id", F.lit("call").alias("kind"), "block_number", "tx_hash", "from_addr", "to_addr", "params")
+    events = decoded(matched_events(logs, table), monitors).where("ok").select("chain_id", "monitor_id", F.lit("event").alias("kind"), "block_number", "tx_hash", "log_index", "address", "params")
     return calls.unionByName(events, allowMissingColumns=True)

@@ -61,12 +61,12 @@ def query(sql: str | None = None) -> Callable:
 
 def calls(spark: SparkSession, sf_dir: str, monitors: list[Monitor], decoded_only: bool = True) -> DataFrame:
     table = match.registry(spark, monitors)
-    found = match.decoded(match.matched_calls(chain.transactions(spark, sf_dir), chain.receipts(spark, sf_dir), table), monitors, wide=False)
+    found = match.decoded(match.matched_calls(chain.transactions(spark, sf_dir), chain.receipts(spark, sf_dir), table), monitors)
     return found.where("ok") if decoded_only else found
 
 
 def events(spark: SparkSession, sf_dir: str, monitors: list[Monitor], decoded_only: bool = True) -> DataFrame:
-    found = match.decoded(match.matched_events(chain.logs(spark, sf_dir), match.registry(spark, monitors)), monitors, wide=False)
+    found = match.decoded(match.matched_events(chain.logs(spark, sf_dir), match.registry(spark, monitors)), monitors)
     return found.where("ok") if decoded_only else found
 
 
@@ -169,7 +169,7 @@ def filter_and(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT CAST(11 AS BIGINT) AS monitor_id, {EVENT}, '0x' || sha256('key:' || user_id) AS key, props AS value
   FROM events WHERE {CHAIN_E} = 8453 AND event_type = 'signup'""")
 def events_indexed_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir, only(11)).select("monitor_id", "block_number", hex0x(F.col("tx_hash")).alias("tx_hash"), "log_index", F.get_json_object("params", "$.key").alias("key"), F.get_json_object("params", "$.value").alias("value"))
+    return events(spark, sf_dir, only(11)).select("monitor_id", "block_number", hex0x(F.col("tx_hash")).alias("tx_hash"), "log_index", F.get_json_object("params", "$.who").alias("key"), F.get_json_object("params", "$.note").alias("value"))
 
 
 @query(f"SELECT {EVENT} FROM events WHERE {CHAIN_E} = 1 AND event_type = 'click' AND event_id % 37 = 0")
@@ -222,7 +222,7 @@ def cursor_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf_dir: str, *ids: int) -> DataFrame:
-    return match.indexed(chain.transactions(spark, sf_dir), chain.receipts(spark, sf_dir), chain.logs(spark, sf_dir), only(*ids), wide=False)
+    return match.indexed(chain.transactions(spark, sf_dir), chain.receipts(spark, sf_dir), chain.logs(spark, sf_dir), only(*ids))
 
 
 @query(f"""SELECT o_orderkey // 10 AS block_number, {TX} AS tx_hash FROM orders

@@ -67,7 +67,7 @@ _ALL = " UNION ALL ".join(f"SELECT monitor_id FROM ({ORACLE_SQL[n]})" for n in _
 @query(f"""SELECT monitor_id, count(*) AS n FROM ({_ALL} UNION ALL
   SELECT CAST(15 AS BIGINT) FROM events WHERE {CHAIN_E} = 1 AND event_type = 'click' AND event_id % 37 <> 0) GROUP BY monitor_id""")
 def results_all_monitors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = match.indexed(chain.transactions(spark, sf_dir), chain.receipts(spark, sf_dir), chain.logs(spark, sf_dir), MONITORS, wide=False)
+    found = match.indexed(chain.transactions(spark, sf_dir), chain.receipts(spark, sf_dir), chain.logs(spark, sf_dir), MONITORS)
     return found.groupBy("monitor_id").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -13,7 +13,7 @@ STATUS = "function setStatus(string status, bool flag)"
 ADJUST = "function adjust(int256 delta, bytes32 memo)"
 STORE = "function store(bytes, bytes4, uint8)"
 ACTIVITY = "event Activity(uint256 indexed actor, int256 amount, string props)"
-MESSAGE = "event Message(string indexed key, string value)"
+MESSAGE = "event Signup(string indexed who, string note)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +69,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return o.select(chain_of(F.col("o_custkey")).alias("chain_id"), F.unhex(digest("tx:", F.col("o_orderkey"))).alias("tx_hash"), (F.col("o_orderstatus") != "P").alias("succeeded"))
+    return o.select(chain_of(F.col("o_custkey")).alias("chain_id"), F.expr("o_orderkey div 10").alias("block_number"), F.unhex(digest("tx:", F.col("o_orderkey"))).alias("tx_hash"), (F.col("o_orderstatus") != "P").alias("succeeded"))
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,8 +61,8 @@ def transactions_of(dump: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def receipts_of(dump: DataFrame) -> DataFrame:
-    each = parsed(dump, RECEIPTS).select(F.col("request.chain_id").alias("chain_id"), F.explode("result").alias("t"))
-    return each.select("chain_id", data(F.col("t.transactionHash"), 32).alias("tx_hash"), (quantity(F.col("t.status")) == 1).alias("succeeded"))
+    each = parsed(dump, RECEIPTS).select(F.col("request.chain_id").alias("chain_id"), F.col("request.number").alias("block_number"), F.explode("result").alias("t"))
+    return each.select("chain_id", "block_number", data(F.col("t.transactionHash"), 32).alias("tx_hash"), (quantity(F.col("t.status")) == 1).alias("succeeded"))
 
 
 def logs_of(dump: DataFrame) -> DataFrame:
@@ -110,7 +110,8 @@ def fetched_logs(windows: DataFrame, groups: DataFrame, fetch: Fetch) -> DataFra
                         middle = (low + high) // 2
                         todo += [(middle + 1, high), (low, middle)]
                         continue
-                    yield pd.DataFrame({"value": lines})
+                    if lines:  # an empty frame has no types
+                        yield pd.DataFrame({"value": lines})
 
     return asked.repartition("chain_id", "from_block").mapInPandas(run, "value string")
 
