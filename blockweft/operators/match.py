@@ -109,6 +109,7 @@ def receipt_faults(txs: DataFrame, receipts: DataFrame, monitors: DataFrame) ->
 
 
 def log_fault() -> Column:
+    """What is wrong with a log: a block outside the range it was asked for (first_block, last_block) is, if these columns are there."""
     return F.when(F.col("removed"), F.lit("removed log")).when(F.col("tx_hash").isNull(), F.lit("log without transaction hash")).when(F.col("log_index").isNull(), F.lit("log without index"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from blockweft.functions.abi import decode_values, parse_signature
@@ -82,6 +84,83 @@ def created(spark: SparkSession, known: Iterable[Monitor], wanted: Iterable[Moni
     return out
 
 
+COMPILED = "chain_id long, address string, signature string, start_block long, end_block long, kind string, hash binary, layout string, problem string"
+
+
+def compiled(definitions: DataFrame) -> DataFrame:
+    """``definitions`` (chain_id, address hex, signature, start_block, end_block) with what their signatures mean; problem
+    tells what is wrong, if anything. Each different signature of a batch is read once, in the tasks."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            read = {}
+            for text in pdf["signature"].unique():
+                try:
+                    target = parse_signature(text or "")
+                    read[text] = (target.kind, target.hash, target.layout, None)
+                except ValueError as error:
+                    read[text] = (None, None, None, str(error))
+            more = pd.DataFrame([read[t] for t in pdf["signature"]], columns=["kind", "hash", "layout", "problem"], dtype=object, index=pdf.index)
+            if len(pdf):
+                yield pd.concat([pdf, more], axis=1)
+
+    rows = definitions.select("chain_id", "address", "signature", "start_block", "end_block").mapInPandas(run, COMPILED)
+    bad_address = F.when(~F.coalesce(F.col("address").rlike("^[0-9a-fA-F]{40}$"), F.lit(False)), "an address has 20 bytes")
+    return rows.withColumn("problem", F.coalesce("problem", bad_address))
+
+
+def appended(monitors: DataFrame, definitions: DataFrame, chains: DataFrame, heads: DataFrame) -> DataFrame:
+    """The registry after ``definitions`` are added with the next ids: all of them, or an error.
+
+    A start that is not given is the finalized head of the chain. Equal targets are allowed.
+    """
+    here = chains.select("chain_id").join(heads.select("chain_id", "finalized_head"), "chain_id", "left").withColumn("known", F.lit(True))
+    rows = compiled(definitions).join(F.broadcast(here), "chain_id", "left").withColumn("start_block", F.coalesce("start_block", "finalized_head"))
+    wrong = (
+        F.when(F.col("problem").isNotNull(), F.col("problem"))
+        .when(F.col("known").isNull(), F.concat(F.lit("unknown chain "), F.coalesce(F.col("chain_id").cast("string"), F.lit("null"))))
+        .when(F.col("start_block").isNull(), F.lit("no finalized head to start from"))
+        .when(F.col("end_block") < F.col("start_block"), F.lit("the end lies before the start"))
+    )
+    sound = rows.where(F.when(wrong.isNotNull(), _error(wrong)).otherwise(F.lit(True)))
+    # a registry is a small table: its new rows are numbered in one partition
+    place = F.row_number().over(W.orderBy("chain_id", "address", "signature", "start_block", "end_block"))
+    top = monitors.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    numbered = sound.withColumn("place", place).join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("place"))
+    new = numbered.select("id", "chain_id", "kind", F.unhex("address").alias("address"), "hash", "layout", "start_block", "end_block", F.lit(None).cast("long").alias("cursor"), F.lit(True).alias("enabled"), F.lit(False).alias("completed"))
+    return monitors.unionByName(new)
+
+
+def scan(monitors: DataFrame, chain_id: int | None = None) -> DataFrame:
+    """The registry, or that of one chain, by id."""
+    return (monitors if chain_id is None else monitors.where(F.col("chain_id") == chain_id)).orderBy("id")
+
+
+def counted(monitors: DataFrame) -> DataFrame:
+    """(chain_id, monitors): how many monitors each chain has."""
+    return monitors.groupBy("chain_id").agg(F.count(F.lit(1)).alias("monitors"))
+
+
+def without_chains(chains: DataFrame, monitors: DataFrame, results: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chains, monitors and results after the chains of ``gone`` (chain_id) are deleted with all that is theirs."""
+    ids = F.broadcast(gone.select("chain_id").distinct())
+    return tuple(t.join(ids, "chain_id", "left_anti").select(*t.columns) for t in (chains, monitors, results))
+
+
+def source_faults(chains: DataFrame, reports: DataFrame) -> DataFrame:
+    """(chain_id, reason) of chains whose source doesn't answer, reports another chain, or has no finalized head.
+
+    ``reports`` has (chain_id, reported, finalized_head): what the source registered for a chain says of itself.
+    """
+    told = reports.select("chain_id", F.lit(True).alias("answers"), "reported", "finalized_head")
+    reason = (
+        F.when(F.col("answers").isNull(), "no answer")
+        .when(~F.coalesce(F.col("reported") == F.col("chain_id"), F.lit(False)), "source of another chain")
+        .when(F.col("finalized_head").isNull(), "no finalized head")
+    )
+    return chains.select("chain_id").join(told, "chain_id", "left").select("chain_id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def monitor_view(monitors: DataFrame) -> DataFrame:
     """What is shown of monitors: a call has a selector, an event a topic0."""
     hash_text = F.concat(F.lit("0x"), F.lower(F.hex("hash")))

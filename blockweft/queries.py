@@ -236,11 +236,21 @@ def results_page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.page(_results(spark, sf_dir, 9), 9, "event").select("block_number", hex0x(F.col("tx_hash")).alias("tx_hash"), "log_index")
 
 
-@query(f"""SELECT chain_id, block_number, count(*) AS n FROM (
-  SELECT CAST(1 AS BIGINT) AS chain_id, o_orderkey // 10 AS block_number FROM orders WHERE {CHAIN_O} = 1 AND o_orderpriority = '{URGENT}' AND {SOUND} AND {CENTS} >= 25000000
-  UNION ALL SELECT CAST(1 AS BIGINT), event_id // 20 FROM events WHERE {CHAIN_E} = 1 AND event_type = 'purchase') GROUP BY chain_id, block_number""")
+def _item(kind: str, monitor: int, tx: str, middle: str, params: str) -> str:
+    return f"""'{{"kind":"{kind}","monitor_id":{monitor},"tx_hash":"' || {tx} || '",' || {middle} || ',"params":{{' || {params} || '}}}}'"""
+
+
+_CALL = _item("call", 1, TX, f"""'"from":"0x' || left(sha256('eoa:' || o_custkey), 40) || '","to":"0x{contract(URGENT)}"'""", f"""'"to":"0x' || left(sha256('eoa:' || (o_custkey + 1)), 40) || '","value":"' || {CENTS} || '"'""")
+_EVENT = _item("event", 9, "'0x' || sha256('etx:' || (event_id // 5))", f"""'"emitter":"0x{contract('purchase')}","log_index":' || (event_id % 20)""", f"""'"actor":"' || user_id || '","amount":"' || {AMOUNT} || '","props":' || to_json(props)""")
+
+
+@query(f"""SELECT 1 AS version, chain_id, block_number, count(*) AS n, '[' || string_agg(item, ',' ORDER BY kind, tx_hash, log_index) || ']' AS results FROM (
+  SELECT CAST(1 AS BIGINT) AS chain_id, o_orderkey // 10 AS block_number, 'call' AS kind, {TX} AS tx_hash, 0 AS log_index, {_CALL} AS item
+  FROM orders WHERE {CHAIN_O} = 1 AND o_orderpriority = '{URGENT}' AND {SOUND} AND {CENTS} >= 25000000
+  UNION ALL SELECT CAST(1 AS BIGINT), event_id // 20, 'event', '0x' || sha256('etx:' || (event_id // 5)), event_id % 20, {_EVENT}
+  FROM events WHERE {CHAIN_E} = 1 AND event_type = 'purchase') GROUP BY chain_id, block_number""")
 def sink_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.sink_batches(_results(spark, sf_dir, 1, 9)).select("chain_id", "block_number", "n")
+    return results.sink_batches(_results(spark, sf_dir, 1, 9), match.registry(spark, only(1, 9)))
 
 
 COMMITS = f"""(SELECT chain_id, block_number, count(*) FILTER (o_orderstatus <> 'P') AS calls, count(*) FILTER (o_orderstatus = 'F') AS events,

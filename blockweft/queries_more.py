@@ -8,18 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweft.functions.abi import hex0x
-from blockweft.operators import match, publish, registry
+from blockweft.functions.abi import decode_call, decode_event, hex0x, parse_signature
+from blockweft.operators import match, publish, registry, results
 from blockweft.operators.match import Monitor
-from blockweft.queries import CENTS, CHAIN_E, CHAIN_O, EVENT, HEAD, MONITORS, ORACLE_SQL, SOUND, TX, URGENT, USUAL, calls, contract, only, query, shown, transfers
+from blockweft.plans import blocks
+from blockweft.queries import AMOUNT, CENTS, CHAIN_E, CHAIN_O, EVENT, HEAD, HIGH, LOW, MEDIUM, MONITORS, ORACLE_SQL, SOUND, TX, URGENT, USUAL, calls, contract, only, query, shown, transfers
 from blockweft.sources import chain, rpc
 
 ANY = Monitor(1, 1, contract(URGENT), chain.TRANSFER)
 
 
 def store(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; one of our own only where none is configured (tests)."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='blockweft-')}/{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share; one of our own only where none is set and all run on one machine (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{where or tempfile.mkdtemp(prefix='blockweft-')}/{name}-{uuid.uuid4().hex}"
 
 
 @query(f"""SELECT o_orderkey // 10 AS block_number, {TX} AS tx_hash FROM orders
@@ -129,3 +133,128 @@ def published_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = store(spark, "published")
     publish.step(spark, root, 0, (chain.transactions(spark, sf_dir), chain.receipts(spark, sf_dir), logs), only(1, 9), chain.heads(spark, sf_dir), 1 << 40)
     return publish.visible(spark, root).groupBy("monitor_id").agg(F.count(F.lit(1)).alias("n"), F.max("block_number").alias("last_block"))
+
+
+def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A monitor for each supplier: of its nation's chain, of one of three signatures, some without a start."""
+    s = chain.table(spark, sf_dir, "supplier")
+    pick = F.element_at(F.array(F.lit(chain.TRANSFER), F.lit(chain.APPROVE), F.lit(chain.ACTIVITY)), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    return s.select(F.col("s_nationkey").cast("long").alias("chain_id"), chain.contract(F.col("s_suppkey")).alias("address"), pick.alias("signature"), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_suppkey").cast("long")).alias("start_block"), F.lit(None).cast("long").alias("end_block"))
+
+
+def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = chain.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("chain_id"))
+    heads = nations.withColumn("finalized_head", 1000 + F.col("chain_id"))
+    return registry.appended(match.registry(spark, MONITORS), definitions(spark, sf_dir), nations, heads)
+
+
+_SIGNATURES = " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate((chain.TRANSFER, chain.APPROVE, chain.ACTIVITY)))
+_HASHES = " ".join(f"WHEN {k} THEN '0x{parse_signature(t).hash.hex()}'" for k, t in enumerate((chain.TRANSFER, chain.APPROVE, chain.ACTIVITY)))
+_NEW = f"""(SELECT {max(m.id for m in MONITORS)} + row_number() OVER (ORDER BY chain_id, address, signature) AS id, * FROM (
+  SELECT CAST(s_nationkey AS BIGINT) AS chain_id, left(sha256('contract:' || s_suppkey), 40) AS address, CASE s_suppkey % 3 {_SIGNATURES} END AS signature, CASE s_suppkey % 3 {_HASHES} END AS hash,
+  CASE WHEN s_suppkey % 3 = 2 THEN 'event' ELSE 'call' END AS kind, CASE WHEN s_suppkey % 5 = 0 THEN 1000 + s_nationkey ELSE s_suppkey END AS start_block FROM supplier))"""
+
+
+@query(f"""SELECT id, chain_id, kind, '0x' || address AS address, CASE WHEN kind = 'call' THEN hash END AS selector, CASE WHEN kind = 'event' THEN hash END AS topic0, CAST(start_block AS BIGINT) AS start_block
+  FROM {_NEW} WHERE chain_id <> 1""")
+def registry_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New monitors, as they are shown; chain 1 has older ones too."""
+    found = registry.monitor_view(appended(spark, sf_dir)).where(F.col("id") > max(m.id for m in MONITORS))
+    return found.where("chain_id <> 1").select("id", "chain_id", "kind", "address", "selector", "topic0", "start_block")
+
+
+@query(f"SELECT id, address FROM (SELECT id, '0x' || address AS address FROM {_NEW} WHERE chain_id = 7) ORDER BY id")
+def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.scan(registry.monitor_view(appended(spark, sf_dir)), 7).select("id", "address")
+
+
+_OLD = ", ".join(f"({m.id}, {m.chain_id})" for m in MONITORS)
+
+
+@query(f"""SELECT chain_id, count(*) AS monitors FROM (SELECT CAST(c AS BIGINT) AS chain_id FROM (VALUES {_OLD}) AS v(i, c) UNION ALL SELECT chain_id FROM {_NEW}) GROUP BY chain_id""")
+def registry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.counted(appended(spark, sf_dir))
+
+
+@query(f"SELECT id, enabled FROM (SELECT id, id % 2 = 0 AS enabled FROM {_NEW})")
+def registry_paused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = appended(spark, sf_dir)
+    odd = table.where("id % 2 = 1").select("id", F.lit(False).alias("enabled"))
+    return registry.set_enabled(table, odd).where(F.col("id") > max(m.id for m in MONITORS)).select("id", "enabled")
+
+
+@query(f"SELECT chain_id, CAST(min(start_block) AS BIGINT) AS min_next FROM {_NEW} WHERE chain_id NOT IN (1, 8453) GROUP BY chain_id")
+def min_next_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.min_next_block(appended(spark, sf_dir)).where(~F.col("chain_id").isin(1, 8453))
+
+
+@query(f"""SELECT chain_id, count(DISTINCT address) AS n_requests, count(*) AS n_pairs FROM (SELECT DISTINCT chain_id, address, hash FROM {_NEW} WHERE kind = 'event' AND chain_id NOT IN (1, 8453)) GROUP BY chain_id
+  HAVING count(DISTINCT address) <= count(DISTINCT hash) UNION ALL SELECT chain_id, count(DISTINCT hash), count(*) FROM (SELECT DISTINCT chain_id, address, hash FROM {_NEW} WHERE kind = 'event' AND chain_id NOT IN (1, 8453)) GROUP BY chain_id
+  HAVING count(DISTINCT address) > count(DISTINCT hash)""")
+def log_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = blocks.log_groups(blocks.log_targets(appended(spark, sf_dir))).where(~F.col("chain_id").isin(1, 8453))
+    return groups.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n_requests"), F.sum(F.size("addresses") * F.size("topics")).alias("n_pairs"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS chain_id, n_regionkey <> 2 AS enabled FROM nation ORDER BY chain_id")
+def chain_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chains = chain.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("chain_id"), F.concat(F.lit("https://"), "n_name").alias("rpc_url"), (F.col("n_regionkey") != 2).alias("enabled"))
+    return registry.chain_view(chains)
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS chain_id, CASE WHEN n_nationkey % 5 = 0 THEN 'no answer' WHEN n_nationkey % 5 = 1 THEN 'source of another chain' ELSE 'no finalized head' END AS reason
+  FROM nation WHERE n_nationkey % 5 < 3""")
+def source_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chains = chain.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("chain_id"))
+    k = F.col("chain_id") % 5
+    reports = chains.where(k > 0).select("chain_id", F.when(k == 1, F.col("chain_id") + 1).otherwise(F.col("chain_id")).alias("reported"), F.when(k != 2, F.col("chain_id")).alias("finalized_head"))
+    return registry.source_faults(chains, reports)
+
+
+@query(f"SELECT CAST(9 AS BIGINT) AS monitor_id, count(*) AS n FROM events WHERE {CHAIN_E} = 1 AND event_type = 'purchase'")
+def cascade_delete_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = match.indexed(chain.transactions(spark, sf_dir), chain.receipts(spark, sf_dir), chain.logs(spark, sf_dir), only(8, 9))
+    table, gone = match.registry(spark, only(8, 9)), spark.createDataFrame([(8453,)], "chain_id long")
+    _, monitors, left = registry.without_chains(chain.heads(spark, sf_dir), table, found, gone)
+    return left.join(F.broadcast(monitors.select(F.col("id").alias("monitor_id"))), "monitor_id", "left_semi").groupBy("monitor_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT o_orderkey // 10 AS block_number, {TX} AS tx_hash, '0x' || left(sha256('eoa:' || (o_custkey + 2)), 40) AS spender,
+  CAST(CAST(18446744073709551616 AS HUGEINT) + {CENTS} AS VARCHAR) AS value FROM orders WHERE o_orderpriority = '{HIGH}' AND o_orderkey % 101 <> 0 AND o_orderkey % 103 <> 1 AND o_orderkey % 53 <> 0""")
+def decoded_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every approval of the chain data, with its parameters, of whatever contract."""
+    found = decode_call(chain.transactions(spark, sf_dir), chain.APPROVE).where("decoded IS NOT NULL")
+    return found.select("block_number", hex0x(F.col("tx_hash")).alias("tx_hash"), hex0x(F.col("decoded.spender")).alias("spender"), F.col("decoded.value").alias("value"))
+
+
+@query(f"""SELECT {EVENT}, CAST(user_id AS VARCHAR) AS actor, CAST({AMOUNT} AS VARCHAR) AS amount, props FROM events
+  WHERE event_type <> 'signup' AND NOT (event_type = 'view' AND event_id % 11 = 0) AND NOT (event_type = 'click' AND event_id % 37 = 0)""")
+def decoded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decode_event(chain.logs(spark, sf_dir), chain.ACTIVITY).where("decoded IS NOT NULL")
+    return found.select("block_number", hex0x(F.col("tx_hash")).alias("tx_hash"), "log_index", "decoded.actor", "decoded.amount", "decoded.props")
+
+
+@query(f"""SELECT o_orderkey // 10 AS block_number, {TX} AS tx_hash, o_orderstatus || ':' || o_orderpriority AS status, o_custkey % 2 = 1 AS flag
+  FROM orders WHERE {CHAIN_O} = 1 AND o_orderpriority = '{MEDIUM}' AND {SOUND} AND o_custkey % 2 = 1 AND o_orderstatus <> 'F'""")
+def typed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = match.indexed(chain.transactions(spark, sf_dir), chain.receipts(spark, sf_dir), chain.logs(spark, sf_dir), only(5))
+    view = results.typed_view(found, 5, only(5)[0].target)
+    return view.select("block_number", hex0x(F.col("tx_hash")).alias("tx_hash"), "status", "flag")
+
+
+@query(f"""SELECT CAST(1 AS BIGINT) AS monitor_id, 'call' AS kind, o_orderkey // 10 AS block_number, {TX} AS tx_hash, '0x' || left(sha256('eoa:' || o_custkey), 40) AS "from", '0x{contract(URGENT)}' AS "to", NULL AS emitter
+  FROM orders WHERE {CHAIN_O} = 1 AND o_orderpriority = '{URGENT}' AND {SOUND} AND {CENTS} >= 25000000
+  UNION ALL SELECT CAST(9 AS BIGINT), 'event', event_id // 20, '0x' || sha256('etx:' || (event_id // 5)), NULL, NULL, '0x{contract("purchase")}' FROM events WHERE {CHAIN_E} = 1 AND event_type = 'purchase'""")
+def results_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = match.indexed(chain.transactions(spark, sf_dir), chain.receipts(spark, sf_dir), chain.logs(spark, sf_dir), only(1, 9))
+    return results.tagged_view(found).select("monitor_id", "kind", "block_number", "tx_hash", "from", "to", "emitter")
+
+
+@query(f"SELECT '{2**256 - 1}' AS largest, '-{2**255}' AS least, {TX} AS tx_hash FROM orders WHERE o_orderpriority = '{LOW}'")
+def calls_wide_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest unsigned and the least signed number in the calls of one kind."""
+    sent = chain.table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == LOW).select(F.unhex(chain.digest("tx:", F.col("o_orderkey"))).alias("tx_hash"))
+    both = "function extremes(uint256 largest, int256 least)"
+    data = F.concat(F.lit(parse_signature(both).hash.hex()), F.lit("f" * 64), F.lit("8" + "0" * 63))
+    found = decode_call(sent.withColumn("input", F.unhex(data)), both)
+    return found.select("decoded.largest", "decoded.least", hex0x(F.col("tx_hash")).alias("tx_hash"))

@@ -8,6 +8,8 @@ from blockweft import queries as chain
 from blockweft import queries_more  # noqa: F401 - registers its queries with the others
 from blockweft.functions import abi
 from blockweft.functions.filters import FilterError, compile_filter
+from blockweft.operators import match, registry, results
+from blockweft.sources import chain as origin
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,7 +65,7 @@ def test_bad_filters(spark, expression):
 @pytest.mark.parametrize("name", sorted(chain.QUERIES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("orders", "events", "supplier", "customer"):
+    for t in ("orders", "events", "supplier", "customer", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     ours = chain.QUERIES[name](spark, SF)
     cursor = con.execute(chain.ORACLE_SQL[name])
@@ -71,3 +73,36 @@ def test_query_equals_sql(spark, name):
     assert sorted(columns) == sorted(ours.columns)
     shown = lambda rows: sorted(tuple(str(v) for v in r) for r in rows)
     assert shown(ours.select(*columns).collect()) == shown(cursor.fetchall())
+
+
+def test_receipts_are_one_a_call(spark):
+    sent, told = origin.transactions(spark, SF), origin.receipts(spark, SF)
+    monitors = match.registry(spark, chain.only(1))
+    assert match.matched_calls(sent, told, monitors).count() > 0
+    one = match.call_candidates(sent, monitors).select("tx_hash").limit(1)
+    for bad, reason in ((told.unionByName(told.join(one, "tx_hash", "left_semi").select(*told.columns)), "several receipts"), (told.join(one, "tx_hash", "left_anti").select(*told.columns), "no receipt")):
+        with pytest.raises(Exception, match=reason):
+            match.matched_calls(sent, bad, monitors).collect()
+        assert {r.reason for r in match.receipt_faults(sent, bad, monitors).collect()} == {reason}
+        assert match.matched_calls(sent, bad, monitors, strict=False).count() == match.matched_calls(sent, told, monitors).join(one, "tx_hash", "left_anti").count()
+
+
+def test_sink_needs_known_monitors(spark):
+    found = match.indexed(origin.transactions(spark, SF), origin.receipts(spark, SF), origin.logs(spark, SF), chain.only(1, 9))
+    with pytest.raises(Exception, match="unknown"):
+        results.sink_batches(found, match.registry(spark, chain.only(9))).collect()
+
+
+@pytest.mark.parametrize("row,problem", [((1, "12", "function f(bool a)", 1, None), "20 bytes"), ((1, "00" * 20, "function f()", 1, None), "nothing to decode"), ((9, "00" * 20, "function f(bool a)", 1, None), "unknown chain"), ((1, "00" * 20, "function f(bool a)", 5, 4), "before the start"), ((2, "00" * 20, "function f(bool a)", None, None), "no finalized head")])
+def test_bad_definitions(spark, row, problem):
+    wanted = spark.createDataFrame([row], "chain_id long, address string, signature string, start_block long, end_block long")
+    chains = spark.createDataFrame([(1,), (2,)], "chain_id long")
+    heads = spark.createDataFrame([(1, 7)], "chain_id long, finalized_head long")
+    with pytest.raises(Exception, match=problem):
+        registry.appended(match.registry(spark, chain.only(1)), wanted, chains, heads).collect()
+
+
+def test_each_table_is_read_once(spark):
+    plan = chain.QUERIES["results_all_monitors"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # transactions and receipts come from orders
+    assert plan.count("events.parquet") + plan.count("orders.parquet") + plan.count("Relation [") <= 3
