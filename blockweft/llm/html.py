@@ -115,39 +115,57 @@ def measures(found: list[Block]) -> np.ndarray:
 # The labelled table. Words and link density of the block, of the one before, of the one after; in a
 # container of other things, in an article, a heading; 1 if the block belongs to the article.
 LABELLED = (
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (2, 1.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0),
-    (9, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0, 0), (14, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0, 0), (30, 0.1, 60, 0.0, 20, 0.0, 1, 1, 0, 0),
-    (25, 0.0, 18, 0.0, 30, 0.0, 1, 0, 0, 0), (60, 0.0, 3, 0.0, 50, 0.0, 1, 1, 0, 0), (4, 0.0, 2, 1.0, 6, 0.0, 1, 0, 1, 0),
-    (12, 0.0, 9, 0.0, 60, 0.0, 0, 1, 1, 1), (5, 0.0, 1, 1.0, 30, 0.0, 0, 1, 1, 1), (1, 0.0, 40, 0.0, 55, 0.0, 0, 1, 0, 1),
-    (2, 0.0, 15, 0.0, 0, 0.0, 0, 1, 0, 1), (40, 0.0, 12, 0.0, 55, 0.0, 0, 1, 0, 1), (80, 0.05, 40, 0.0, 9, 0.0, 0, 1, 0, 1),
-    (20, 0.2, 30, 0.0, 25, 0.0, 0, 1, 0, 1), (6, 0.5, 40, 0.0, 35, 0.0, 0, 1, 0, 1), (3, 1.0, 40, 0.0, 35, 0.0, 0, 1, 0, 1),
-    (45, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0, 1), (60, 0.0, 45, 0.0, 30, 0.0, 0, 0, 0, 1), (30, 0.1, 60, 0.0, 4, 0.0, 0, 0, 0, 1),
-    (16, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1), (7, 0.0, 1, 1.0, 45, 0.0, 0, 0, 1, 1), (5, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1),
-    (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (4, 0.0, 1, 1.0, 3, 0.0, 0, 0, 0, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0),
-    (8, 0.9, 30, 0.0, 7, 1.0, 0, 0, 0, 0), (12, 0.8, 4, 1.0, 5, 1.0, 0, 0, 0, 0), (6, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0),
-    (20, 0.7, 6, 1.0, 6, 1.0, 0, 0, 0, 0), (5, 0.4, 60, 0.0, 3, 1.0, 0, 0, 0, 0), (9, 0.0, 5, 0.0, 4, 0.0, 0, 0, 0, 0),
+    # menus, lists of links, and single links around an article, with or without a container that says so
+    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (2, 1.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 60, 0.0, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 45, 0.0, 0, 0, 0, 0), (2, 1.0, 50, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (3, 1.0, 60, 0.0, 4, 1.0, 0, 0, 0, 0), (8, 0.9, 30, 0.0, 7, 1.0, 0, 0, 0, 0), (12, 0.8, 4, 1.0, 5, 1.0, 0, 0, 0, 0), (20, 0.7, 6, 1.0, 6, 1.0, 0, 0, 0, 0),
+    (40, 1.0, 0, 0.0, 60, 0.0, 0, 0, 0, 0), (40, 1.0, 60, 0.0, 30, 0.0, 0, 0, 0, 0), (30, 0.9, 25, 0.0, 0, 0.0, 0, 0, 0, 0), (6, 1.0, 30, 0.0, 25, 0.1, 1, 1, 0, 0),
+    (3, 1.0, 4, 0.0, 40, 0.0, 1, 1, 0, 0), (25, 0.8, 50, 0.0, 9, 0.0, 1, 1, 0, 0),
+    # links within an article
+    (6, 0.5, 40, 0.0, 35, 0.0, 0, 1, 0, 1), (3, 1.0, 40, 0.0, 35, 0.0, 0, 1, 0, 1), (9, 0.7, 30, 0.1, 50, 0.0, 0, 1, 0, 1), (2, 1.0, 25, 0.0, 0, 0.0, 0, 1, 0, 1),
+    # adverts, notices, comments, footers: text without links, in their containers
+    (9, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0, 0), (14, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0, 0), (30, 0.1, 60, 0.0, 20, 0.0, 1, 1, 0, 0), (25, 0.0, 18, 0.0, 30, 0.0, 1, 0, 0, 0),
+    (60, 0.0, 3, 0.0, 50, 0.0, 1, 1, 0, 0), (4, 0.0, 2, 1.0, 6, 0.0, 1, 0, 1, 0), (7, 0.0, 30, 0.0, 40, 0.0, 1, 1, 0, 0), (3, 0.0, 0, 0.0, 30, 0.0, 1, 0, 0, 0),
+    (12, 0.0, 2, 1.0, 8, 0.0, 1, 0, 0, 0), (50, 0.0, 60, 0.0, 45, 0.0, 1, 0, 0, 0), (2, 0.0, 9, 0.0, 50, 0.0, 1, 1, 1, 0), (18, 0.2, 70, 0.0, 0, 0.0, 1, 0, 0, 0),
+    # article text
+    (12, 0.0, 9, 0.0, 60, 0.0, 0, 1, 1, 1), (5, 0.0, 1, 1.0, 30, 0.0, 0, 1, 1, 1), (1, 0.0, 40, 0.0, 55, 0.0, 0, 1, 0, 1), (2, 0.0, 15, 0.0, 0, 0.0, 0, 1, 0, 1),
+    (40, 0.0, 12, 0.0, 55, 0.0, 0, 1, 0, 1), (80, 0.05, 40, 0.0, 9, 0.0, 0, 1, 0, 1), (20, 0.2, 30, 0.0, 25, 0.0, 0, 1, 0, 1), (4, 0.0, 3, 0.0, 4, 0.0, 0, 1, 0, 1),
+    (45, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0, 1), (60, 0.0, 45, 0.0, 30, 0.0, 0, 0, 0, 1), (30, 0.1, 60, 0.0, 4, 0.0, 0, 0, 0, 1), (16, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1),
+    (7, 0.0, 1, 1.0, 45, 0.0, 0, 0, 1, 1), (5, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1), (4, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (25, 0.0, 1, 1.0, 40, 0.0, 0, 0, 0, 1), (6, 0.0, 2, 1.0, 50, 0.0, 0, 0, 1, 1),
+    (50, 0.0, 40, 0.0, 30, 0.2, 0, 1, 0, 1), (45, 0.05, 30, 0.0, 20, 0.4, 0, 1, 0, 1), (60, 0.0, 40, 0.0, 2, 1.0, 0, 1, 0, 1), (35, 0.0, 20, 0.0, 3, 1.0, 0, 0, 0, 1),
+    (4, 0.0, 30, 0.0, 6, 0.5, 0, 1, 0, 1), (2, 0.0, 40, 0.0, 1, 1.0, 0, 1, 0, 1), (15, 0.1, 3, 1.0, 25, 0.3, 0, 1, 0, 1), (28, 0.0, 50, 0.2, 5, 1.0, 0, 0, 0, 1),
+    (5, 0.0, 30, 0.0, 9, 1.0, 0, 1, 1, 1), (22, 0.0, 1, 1.0, 4, 1.0, 0, 0, 0, 1), (70, 0.1, 60, 0.1, 80, 0.1, 0, 1, 0, 1),
+    # short remains between links, without a container
+    (4, 0.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0), (6, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0), (5, 0.4, 60, 0.0, 3, 1.0, 0, 0, 0, 0), (2, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
+    (3, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0),
 )
 
 Tree = tuple | int
+#: Measures of the text, which the first splits are made by, and those of the place, which only deeper ones may use.
+TEXT, PLACE = (1, 5, 3, 0, 4, 2), (6, 7, 8)
+#: Levels of the tree, those by text alone, and the fewest rows of a leaf.
+DEPTH, BY_TEXT, LEAF = 7, 1, 2
 
 
-def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> Tree:
-    """A classification tree: at each node the split of least Gini impurity, the first of equals; leaves of one row or more."""
-    if depth == 0 or labels.min() == labels.max():
+def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 0) -> Tree:
+    """A classification tree: at each node the split of least Gini impurity, the first of equals; leaves of LEAF rows or more."""
+    if depth == DEPTH or labels.min() == labels.max():
         return int(labels.mean() >= 0.5)
     best: tuple = (np.inf,)
-    for k in (6, 7, 1, 0, 2, 4, 3, 5, 8):
+    for k in TEXT if depth < BY_TEXT else TEXT + PLACE:
         values = np.unique(rows[:, k])
         for at in (values[1:] + values[:-1]) / 2:
             side = rows[:, k] > at
-            cost = sum(len(s) * s.mean() * (1 - s.mean()) for s in (labels[side], labels[~side]))
-            if cost < best[0] - 1e-12:
-                best = (cost, k, at)
+            if LEAF <= side.sum() <= len(side) - LEAF:
+                cost = sum(len(s) * s.mean() * (1 - s.mean()) for s in (labels[side], labels[~side]))
+                if cost < best[0] - 1e-12:
+                    best = (cost, k, at)
     if len(best) == 1:
         return int(labels.mean() >= 0.5)
     _, k, at = best
     side = rows[:, k] > at
-    return (k, at, grow(rows[~side], labels[~side], depth - 1), grow(rows[side], labels[side], depth - 1))
+    return (k, at, grow(rows[~side], labels[~side], depth + 1), grow(rows[side], labels[side], depth + 1))
 
 
 def decide(tree: Tree, rows: np.ndarray) -> np.ndarray:
@@ -173,7 +191,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     The blocks that the tree takes for the article, in page order, joined by an empty line. A null or empty page, or
     one without an article, has the empty text. Markup may be broken: unknown and unclosed elements are passed over.
-    Repeated rows are alike, an empty table gives an empty result, other columns are ignored.
+    Repeated rows are alike, rows without page_id too; an empty table gives an empty result; pages of any length are
+    read whole; other columns are ignored.
     """
     tree = trained()
 
