@@ -12,7 +12,7 @@ from blockweft.functions.abi import decode_call, decode_event, hex0x, parse_sign
 from blockweft.operators import match, publish, registry, results
 from blockweft.operators.match import Monitor
 from blockweft.plans import blocks
-from blockweft.queries import AMOUNT, CENTS, CHAIN_E, CHAIN_O, EVENT, HEAD, HIGH, LOW, MEDIUM, MONITORS, ORACLE_SQL, SOUND, TX, URGENT, USUAL, calls, contract, only, query, shown, transfers
+from blockweft.queries import AMOUNT, CENTS, CHAIN_E, CHAIN_O, EVENT, HEAD, HIGH, LOW, MEDIUM, MONITORS, ORACLE_SQL, SOUND, TX, URGENT, USUAL, calls, contract, events, only, query, shown, transfers
 from blockweft.sources import chain, rpc
 
 ANY = Monitor(1, 1, contract(URGENT), chain.TRANSFER)
@@ -258,3 +258,34 @@ def calls_wide_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.concat(F.lit(parse_signature(both).hash.hex()), F.lit("f" * 64), F.lit("8" + "0" * 63))
     found = decode_call(sent.withColumn("input", F.unhex(data)), both)
     return found.select("decoded.largest", "decoded.least", hex0x(F.col("tx_hash")).alias("tx_hash"))
+
+
+@query(f"SELECT {CHAIN_O} AS chain_id, o_orderkey // 10 AS block_number, {TX} AS tx_hash, CAST({CENTS} AS VARCHAR) AS value FROM orders WHERE o_orderpriority = '{URGENT}' AND {SOUND}")
+def calls_decoded_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transfers of both chains, without a filter."""
+    both = [Monitor(k, c, contract(URGENT), chain.TRANSFER) for k, c in ((1, 1), (2, 8453))]
+    return calls(spark, sf_dir, both).select("chain_id", "block_number", hex0x(F.col("tx_hash")).alias("tx_hash"), F.get_json_object("params", "$.value").alias("value"))
+
+
+@query(f"SELECT {CHAIN_E} AS chain_id, {EVENT}, props FROM events WHERE event_type IN ('purchase', 'error')")
+def events_decoded_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = events(spark, sf_dir, [Monitor(2 * k + j, c, contract(n), chain.ACTIVITY) for k, n in enumerate(("purchase", "error"), 1) for j, c in enumerate((1, 8453))])
+    return found.select("chain_id", "block_number", hex0x(F.col("tx_hash")).alias("tx_hash"), "log_index", F.get_json_object("params", "$.props").alias("props"))
+
+
+@query(transfers(f"({CENTS} >= 30000000 OR {CENTS} < 5000000) AND o_orderkey // 10 >= 20"))
+def filter_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = lambda op, n: {"field": "params.value", "op": op, "value": n}
+    both = {"and": [{"or": [value("gte", "30000000"), value("lt", "5000000")]}, {"not": {"field": "block.number", "op": "lt", "value": "20"}}]}
+    return shown(calls(spark, sf_dir, [Monitor(1, 1, contract(URGENT), chain.TRANSFER, filter=both)]), "to", "value")
+
+
+@query(f"""SELECT monitor_id, count(*) AS n FROM (SELECT CAST(1 AS BIGINT) AS monitor_id FROM orders WHERE {CHAIN_O} = 1 AND o_orderpriority = '{URGENT}' AND {SOUND} AND o_orderkey // 10 <= {HEAD}
+  UNION ALL SELECT CAST(2 AS BIGINT) FROM orders WHERE {CHAIN_O} = 8453 AND o_orderpriority = '{URGENT}' AND {SOUND} AND o_orderkey // 10 <= {HEAD}
+  UNION ALL SELECT CAST(9 AS BIGINT) FROM events WHERE {CHAIN_E} = 1 AND event_type = 'purchase' AND event_id // 20 <= {HEAD}) GROUP BY monitor_id""")
+def backfill_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of two chains from the first block to the head, published, and what is visible then."""
+    monitors = [Monitor(1, 1, contract(URGENT), chain.TRANSFER), Monitor(2, 8453, contract(URGENT), chain.TRANSFER), *only(9)]
+    root = store(spark, "backfill")
+    publish.step(spark, root, 0, (chain.transactions(spark, sf_dir), chain.receipts(spark, sf_dir), chain.logs(spark, sf_dir)), monitors, chain.heads(spark, sf_dir), 1 << 40)
+    return publish.visible(spark, root).groupBy("monitor_id").agg(F.count(F.lit(1)).alias("n"))
