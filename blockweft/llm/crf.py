@@ -11,6 +11,8 @@ from .textnum import batches, mixed, span_hashes, word_bounds
 
 #: Rows of the tables of hashed character n-grams and affixes, and the most words of the learned lexicon.
 NGRAMS, AFFIXES, LEXICON = 1 << 15, 1 << 14, 50_000
+#: Bytes of text that are tagged at once, which bounds a task's memory.
+TAG_BATCH = 500_000
 #: Words of a chunk in forward-backward.
 CHUNK = 128
 #: Neighbours whose expected labels are summed at once in training, which bounds its memory.
@@ -211,7 +213,7 @@ class Tagged:
 def tag(model: Model, texts: list[str]) -> Iterator[Tagged]:
     """The texts in batches, with the label marginals of all words."""
     sizes = [t.encode("utf-8", "surrogatepass") for t in texts]
-    for a, b in batches(sizes):
+    for a, b in batches(sizes, TAG_BATCH):
         data, starts, ends, hashes, first, begin = words_of(texts[a:b])
         _, one, where = np.unique(hashes, return_index=True, return_inverse=True)
         emit = model.emissions(features(data, starts[one], ends[one], hashes[one], model.lexicon))
