@@ -108,27 +108,48 @@ def receipt_faults(txs: DataFrame, receipts: DataFrame, monitors: DataFrame) ->
     return joined.select("chain_id", "block_number", receipt_fault().alias("reason")).where("reason IS NOT NULL")
 
 
-def log_fault() -> Column:
-    """What is wrong with a log: a block outside the range it was asked for (first_block, last_block) is, if these columns are there."""
-    return F.when(F.col("removed"), F.lit("removed log")).when(F.col("tx_hash").isNull(), F.lit("log without transaction hash")).when(F.col("log_index").isNull(), F.lit("log without index"))
+def _strays(logs: DataFrame) -> Column:
+    """Whether a log's block lies outside the range it was asked for (first_block, last_block), if the table has that."""
+    if not {"first_block", "last_block"} <= set(logs.columns):
+        return F.lit(False)
+    return F.col("first_block").isNotNull() & ~F.coalesce(F.col("block_number").between(F.col("first_block"), F.col("last_block")), F.lit(False))
+
+
+def log_fault(logs: DataFrame) -> Column:
+    """What is wrong with a log of ``logs``."""
+    return (
+        F.when(F.col("removed"), F.lit("removed log"))
+        .when(F.col("tx_hash").isNull(), F.lit("log without transaction hash"))
+        .when(F.col("log_index").isNull(), F.lit("log without index"))
+        .when(_strays(logs), F.lit("log outside the range asked for"))
+    )
 
 
 def checked_logs(logs: DataFrame) -> DataFrame:
-    """Finalized logs carry all their fields and are never removed; anything else is an error."""
-    bad = log_fault()
+    """Finalized logs carry all their fields, lie where they were asked for and are never removed; anything else is an error."""
+    bad = log_fault(logs)
     return logs.where(F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(F.lit(True)))
 
 
 def sound_logs(logs: DataFrame) -> DataFrame:
-    return logs.where(log_fault().isNull())
+    return logs.where(log_fault(logs).isNull())
 
 
 def log_faults(logs: DataFrame, monitors: DataFrame) -> DataFrame:
-    """(chain_id, block_number, reason) of faulty logs that some active monitor needs."""
-    keyed = logs.withColumn("reason", log_fault()).where("reason IS NOT NULL").withColumn("hash", F.try_element_at("topics", F.lit(1)))
-    wanted = active(monitors).where("kind = 'event'").withColumnsRenamed({"chain_id": "m_chain", "hash": "m_hash", "address": "m_address"})
-    on = (F.col("chain_id") == F.col("m_chain")) & (F.col("address") == F.col("m_address")) & (F.col("hash") == F.col("m_hash")) & needs_block(F.col("block_number"))
-    return keyed.select("chain_id", "block_number", "address", "hash", "reason").join(F.broadcast(wanted), on, "left_semi").select("chain_id", "block_number", "reason")
+    """(chain_id, block_number, reason) of faulty logs that some active monitor needs.
+
+    A log outside its range says nothing reliable about its block, so it counts for the first block of that range that
+    the monitor still needs.
+    """
+    strays = _strays(logs)
+    last = F.col("last_block") if "last_block" in logs.columns else F.col("block_number")
+    first = F.col("first_block") if "first_block" in logs.columns else F.col("block_number")
+    keyed = logs.withColumn("reason", log_fault(logs)).where("reason IS NOT NULL")
+    keyed = keyed.select("chain_id", "block_number", "address", F.try_element_at("topics", F.lit(1)).alias("hash"), "reason", F.when(strays, first).alias("_first"), F.when(strays, last).alias("_last"))
+    wanted = active(monitors).where("kind = 'event'").select(F.col("chain_id").alias("m_chain"), F.col("hash").alias("m_hash"), F.col("address").alias("m_address"), "start_block", "end_block", "cursor", "enabled", "completed")
+    at = F.when(F.col("_first").isNull(), F.col("block_number")).otherwise(F.greatest("_first", F.coalesce(F.col("cursor") + 1, F.col("start_block"))))
+    on = (F.col("chain_id") == F.col("m_chain")) & (F.col("address") == F.col("m_address")) & (F.col("hash") == F.col("m_hash")) & needs_block(at) & (F.col("_last").isNull() | (at <= F.col("_last")))
+    return keyed.join(F.broadcast(wanted), on).select("chain_id", at.alias("block_number"), "reason").distinct()
 
 
 def matched_events(logs: DataFrame, monitors: DataFrame) -> DataFrame:

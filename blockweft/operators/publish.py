@@ -1,6 +1,6 @@
 """Publication of batches: data first, then one commit record that makes them visible together with the new cursors.
 
-Under ``root`` lie ``results/batch_id=N`` and ``commits``. A batch counts from the moment its record, a single file, is
+Under ``root`` lie ``results/batch_id=N``, ``commits`` and ``polls/batch_id=N``. A batch counts from the moment its record, a single file, is
 in ``commits``; data without a record is never read and is overwritten when the batch is tried again.
 """
 
@@ -19,6 +19,8 @@ from blockweft.plans.blocks import ranges
 COMMITS = "batch_id long, monitor_id long, chain_id long, cursor long, completed boolean, error string"
 RESULTS = "chain_id long, monitor_id long, kind string, block_number long, tx_hash binary, from_addr binary, to_addr binary, log_index long, address binary, params string"
 
+POLLS = "poll_ts timestamp, chain_id long, finalized_head long, decoded long, error string"
+
 
 class CommitError(ValueError):
     """A batch that must not become visible."""
@@ -41,6 +43,21 @@ def visible(spark: SparkSession, root: str) -> DataFrame:
     return _stored(spark, f"{root}/results", RESULTS + ", batch_id long").join(done, "batch_id", "left_semi")
 
 
+def polls(spark: SparkSession, root: str) -> DataFrame:
+    """One row for each chain of each batch that was tried: its head, the results that became visible, and what went wrong."""
+    return _stored(spark, f"{root}/polls", POLLS + ", batch_id long")
+
+
+def record_poll(spark: SparkSession, root: str, batch_id: int, heads: DataFrame, failure: str | None = None) -> None:
+    """Note the outcome of a batch for each chain of ``heads``; again for the same batch, the last outcome holds."""
+    mine = F.col("batch_id") == batch_id
+    errors = commits(spark, root).where(mine).groupBy("chain_id").agg(F.max("error").alias("stopped"))  # one row a chain
+    counts = visible(spark, root).where(mine).groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = heads.join(F.broadcast(errors), "chain_id", "left").join(F.broadcast(counts), "chain_id", "left")
+    rows = rows.select(F.current_timestamp().alias("poll_ts"), "chain_id", "finalized_head", F.coalesce("n", F.lit(0)).alias("decoded"), F.coalesce(F.lit(failure).cast("string"), F.col("stopped")).alias("error"))
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{root}/polls/batch_id={batch_id}")
+
+
 def progressed(spark: SparkSession, root: str, monitors: list[Monitor]) -> list[Monitor]:
     """The monitors with the cursors of the last commit that holds them; one row a monitor comes to the driver."""
     last = commits(spark, root).groupBy("monitor_id").agg(F.max_by(F.struct("cursor", "completed"), "batch_id").alias("s"))
@@ -51,7 +68,7 @@ def progressed(spark: SparkSession, root: str, monitors: list[Monitor]) -> list[
 def process(txs: DataFrame, receipts: DataFrame, logs: DataFrame, monitors: list[Monitor]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, decode errors, faults) of the blocks that ``monitors`` need.
 
-    A fault is a matching log that is removed or lacks a field, or a candidate without a receipt: (chain_id,
+    A fault is a matching log that is removed, lacks a field or lies outside its range, or a candidate without a receipt: (chain_id,
     block_number, reason). Results may hold rows of blocks with faults; ``publish`` drops them.
     """
     table = registry(txs.sparkSession, monitors)
@@ -124,6 +141,8 @@ def step(spark: SparkSession, root: str, batch_id: int, tables: tuple[DataFrame,
     low, high = min(r["first"] for r in rows.values()), max(r["last"] for r in rows.values())
     txs, receipts, logs = tables
     inside = F.col("block_number").between(low, high)
-    results, _, faults = process(txs.where(inside), receipts.where(inside), logs.where(inside), mine)
+    # logs that were asked for in a range are read by that too, as their own block may be wrong
+    asked = inside | ((F.col("first_block") <= high) & (F.col("last_block") >= low)) if {"first_block", "last_block"} <= set(logs.columns) else inside
+    results, _, faults = process(txs.where(inside), receipts.where(inside), logs.where(asked), mine)
     here = spark.createDataFrame([tuple(r) for r in rows.values()], planned.schema)
     return publish(spark, root, batch_id, here, table, results, faults)

@@ -22,10 +22,10 @@ def commit_histogram(commits: DataFrame) -> DataFrame:
     return counts.select("chain_id", "outcome", F.inline(cells))
 
 
-def chain_status(polls: DataFrame, enabled: DataFrame) -> DataFrame:
-    """State of each chain by its last poll; an error keeps the head of the last success."""
+def chain_status(polls: DataFrame, enabled: DataFrame, then_by: str = "event_id") -> DataFrame:
+    """State of each chain by its last poll (by poll_ts, then ``then_by``); an error keeps the head of the last success."""
     good = F.col("error").isNull()
-    at = F.struct("poll_ts", "event_id")
+    at = F.struct("poll_ts", then_by)
     last = polls.groupBy("chain_id").agg(
         F.max_by("finalized_head", F.when(good, at)).alias("finalized_head"), F.max(F.when(good, F.col("poll_ts"))).alias("last_success"), F.max_by("error", F.when(~good, at)).alias("last_error"), F.max_by(good, at).alias("fine")
     )

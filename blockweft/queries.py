@@ -285,10 +285,10 @@ def chain_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT chain_id, CASE WHEN last_bad THEN 'degraded' ELSE 'running' END AS state, finalized_head, CASE WHEN last_bad THEN 'block source request failed' END AS last_error FROM (
-  SELECT chain_id, arg_max(bad, event_id) AS last_bad, arg_max(event_id // 20, event_id) FILTER (NOT bad) AS finalized_head
-  FROM (SELECT CAST({CHAIN_E} AS BIGINT) AS chain_id, event_id, event_type = 'error' AS bad FROM events ORDER BY ts, event_id) GROUP BY chain_id)""")
+  SELECT chain_id, arg_max(bad, place) AS last_bad, arg_max(event_id // 20, place) FILTER (NOT bad) AS finalized_head
+  FROM (SELECT CAST({CHAIN_E} AS BIGINT) AS chain_id, event_id, event_type = 'error' AS bad, row_number() OVER (ORDER BY ts, event_id) AS place FROM events) GROUP BY chain_id)""")
 def chain_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    polls = chain.poll_log(spark, sf_dir).withColumn("poll_ts", F.col("event_id"))
+    polls = chain.poll_log(spark, sf_dir)
     enabled = chain.heads(spark, sf_dir).select("chain_id", F.lit(True).alias("enabled"))
     return reports.chain_status(polls, enabled)
 

@@ -14,6 +14,7 @@ from blockweft.operators.match import Monitor
 from blockweft.plans import blocks
 from blockweft.queries import AMOUNT, CENTS, CHAIN_E, CHAIN_O, EVENT, HEAD, HIGH, LOW, MEDIUM, MONITORS, ORACLE_SQL, SOUND, TX, URGENT, USUAL, calls, contract, events, only, query, shown, transfers
 from blockweft.sources import chain, rpc
+from blockweft.streaming.index import index_step
 
 ANY = Monitor(1, 1, contract(URGENT), chain.TRANSFER)
 
@@ -135,6 +136,30 @@ def published_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.visible(spark, root).groupBy("monitor_id").agg(F.count(F.lit(1)).alias("n"), F.max("block_number").alias("last_block"))
 
 
+_PURCHASE = f"FROM events WHERE {CHAIN_E} = 1 AND event_type = 'purchase'"
+_BAD = f"(SELECT min(event_id // 20) {_PURCHASE} AND event_id % 501 >= 499 AND event_id // 20 <= {HEAD})"
+
+
+@query(f"""SELECT CAST(1 AS BIGINT) AS chain_id, CAST({HEAD} AS BIGINT) AS finalized_head, (SELECT count(*) {_PURCHASE} AND event_id // 20 <= {HEAD} AND event_id // 20 < coalesce({_BAD}, 1000000000)) AS decoded,
+  CASE WHEN {_BAD} IS NOT NULL THEN 'removed log' END AS error UNION ALL SELECT CAST(8453 AS BIGINT), CAST({HEAD} AS BIGINT), 0, NULL""")
+def poll_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the step of a stream records of both chains, of which one has removed logs and one no monitor."""
+    logs = chain.logs(spark, sf_dir)
+    logs = logs.withColumn("removed", (F.col("block_number") * 20 + F.col("log_index")) % 501 >= 499)
+    root = store(spark, "polls")
+    index_step(root, lambda s: (chain.transactions(s, sf_dir), chain.receipts(s, sf_dir), logs), lambda: only(9), 1 << 40)(chain.heads(spark, sf_dir), 0)
+    return publish.polls(spark, root).select("chain_id", "finalized_head", "decoded", "error")
+
+
+@query(f"""SELECT CAST({CHAIN_E} AS BIGINT) AS chain_id, event_id // 20 // 8 * 8 AS block_number, 'log outside the range asked for' AS reason FROM events
+  WHERE {CHAIN_E} = 1 AND event_type = 'purchase' AND event_id // 20 % 8 = 7 GROUP BY ALL""")
+def stray_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of logs that were asked for by eights of blocks, where the answers hold one block less."""
+    block = F.col("block_number")
+    asked = chain.logs(spark, sf_dir).withColumns({"first_block": block - block % 8, "last_block": block - block % 8 + 6})
+    return match.log_faults(asked, match.registry(spark, only(9)))
+
+
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A monitor for each supplier: of its nation's chain, of one of three signatures, some without a start."""
     s = chain.table(spark, sf_dir, "supplier")

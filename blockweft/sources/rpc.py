@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 BLOCK = "request struct<chain_id: bigint, number: bigint>, result struct<number: string, transactions: array<struct<hash: string, `from`: string, `to`: string, input: string>>>"
 RECEIPTS = "request struct<chain_id: bigint, number: bigint>, result array<struct<transactionHash: string, status: string>>"
-LOGS = "request struct<chain_id: bigint>, result array<struct<address: string, topics: array<string>, data: string, blockNumber: string, transactionHash: string, logIndex: string, removed: boolean>>"
+LOGS = "request struct<chain_id: bigint, from_block: bigint, to_block: bigint>, result array<struct<address: string, topics: array<string>, data: string, blockNumber: string, transactionHash: string, logIndex: string, removed: boolean>>"
 
 
 def quantity(text: Column) -> Column:
@@ -66,10 +66,12 @@ def receipts_of(dump: DataFrame) -> DataFrame:
 
 
 def logs_of(dump: DataFrame) -> DataFrame:
-    """Logs of responses; number, hash and index stay null where a response lacks them."""
-    each = parsed(dump, LOGS).select(F.col("request.chain_id").alias("chain_id"), F.explode("result").alias("t"))
+    """Logs of responses, with the range asked for where a request tells it; number, hash and index stay null where a response lacks them."""
+    each = parsed(dump, LOGS).select(F.col("request.chain_id").alias("chain_id"), F.col("request.from_block").alias("first_block"), F.col("request.to_block").alias("last_block"), F.explode("result").alias("t"))
     return each.select(
         "chain_id",
+        "first_block",
+        "last_block",
         quantity(F.col("t.blockNumber")).alias("block_number"),
         quantity(F.col("t.logIndex")).alias("log_index"),
         data(F.col("t.transactionHash"), 32).alias("tx_hash"),

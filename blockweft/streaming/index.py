@@ -8,30 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from blockweft.operators import publish
-from blockweft.operators.match import Monitor, indexed
+from blockweft.operators import publish, results
+from blockweft.operators.match import Monitor, registry
 
 Step = Callable[[DataFrame, int], None]
 Tables = Callable[[SparkSession], tuple[DataFrame, DataFrame, DataFrame]]
 
 
-def process_batch(txs: DataFrame, receipts: DataFrame, logs: DataFrame, monitors: list[Monitor], head: int) -> DataFrame:
-    """Results of all blocks up to the finalized head that monitors still need."""
-    bound = f"block_number <= {int(head)}"
-    return indexed(txs.where(bound), receipts, logs.where(bound), monitors)
-
-
-def index_step(root: str, tables: Tables, monitors: Callable[[], list[Monitor]], batch: int) -> Step:
+def index_step(root: str, tables: Tables, monitors: Callable[[], list[Monitor]], batch: int, sink: Step | None = None) -> Step:
     """A step for ``run_stream`` over (chain_id, finalized_head) rows.
 
     Tables and monitors are asked for in every micro-batch, so new data and changes of the registry take effect with
-    the next one. Chains go on from their cursors; a repeated batch id changes nothing.
+    the next one. Chains go on from their cursors; a repeated batch id changes nothing. A batch that fails is recorded
+    (``publish.polls``) and leaves cursors where they were, so the next one takes up its blocks.
+
+    ``sink`` gets the payloads of a batch once it is committed, and again if the batch is repeated; what fails there is
+    recorded and never takes back a commit.
     """
 
     def run(heads: DataFrame, batch_id: int) -> None:
         spark = heads.sparkSession
         newest = heads.groupBy("chain_id").agg(F.max("finalized_head").alias("finalized_head"))
-        publish.step(spark, root, batch_id, tables(spark), monitors(), newest, batch)
+        failure, now = None, []
+        try:
+            now = monitors()
+            publish.step(spark, root, batch_id, tables(spark), now, newest, batch)
+        except Exception as e:  # the stream outlives a failed batch, whatever made it fail
+            failure = f"{type(e).__name__}: {e}".split("\n")[0]
+        if sink and not failure:
+            try:
+                done = publish.visible(spark, root).where(F.col("batch_id") == batch_id).drop("batch_id")
+                sink(results.sink_batches(done, registry(spark, now)), batch_id)
+            except Exception as e:
+                failure = f"publication: {type(e).__name__}: {e}".split("\n")[0]
+        publish.record_poll(spark, root, batch_id, newest, failure)
 
     return run
 

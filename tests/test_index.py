@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from blockweft.operators import match, publish, registry
+from blockweft.operators import match, publish, registry, reports
 from blockweft.operators.match import Monitor
 from blockweft.plans import blocks
 from blockweft.queries import contract, only
@@ -117,3 +117,43 @@ def test_registry_jobs(spark):
     assert registry.checked_filters(stored.where("id < 3")).count() == 2
     with pytest.raises(Exception, match="not whole"):
         registry.checked_filters(stored).collect()
+
+
+def test_a_stream_outlives_a_failed_batch_and_publishes_after_commits(spark, tmp_path):
+    for head in (40, 120, 300):
+        spark.createDataFrame([(1, head)], "chain_id long, finalized_head long").coalesce(1).write.parquet(f"{tmp_path}/heads", mode="append")
+    heads = spark.readStream.schema("chain_id long, finalized_head long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/heads")
+    root, tried, sent = f"{tmp_path}/store", [], []
+
+    def failing_once(s):
+        tried.append(1)
+        if len(tried) == 2:
+            raise OSError("no answer")
+        return tables(s)
+
+    def sink(payloads, batch_id):
+        if batch_id == 0:
+            raise OSError("sink is away")
+        sent.append((batch_id, payloads.agg(F.sum("n")).first()[0]))
+
+    run_stream(heads, index_step(root, failing_once, lambda: only(1, 9), 10_000, sink), f"{tmp_path}/check").awaitTermination()
+    assert rows(publish.visible(spark, root)) == rows(match.indexed(*tables(spark), only(1, 9)).where("block_number <= 300"))
+    polls = {r.batch_id: r for r in publish.polls(spark, root).collect()}
+    assert polls[0].error == "publication: OSError: sink is away" and polls[0].decoded > 0
+    assert polls[1].error == "OSError: no answer" and polls[1].decoded == 0
+    assert polls[2].error is None and sent == [(2, polls[2].decoded)]
+    assert sum(p.decoded for p in polls.values()) == publish.visible(spark, root).count()
+    enabled = spark.createDataFrame([(1, True), (7, True)], "chain_id long, enabled boolean")
+    state = {r.chain_id: r for r in reports.chain_status(publish.polls(spark, root), enabled, "batch_id").collect()}
+    assert (state[1].state, state[1].finalized_head) == ("running", polls[2].finalized_head) and state[7].state == "starting"
+
+
+def test_logs_outside_the_range_asked_for(spark):
+    monitor = only(9)[0]
+    line = lambda block, low, high: json.dumps({"request": {"chain_id": 1, "from_block": low, "to_block": high}, "result": [{"address": "0x" + monitor.address, "topics": ["0x" + monitor.target.hash.hex()], "data": "0x", "blockNumber": block, "transactionHash": "0x" + "ab" * 32, "logIndex": "0x0"}]})
+    table = match.registry(spark, [Monitor(9, 1, monitor.address, monitor.signature, cursor=11)])
+    faults = lambda *lines: [(r.block_number, r.reason) for r in match.log_faults(rpc.logs_of(spark.createDataFrame([(x,) for x in lines], "value string")), table).collect()]
+    assert faults(line("0xf", 10, 19), line("0x13", 10, 19)) == []
+    # beyond the range, and without a block: the first block of the range that the monitor still needs
+    assert faults(line("0x14", 10, 19), line(None, 10, 19)) == [(12, "log outside the range asked for")]
+    assert faults(line("0x14", 0, 11)) == []
