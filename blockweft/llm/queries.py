@@ -16,6 +16,7 @@ from .language import op3_language
 from .mixing import OP6_SQL, op6_mixing
 from .secrets import op1_secrets
 from .sharding import op4_sharding, op4_sql
+from .simhash import op11_simhash
 from .surrogates import op10_pii
 from .toxicity import op7_toxicity
 
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
+    "op11_simhash": op11_simhash,
     "pipeline": run,
 }
 ORACLE_SQL: dict[str, str] = {"op4_sharding": op4_sql(), "op6_mixing": OP6_SQL, "op9_exact_dedup": OP9_SQL}
