@@ -76,6 +76,16 @@ class Scratch:
 _open: list[Scratch] = []
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table of the innermost ``Scratch`` before its end."""
+    for k, (spark, path, held) in enumerate(_open[-1].tables if _open else []):
+        if held is table:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            del _open[-1].tables[k]
+            return
+
+
 def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
     """What ``fit`` makes of a bounded sample of labelled rows, worked out in one task; only the result comes to the driver."""
     columns = sample.columns
@@ -97,11 +107,16 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[
 
     Texts differ in length, so a count of rows alone doesn't bound a task's memory. The session keeps the lower bound.
     """
+    return bounded_batches(df).mapInPandas(run, schema)
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands rows to Python in batches of BATCH_BYTES at most."""
     name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
     number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)b?\s*", conf.get(name).lower()).groups()
     if int(number) << 10 * " kmgtp".index(unit or " ") > BATCH_BYTES:
         conf.set(name, f"{BATCH_BYTES}b")
-    return df.mapInPandas(run, schema)
+    return df
 
 
 def held_out(doc_id: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpus_pipeline import run
 
+from .centroids import op13_centroids, op13_sql
+from .codebooks import op12_sql, op12_vector_codes
 from .decontaminate import op5_decontamination
 from .dedup_exact import OP9_SQL, op9_exact_dedup
 from .html import op2_html_text
@@ -32,6 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
     "op11_simhash": op11_simhash,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_centroids": op13_centroids,
     "pipeline": run,
 }
-ORACLE_SQL: dict[str, str] = {"op4_sharding": op4_sql(), "op6_mixing": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_sharding": op4_sql(), "op6_mixing": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op12_vector_codes": op12_sql(), "op13_centroids": op13_sql()}
