@@ -122,7 +122,7 @@ def rooted(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def blocks_for(n: int, most: int) -> int:
     """In how many blocks fingerprints are cut: with more, keys are longer and there are more tables. All give the same links."""
     blocks = most + 1
-    while blocks < 64 and (64 // blocks) * (blocks - most) < 13 + max(0, n.bit_length() - 26):
+    while blocks < 64 and (64 // blocks) * (blocks - most) < 12 + max(0, n.bit_length() - 26):
         blocks += 1
     return blocks
 
