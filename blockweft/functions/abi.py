@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +32,7 @@ def _round_constants() -> list[int]:
 _CONSTANTS = _round_constants()
 
 
+@lru_cache(maxsize=10_000)
 def keccak256(data: bytes) -> bytes:
     """Keccak-256 of a signature text; used at definition time, never on rows."""
     rate, state = 136, [0] * 25
@@ -276,6 +277,90 @@ def typed(p: Param, value: Column) -> Column:
     return value
 
 
+#: A parameter as data: how its value is found and shown. ``at`` is a byte offset of the head, or the number of a topic.
+DESCRIPTOR = "struct<name: string, kind: string, at: int, indexed: boolean, skip: int, size: int>"
+
+
+def descriptors(signature: Signature) -> list[tuple[str, str, int, bool, int, int]]:
+    """The parameters as rows of DESCRIPTOR. Kinds are uint, int, bool, text and data (of any length), and fixed (a part of a word)."""
+    head, topic, out = 0, 1, []
+    for p in signature.params:
+        if p.indexed:
+            topic += 1
+        at = topic if p.indexed else head
+        head += 0 if p.indexed else 32
+        if dynamic(p.type):
+            kind, skip, size = ("fixed", 0, 32) if p.indexed else ("text" if p.type == "string" else "data", 0, 0)
+        elif p.type.startswith("uint") or p.type.startswith("int"):
+            kind, skip, size = p.type.rstrip("0123456789"), 0, 32
+        elif p.type == "bool":
+            kind, skip, size = "bool", 0, 32
+        else:
+            kind, skip, size = "fixed", *{"address": (12, 20), "function": (0, 24)}.get(p.type, (0, int(p.type[5:]) if p.type[5:].isdigit() else 32))
+        out.append((p.name, kind, at, p.indexed, skip, size))
+    return out
+
+
+def decode_by(params: Column, data: Column, topics: Column | None = None) -> Column:
+    """(ok, values): what ``decode_values`` gives, for parameters that are data (an array of DESCRIPTOR) of each row.
+
+    One expression reads rows of all signatures, so plans don't grow with their number. Each step is an array of its
+    own, so that offsets and lengths are worked out once.
+    """
+    varies = lambda x: x["kind"].isin("text", "data")
+    keep = lambda x: (x["kind"].alias("kind"), x["skip"].alias("skip"), x["size"].alias("size"))
+
+    def place(p: Column) -> Column:
+        w = F.substring(data, p["at"] + 1, F.lit(32))
+        return F.struct(*keep(p), (w if topics is None else F.when(p["indexed"], F.try_element_at(topics, p["at"])).otherwise(w)).alias("w"))
+
+    words = F.transform(params, place)
+    offsets = F.transform(words, lambda x: F.struct(*keep(x), x["w"].alias("w"), F.when(varies(x), small(x["w"])).alias("offset")))
+    inside = lambda x: x["offset"] < F.length(data)
+    sizes = F.transform(offsets, lambda x: F.struct(*keep(x), x["w"].alias("w"), x["offset"].alias("offset"), F.when(inside(x), small(word(data, x["offset"].cast("int")))).alias("length")))
+    ends = lambda x: x["offset"] + 32 + x["length"]
+    good = lambda x: ~varies(x) | F.coalesce(ends(x) <= F.length(data), F.lit(False))
+    value = lambda x: F.when(~varies(x), F.substring(x["w"], x["skip"] + 1, x["size"])).when(good(x), F.substring(data, (x["offset"] + 33).cast("int"), x["length"].cast("int")))
+    read = F.transform(sizes, lambda x: F.struct(good(x).alias("ok"), value(x).alias("value")))
+    count = lambda indexed: F.size(F.filter(params, lambda p: p["indexed"] == indexed))
+    whole = F.length(data) >= 32 * count(False)
+    if topics is not None:
+        whole = whole & (F.size(topics) == count(True) + 1)
+    return F.struct(F.coalesce(whole & F.forall(read, lambda x: x["ok"]), F.lit(False)).alias("ok"), F.transform(read, lambda x: x["value"]).alias("_values"))
+
+
+def text_by(params: Column, values: Column) -> Column:
+    """What ``canonical_params`` gives, for parameters that are data."""
+    quoted = lambda t: F.concat(F.lit('"'), t, F.lit('"'))
+
+    def shown(p: Column, v: Column) -> Column:
+        json = F.to_json(F.struct(F.make_valid_utf8(v.cast("string")).alias("v")))  # {"v":...}
+        text = (
+            F.when(p["kind"] == "uint", quoted(decimal_string(v)))
+            .when(p["kind"] == "int", quoted(decimal_string(v, signed=True)))
+            .when(p["kind"] == "bool", (F.hex(v) != "00" * 32).cast("string"))
+            .when(p["kind"] == "text", F.substring(json, F.lit(6), F.length(json) - 6))
+            .otherwise(quoted(hex0x(v)))
+        )
+        return F.concat(quoted(p["name"]), F.lit(":"), text)
+
+    return F.concat(F.lit("{"), F.array_join(F.zip_with(params, values, shown), ","), F.lit("}"))
+
+
+def keys_by(params: Column, values: Column) -> Column:
+    """The values as bytes that compare as they do: signed numbers shifted, bool as one byte, text as valid UTF-8."""
+
+    def key(p: Column, v: Column) -> Column:
+        return (
+            F.when(p["kind"] == "int", sort_key(v, signed=True))
+            .when(p["kind"] == "bool", F.unhex(F.when(F.hex(v) != "00" * 32, "01").otherwise("00")))
+            .when(p["kind"] == "text", F.make_valid_utf8(v.cast("string")).cast("binary"))
+            .otherwise(v)
+        )
+
+    return F.zip_with(params, values, key)
+
+
 def decode_call(df: DataFrame, signature: str, data: str = "input", to: str = "decoded") -> DataFrame:
     """``df`` with a struct of the typed parameters of a `function ...`; null where the data is of another one, or broken."""
     target = parse_signature(signature)

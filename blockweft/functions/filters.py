@@ -1,16 +1,14 @@
-"""The filter language: a JSON expression over a decoded row becomes one boolean Column."""
+"""The filter language: a JSON expression over a decoded row becomes a postfix program, which is data of its monitor."""
 
 from __future__ import annotations
 
 import json
 import re
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .abi import Param, Signature, dynamic, number_key, sort_key
+from .abi import Signature, dynamic, number_key
 
 # Limits of an expression.
 MOST_BYTES, MOST_NODES, MOST_DEPTH, ARITY = 16 * 1024, 128, 16, (2, 32)
@@ -63,50 +61,77 @@ def literal(kind: str, value: object, path: str) -> tuple[object, object]:
     return bytes.fromhex(value[2:]), value.lower()
 
 
-def compile_filter(expression: dict | None, signature: Signature, columns: dict[str, Column], path: str = "/filter") -> Column:
-    """The Column of an expression; ``columns`` maps row columns and parameter names to raw values. No filter is true."""
+#: Columns of a row that a filter may name; a program counts them before the parameters.
+ROW_FIELDS = ("block_number", "tx_hash", "from_addr", "to_addr", "address", "log_index")
+#: A step of a program: a comparison pushes its outcome, and/or take two, not takes one.
+STEP = "struct<op: string, field: int, value: binary>"
+
+
+def program(expression: dict | None, signature: Signature, path: str = "/filter") -> list[tuple[str, int | None, bytes | None]]:
+    """An expression in postfix order: comparisons of a field (by its place among ROW_FIELDS and parameters) with bytes
+    that compare as the values do. No filter is no steps."""
     if expression is None:
-        return F.lit(True)
+        return []
     if len(json.dumps(expression, separators=(",", ":")).encode()) > MOST_BYTES:
-        raise FilterError(path, "too long")
+        raise FilterError(path, "longer than a filter may be")
     nodes = [0]
+    places = {name: k for k, name in enumerate((*ROW_FIELDS, *(p.name for p in signature.params)))}
 
-    def walk(e: object, depth: int, at: str) -> Column:
+    def walk(e: object, depth: int, at: str) -> list[tuple[str, int | None, bytes | None]]:
         nodes[0] += 1
         if nodes[0] > MOST_NODES or depth > MOST_DEPTH:
-            raise FilterError(at, "too many nodes" if nodes[0] > MOST_NODES else "too deep")
+            raise FilterError(at, "too many parts" if nodes[0] > MOST_NODES else "nested too deeply")
         if not isinstance(e, dict):
-            raise FilterError(at, "expected an object")
+            raise FilterError(at, "not an object")
         if set(e) in ({"and"}, {"or"}):
             key = next(iter(e))
             if not isinstance(e[key], list) or not ARITY[0] <= len(e[key]) <= ARITY[1]:
-                raise FilterError(f"{at}/{key}", "expected 2 to 32 expressions")
-            return reduce(and_ if key == "and" else or_, [walk(x, depth + 1, f"{at}/{key}/{k}") for k, x in enumerate(e[key])])
+                raise FilterError(f"{at}/{key}", f"needs from {ARITY[0]} to {ARITY[1]} parts")
+            first, *rest = [walk(x, depth + 1, f"{at}/{key}/{k}") for k, x in enumerate(e[key])]
+            return first + [step for part in rest for step in (*part, (key, None, None))]
         if set(e) == {"not"}:
-            return ~walk(e["not"], depth + 1, f"{at}/not")
+            return [*walk(e["not"], depth + 1, f"{at}/not"), ("not", None, None)]
         if set(e) != {"field", "op", "value"}:
-            raise FilterError(at, "unknown keys")
+            raise FilterError(at, "keys of no known form")
         if e["op"] not in OPERATORS:
-            raise FilterError(f"{at}/op", "unknown operator")
+            raise FilterError(f"{at}/op", "no such comparison")
         name, kind = field_type(signature, e["field"], f"{at}/field")
         numeric = kind == "long" or kind.startswith(("uint", "int"))
         if e["op"] not in ("eq", "ne") and not numeric:
-            raise FilterError(f"{at}/op", f"{e['op']} needs an integer")
+            raise FilterError(f"{at}/op", f"only integers can be compared by {e['op']}")
         value, _ = literal(kind, e["value"], f"{at}/value")
-        left, right = columns[name], None if numeric else F.lit(value)
-        if kind == "bool":
-            left = F.hex(left) != "00" * 32
-        elif kind == "string":
-            left = F.make_valid_utf8(left.cast("string"))
-        elif numeric and kind != "long":
-            signed = kind.startswith("int")
-            left, right = sort_key(left, signed), F.lit(number_key(value, signed))
-        elif kind == "long":
-            right = F.lit(value) if value < 1 << 63 else F.lit(str(value)).cast("decimal(20,0)")
-        return {"eq": left == right, "ne": left != right, "gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right}[e["op"]]
-
-    return F.coalesce(walk(expression, 1, path), F.lit(False))
-
-
-def param_columns(params: tuple[Param, ...], values: list[Column]) -> dict[str, Column]:
-    return {p.name: v for p, v in zip(params, values, strict=True)}
+        key = number_key(value, kind.startswith("int")) if numeric else bytes([value]) if kind == "bool" else value.encode() if kind == "string" else value
+        column = places[name] if e["field"].startswith("params.") else ROW_FIELDS.index(name)
+        return [(e["op"], column, key)]
+
+    return walk(expression, 1, path)
+
+
+def row_keys(columns: dict[str, Column], params: Column) -> Column:
+    """The keys of a row's fields in the order programs count them; ``params`` has those of the parameters."""
+    number = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 64, "0"))
+    own = [F.lit(None).cast("binary") if name not in columns else number(columns[name]) if name in ("block_number", "log_index") else columns[name] for name in ROW_FIELDS]
+    return F.concat(F.array(*own), params)
+
+
+def passes(steps: Column, keys: Column) -> Column:
+    """Whether a row passes a program that is data (an array of STEP). A comparison with null is neither true nor false,
+    and so may be the whole, which then counts as false; without steps all pass."""
+
+    def compared(t: Column) -> Column:
+        left, right, op = F.get(keys, t["field"]), t["value"], t["op"]
+        told = F.when(op == "eq", left == right).when(op == "ne", left != right).when(op == "gt", left > right).when(op == "gte", left >= right).when(op == "lt", left < right).when(op == "lte", left <= right)
+        return F.struct(op.alias("op"), told.alias("told"))
+
+    def fold(stack: Column, t: Column) -> Column:
+        n = F.size(stack)
+        last, before = F.get(stack, n - 1), F.get(stack, n - 2)
+        return (
+            F.when(t["op"] == "and", F.concat(F.slice(stack, F.lit(1), n - 2), F.array(before & last)))
+            .when(t["op"] == "or", F.concat(F.slice(stack, F.lit(1), n - 2), F.array(before | last)))
+            .when(t["op"] == "not", F.concat(F.slice(stack, F.lit(1), n - 1), F.array(~last)))
+            .otherwise(F.concat(stack, F.array(t["told"])))
+        )
+
+    folded = F.aggregate(F.transform(steps, compared), F.expr("CAST(array() AS array<boolean>)"), fold, lambda stack: F.get(stack, F.lit(0)))
+    return F.when(F.coalesce(F.size(steps), F.lit(0)) <= 0, F.lit(True)).otherwise(F.coalesce(folded, F.lit(False)))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweft.functions.abi import Signature, canonical_params, decode_values, parse_signature
-from blockweft.functions.filters import compile_filter, param_columns
+from blockweft.functions.abi import DESCRIPTOR, Signature, decode_by, descriptors, keys_by, parse_signature, text_by
+from blockweft.functions.filters import STEP, passes, program, row_keys
+
+read_signature = lru_cache(maxsize=10_000)(parse_signature)
 
 
 @dataclass(frozen=True)
@@ -38,21 +40,46 @@ class Monitor:
 
     @property
     def target(self) -> Signature:
-        return parse_signature(self.signature)
+        return read_signature(self.signature)
 
 
-REGISTRY = "id long, chain_id long, kind string, address binary, hash binary, layout string, start_block long, end_block long, cursor long, enabled boolean, completed boolean"
+REGISTRY = f"id long, chain_id long, kind string, address binary, hash binary, layout string, params array<{DESCRIPTOR}>, program array<{STEP}>, start_block long, end_block long, cursor long, enabled boolean, completed boolean"
 
 
 def registry(spark: SparkSession, monitors: list[Monitor]) -> DataFrame:
-    """The registry as a small table."""
+    """The registry as a small table; signatures and filters become data of their rows."""
     rows = []
     for m in monitors:
         t = m.target
-        rows.append((m.id, m.chain_id, t.kind, bytes.fromhex(m.address), t.hash, t.layout, m.start_block, m.end_block, m.cursor, m.enabled, m.completed))
+        rows.append((m.id, m.chain_id, t.kind, bytes.fromhex(m.address), t.hash, t.layout, descriptors(t), program(m.filter, t), m.start_block, m.end_block, m.cursor, m.enabled, m.completed))
     return spark.createDataFrame(rows, REGISTRY)
 
 
+#: Most rows of a registry that is sent to all executors; a larger one is joined by shuffle.
+BROADCAST_ROWS = 50_000
+
+
+def sized(table: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(table) if small else table
+
+
+def targets(monitors: DataFrame, kind: str) -> DataFrame:
+    """(m_chain, m_address, m_hash, params, wanted): what active monitors of a kind look for. ``wanted`` has the monitors
+    that share a target and the names of its parameters, so that a payload is decoded and shown once for all of them."""
+    own = F.struct("id", "start_block", "end_block", "cursor", "program")
+    grouped = active(monitors).where(F.col("kind") == kind).groupBy("chain_id", "address", "hash", "params").agg(F.collect_list(own).alias("wanted"))
+    return grouped.select(F.col("chain_id").alias("m_chain"), F.col("address").alias("m_address"), F.col("hash").alias("m_hash"), "params", "wanted")
+
+
+def needed(block: Column) -> Column:
+    """Those of ``wanted`` that still need a block."""
+    return F.filter("wanted", lambda w: _needs(w, block))
+
+
+def _needs(w: Column, block: Column) -> Column:
+    return (w["start_block"] <= block) & (w["end_block"].isNull() | (block <= w["end_block"])) & (w["cursor"].isNull() | (w["cursor"] < block))
+
+
 def active(monitors: DataFrame) -> DataFrame:
     return monitors.where("enabled AND NOT completed")
 
@@ -87,25 +114,29 @@ def receipt_fault() -> Column:
     return F.when(F.col("copies").isNull(), F.lit("no receipt")).when(F.col("copies") > 1, F.lit("several receipts")).when(F.col("succeeded").isNull(), F.lit("receipt without status"))
 
 
-def matched_calls(txs: DataFrame, receipts: DataFrame, monitors: DataFrame, strict: bool = True) -> DataFrame:
-    """Calls with monitor_id: one row for each successful transaction and monitor that needs it.
+def matched_calls(txs: DataFrame, receipts: DataFrame, monitors: DataFrame, strict: bool = True, small: bool = True) -> DataFrame:
+    """One row for each successful transaction and target (``targets``) that monitors need, with those monitors in ``wanted``.
 
-    Each candidate has one receipt in its block. With ``strict`` anything else is an error; else the call is left out,
-    and ``receipt_faults`` has it.
+    Each candidate has one receipt in its block. With ``strict`` anything else is an error; else such rows carry what is
+    wrong in ``fault``. ``small`` tells that the registry has BROADCAST_ROWS rows at most.
     """
-    joined = call_candidates(txs, monitors).join(receipts_by_call(receipts), ["chain_id", "block_number", "tx_hash"], "left")
+    keyed = txs.where("to_addr IS NOT NULL").withColumn("hash", selector(F.col("input"))).where("hash IS NOT NULL")
+    on = (F.col("chain_id") == F.col("m_chain")) & (F.col("to_addr") == F.col("m_address")) & (F.col("hash") == F.col("m_hash"))
+    called = keyed.join(sized(targets(monitors, "call"), small), on).withColumn("wanted", needed(F.col("block_number"))).where(F.size("wanted") > 0)
+    joined = called.join(receipts_by_call(receipts), ["chain_id", "block_number", "tx_hash"], "left")
     bad = receipt_fault()
-    wrong = F.raise_error(F.concat(bad, F.lit(" for "), F.hex("tx_hash"))).cast("boolean") if strict else F.lit(False)
-    good = joined.where(F.when(bad.isNotNull(), wrong).otherwise(F.col("succeeded"))).drop("succeeded", "copies")
-    wanted = active(monitors).where("kind = 'call'").select(F.col("id").alias("monitor_id"), F.col("chain_id").alias("m_chain"), F.col("address").alias("m_address"), F.col("hash").alias("m_hash"), "layout", "start_block", "end_block", "cursor", "enabled", "completed")
-    on = (F.col("chain_id") == F.col("m_chain")) & (F.col("to_addr") == F.col("m_address")) & (F.col("hash") == F.col("m_hash")) & needs_block(F.col("block_number"))
-    return good.join(F.broadcast(wanted), on).withColumn("body", F.expr("substring(input, 5)")).select("chain_id", "block_number", "tx_index", "tx_hash", "from_addr", "to_addr", "body", "monitor_id", "layout")
+    wrong = F.raise_error(F.concat(bad, F.lit(" for "), F.hex("tx_hash"))).cast("boolean") if strict else F.lit(True)
+    found = joined.where(F.when(bad.isNotNull(), wrong).otherwise(F.col("succeeded")))
+    return found.select("chain_id", "block_number", "tx_index", "tx_hash", "from_addr", "to_addr", F.expr("substring(input, 5)").alias("body"), "params", "wanted", bad.alias("fault"))
 
 
 def receipt_faults(txs: DataFrame, receipts: DataFrame, monitors: DataFrame) -> DataFrame:
     """(chain_id, block_number, reason) of candidates without one receipt of a known status."""
-    joined = call_candidates(txs, monitors).join(receipts_by_call(receipts), ["chain_id", "block_number", "tx_hash"], "left")
-    return joined.select("chain_id", "block_number", receipt_fault().alias("reason")).where("reason IS NOT NULL")
+    return _faults(matched_calls(txs, receipts, monitors, strict=False))
+
+
+def _faults(matched: DataFrame) -> DataFrame:
+    return matched.where("fault IS NOT NULL").select("chain_id", "block_number", F.col("fault").alias("reason"))
 
 
 def _strays(logs: DataFrame) -> Column:
@@ -125,78 +156,62 @@ def log_fault(logs: DataFrame) -> Column:
     )
 
 
-def checked_logs(logs: DataFrame) -> DataFrame:
-    """Finalized logs carry all their fields, lie where they were asked for and are never removed; anything else is an error."""
-    bad = log_fault(logs)
-    return logs.where(F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(F.lit(True)))
+def matched_events(logs: DataFrame, monitors: DataFrame, strict: bool = True, small: bool = True) -> DataFrame:
+    """One row for each log and target that monitors need, with those monitors in ``wanted``. Logs without topics are passed over.
 
-
-def sound_logs(logs: DataFrame) -> DataFrame:
-    return logs.where(log_fault(logs).isNull())
+    Finalized logs carry all their fields, lie where they were asked for and are never removed. With ``strict`` anything
+    else is an error; else such rows carry what is wrong in ``fault``. A log outside its range says nothing reliable about
+    its block, so it counts for the first block of that range that a monitor still needs.
+    """
+    keyed = logs.withColumn("hash", F.try_element_at("topics", F.lit(1))).where("hash IS NOT NULL")
+    on = (F.col("chain_id") == F.col("m_chain")) & (F.col("address") == F.col("m_address")) & (F.col("hash") == F.col("m_hash"))
+    block, strays, bad = F.col("block_number"), _strays(logs), log_fault(logs)
+    ranged = {"first_block", "last_block"} <= set(logs.columns)
+    at = lambda w: F.when(strays, F.greatest(F.col("first_block"), F.coalesce(w["cursor"] + 1, w["start_block"]))).otherwise(block) if ranged else block
+    hit = F.filter("wanted", lambda w: _needs(w, at(w)) & (~strays | (at(w) <= F.col("last_block"))) if ranged else _needs(w, block))
+    found = keyed.join(sized(targets(monitors, "event"), small), on).withColumn("wanted", hit).where(F.size("wanted") > 0)
+    if strict:
+        found = found.where(F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(F.lit(True)))
+    where = F.when(strays, F.array_min(F.transform("wanted", at))).otherwise(block)
+    return found.select("chain_id", where.alias("block_number"), "log_index", "tx_hash", "address", "topics", "data", "params", "wanted", bad.alias("fault"))
 
 
 def log_faults(logs: DataFrame, monitors: DataFrame) -> DataFrame:
-    """(chain_id, block_number, reason) of faulty logs that some active monitor needs.
-
-    A log outside its range says nothing reliable about its block, so it counts for the first block of that range that
-    the monitor still needs.
-    """
-    strays = _strays(logs)
-    last = F.col("last_block") if "last_block" in logs.columns else F.col("block_number")
-    first = F.col("first_block") if "first_block" in logs.columns else F.col("block_number")
-    keyed = logs.withColumn("reason", log_fault(logs)).where("reason IS NOT NULL")
-    keyed = keyed.select("chain_id", "block_number", "address", F.try_element_at("topics", F.lit(1)).alias("hash"), "reason", F.when(strays, first).alias("_first"), F.when(strays, last).alias("_last"))
-    wanted = active(monitors).where("kind = 'event'").select(F.col("chain_id").alias("m_chain"), F.col("hash").alias("m_hash"), F.col("address").alias("m_address"), "start_block", "end_block", "cursor", "enabled", "completed")
-    at = F.when(F.col("_first").isNull(), F.col("block_number")).otherwise(F.greatest("_first", F.coalesce(F.col("cursor") + 1, F.col("start_block"))))
-    on = (F.col("chain_id") == F.col("m_chain")) & (F.col("address") == F.col("m_address")) & (F.col("hash") == F.col("m_hash")) & needs_block(at) & (F.col("_last").isNull() | (at <= F.col("_last")))
-    return keyed.join(F.broadcast(wanted), on).select("chain_id", at.alias("block_number"), "reason").distinct()
-
-
-def matched_events(logs: DataFrame, monitors: DataFrame) -> DataFrame:
-    """Logs with monitor_id: one row for each log and monitor that needs it. Logs without topics are passed over."""
-    keyed = logs.withColumn("hash", F.try_element_at("topics", F.lit(1))).where("hash IS NOT NULL")
-    wanted = active(monitors).where("kind = 'event'").select(F.col("id").alias("monitor_id"), F.col("chain_id").alias("m_chain"), F.col("address").alias("m_address"), F.col("hash").alias("m_hash"), "layout", "start_block", "end_block", "cursor", "enabled", "completed")
-    on = (F.col("chain_id") == F.col("m_chain")) & (F.col("address") == F.col("m_address")) & (F.col("hash") == F.col("m_hash")) & needs_block(F.col("block_number"))
-    found = keyed.join(F.broadcast(wanted), on)
-    return checked_logs(found).select("chain_id", "block_number", "log_index", "tx_hash", "address", "topics", "data", "monitor_id", "layout")
+    """(chain_id, block_number, reason) of faulty logs that some active monitor needs."""
+    return _faults(matched_events(logs, monitors, strict=False)).distinct()
 
 
-def decoded(matched: DataFrame, monitors: list[Monitor]) -> DataFrame:
-    """``matched`` with ok (boolean) and params (canonical JSON), filtered by each monitor's filter.
+def decoded(matched: DataFrame) -> DataFrame:
+    """``matched`` with a row for each monitor whose filter passes: monitor_id, ok (boolean) and params (canonical JSON).
 
-    Rows that can't be decoded keep ok = false and no params; filters apply to decoded rows only. All layouts are
-    decoded in one pass, each row by its own; names and filters belong to the monitors.
+    Rows that can't be decoded keep ok = false and no params, and filters apply to decoded rows only. Faulty rows keep
+    their fault, of no monitor. Signatures, names and filters are data, so the plan is the same for any number of them.
     """
     is_call = "body" in matched.columns
     data, topics = (F.col("body"), None) if is_call else (F.col("data"), F.col("topics"))
-    mine = [m for m in monitors if (m.target.kind == "call") == is_call]
-    base = [c for c in matched.columns if c not in ("body", "topics", "data", "layout")]
-    if not mine:
-        return matched.select(*base, F.lit(True).alias("ok"), F.lit("").alias("params")).limit(0)
-    by_layout: dict[str, Monitor] = {}
-    for m in sorted(mine, key=lambda m: m.target.layout):
-        by_layout.setdefault(m.target.layout, m)
-    read: Column | None = None
-    for layout, m in by_layout.items():
-        ok, values = decode_values(m.target.params, data, topics)
-        raw = F.struct(ok.alias("ok"), F.array(*values).cast("array<binary>").alias("_values"))
-        here = F.col("layout") == layout
-        read = F.when(here, raw) if read is None else read.when(here, raw)
-    rows = matched.select(*base, F.inline(F.array(read)))
-    rows_of = {c: F.col(c) for c in base}
-    passes, shown = [], None
-    for m in mine:
-        raw = [F.get(F.col("_values"), F.lit(k)) for k in range(len(m.target.params))]
-        here = F.col("monitor_id") == m.id
-        passes.append(here & (~F.col("ok") | compile_filter(m.filter, m.target, rows_of | param_columns(m.target.params, raw))))
-        text = canonical_params(m.target.params, raw)
-        shown = F.when(here & F.col("ok"), text) if shown is None else shown.when(here & F.col("ok"), text)
-    return rows.where(reduce(lambda a, b: a | b, passes)).select(*base, "ok", shown.alias("params"))
+    base = [c for c in matched.columns if c not in ("body", "topics", "data", "params", "wanted", "fault")]
+    sound = F.col("fault").isNull()
+    rows = matched.select(*base, "fault", "params", "wanted", F.inline(F.array(decode_by(F.col("params"), data, topics))))
+    good = sound & F.col("ok")
+    asked = F.exists("wanted", lambda w: F.size(w["program"]) > 0)
+    keys = F.when(good & asked, row_keys({c: F.col(c) for c in base}, keys_by(F.col("params"), F.col("_values"))))
+    # each of these is worked out once for a row, however many monitors want it
+    rows = rows.select(*base, "fault", "wanted", F.inline(F.array(F.struct(good.alias("ok"), F.when(good, text_by(F.col("params"), F.col("_values"))).alias("params"), keys.alias("_keys")))))
+    fits = F.transform(F.filter("wanted", lambda w: ~F.col("ok") | passes(w["program"], F.col("_keys"))), lambda w: w["id"])
+    ids = F.when(F.col("fault").isNull(), fits).otherwise(F.array(F.lit(None).cast("long")))
+    return rows.select(*base, F.explode(ids).alias("monitor_id"), "ok", "params", "fault")
+
+
+def outcomes(txs: DataFrame, receipts: DataFrame, logs: DataFrame, monitors: DataFrame, strict: bool = False, small: bool = True) -> DataFrame:
+    """Decoded calls and events of all monitors, those that can't be decoded, and faults, in one pass over each table."""
+    calls = decoded(matched_calls(txs, receipts, monitors, strict, small))
+    calls = calls.select("chain_id", "monitor_id", F.lit("call").alias("kind"), "block_number", "tx_hash", "from_addr", "to_addr", "ok", "params", "fault")
+    events = decoded(matched_events(logs, monitors, strict, small))
+    events = events.select("chain_id", "monitor_id", F.lit("event").alias("kind"), "block_number", "tx_hash", F.col("log_index").cast("long").alias("log_index"), "address", "ok", "params", "fault")
+    return calls.unionByName(events, allowMissingColumns=True)
 
 
 def indexed(txs: DataFrame, receipts: DataFrame, logs: DataFrame, monitors: list[Monitor]) -> DataFrame:
     """Decoded calls and events of all monitors in one table; rows that can't be decoded are left out."""
     table = registry(txs.sparkSession, monitors)
-    calls = decoded(matched_calls(txs, receipts, table), monitors).where("ok").select("chain_id", "monitor_id", F.lit("call").alias("kind"), "block_number", "tx_hash", "from_addr", "to_addr", "params")
-    events = decoded(matched_events(logs, table), monitors).where("ok").select("chain_id", "monitor_id", F.lit("event").alias("kind"), "block_number", "tx_hash", "log_index", "address", "params")
-    return calls.unionByName(events, allowMissingColumns=True)
+    return outcomes(txs, receipts, logs, table, strict=True, small=len(monitors) <= BROADCAST_ROWS).where("ok").drop("ok", "fault")

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from dataclasses import replace
+import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blockweft.functions.abi import decode_values, parse_signature
-from blockweft.functions.filters import compile_filter, param_columns
-from blockweft.operators.match import Monitor, selector
+from blockweft.functions.abi import DESCRIPTOR, decode_by, descriptors, keys_by, parse_signature
+from blockweft.functions.filters import STEP, passes, program, row_keys
+from blockweft.operators import commitlog
+from blockweft.operators.match import REGISTRY, selector
 
 FILTER_VERSION = 1
 
@@ -47,66 +48,49 @@ def set_enabled(monitors: DataFrame, changes: DataFrame) -> DataFrame:
     return monitors.join(F.broadcast(new), "id", "left").withColumn("enabled", F.coalesce("_new", "enabled")).select(*monitors.columns)
 
 
-def checked_filters(definitions: DataFrame) -> DataFrame:
-    """Stored filters: expression and version are both null, or both set with version 1; anything else is an error."""
-    sound = (F.col("filter").isNull() & F.col("filter_version").isNull()) | (F.col("filter").isNotNull() & F.coalesce(F.col("filter_version") == FILTER_VERSION, F.lit(False)))
-    return definitions.where(F.when(sound, F.lit(True)).otherwise(_error(F.concat(F.lit("filter of monitor "), F.col("id").cast("string"), F.lit(" is not whole")))))
-
-
-def unknown_chains(definitions: DataFrame, chains: DataFrame) -> DataFrame:
-    """Definitions whose chain is not registered."""
-    return definitions.join(F.broadcast(chains.select("chain_id")), "chain_id", "left_anti")
-
-
-def created(spark: SparkSession, known: Iterable[Monitor], wanted: Iterable[Monitor], chains: DataFrame, heads: DataFrame) -> list[Monitor]:
-    """Monitors after new ones are added: each definition is checked and compiled, gets the next id, and starts at the
-    finalized head if its start is negative (not given). Equal targets are allowed. All are added or none.
-
-    Definitions are few and live on the driver, where signatures and filters are compiled; chains and heads have a row
-    for each chain that the definitions name.
-    """
-    known, wanted = list(known), list(wanted)
-    named = sorted({m.chain_id for m in wanted})
-    here = {r["chain_id"]: r["finalized_head"] for r in chains.where(F.col("chain_id").isin(named)).join(heads, "chain_id", "left").select("chain_id", "finalized_head").collect()}
-    top, out = max((m.id for m in known), default=0), list(known)
-    for k, m in enumerate(wanted):
-        if m.chain_id not in here:
-            raise ValueError(f"chain {m.chain_id} is not registered")
-        target = m.target
-        columns = {c: F.lit(None) for c in ("block_number", "tx_hash", "from_addr", "to_addr", "address", "log_index", *(p.name for p in target.params))}
-        compile_filter(m.filter, target, columns)
-        start = m.start_block
-        if start < 0:
-            start = here[m.chain_id]
-            if start is None:
-                raise ValueError(f"chain {m.chain_id} has no finalized head")
-        out.append(replace(m, id=top + 1 + k, start_block=start))  # a start after the end is an error here
-    return out
-
-
-COMPILED = "chain_id long, address string, signature string, start_block long, end_block long, kind string, hash binary, layout string, problem string"
+DEFINITION = "chain_id long, address string, signature string, start_block long, end_block long, filter string, filter_version int"
+COMPILED = f"{DEFINITION}, kind string, hash binary, layout string, params array<{DESCRIPTOR}>, program array<{STEP}>, problem string"
+#: A registry as it is stored: what a monitor looks for as data, beside the texts that this was read from.
+STORED = f"{REGISTRY}, signature string, filter string, filter_version int"
 
 
 def compiled(definitions: DataFrame) -> DataFrame:
-    """``definitions`` (chain_id, address hex, signature, start_block, end_block) with what their signatures mean; problem
-    tells what is wrong, if anything. Each different signature of a batch is read once, in the tasks."""
+    """``definitions`` (chain_id, address hex, signature, start_block, end_block, and maybe filter and filter_version) with
+    what their signatures and filters mean; problem tells what is wrong, if anything. Each different pair of a batch is
+    read once, in the tasks."""
+
+    def read(text: str | None, condition: str | None) -> tuple:
+        try:
+            target = parse_signature(text or "")
+            steps = program(json.loads(condition) if condition is not None else None, target)
+        except ValueError as error:  # JSON's and the filter's own errors are of this kind as well
+            return None, None, None, None, None, str(error)
+        return target.kind, target.hash, target.layout, [dict(zip(_names(DESCRIPTOR), d)) for d in descriptors(target)], [dict(zip(_names(STEP), t)) for t in steps], None
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            read = {}
-            for text in pdf["signature"].unique():
-                try:
-                    target = parse_signature(text or "")
-                    read[text] = (target.kind, target.hash, target.layout, None)
-                except ValueError as error:
-                    read[text] = (None, None, None, str(error))
-            more = pd.DataFrame([read[t] for t in pdf["signature"]], columns=["kind", "hash", "layout", "problem"], dtype=object, index=pdf.index)
+            seen: dict[tuple, tuple] = {}
+            pairs = [(t, c if isinstance(c, str) else None) for t, c in zip(pdf["signature"], pdf["filter"])]
+            for pair in pairs:
+                if pair not in seen:
+                    seen[pair] = read(*pair)
+            more = pd.DataFrame([seen[p] for p in pairs], columns=["kind", "hash", "layout", "params", "program", "problem"], dtype=object, index=pdf.index)
             if len(pdf):
                 yield pd.concat([pdf, more], axis=1)
 
-    rows = definitions.select("chain_id", "address", "signature", "start_block", "end_block").mapInPandas(run, COMPILED)
+    missing = {c: F.lit(None).cast(t) for c, t in (x.split() for x in DEFINITION.split(", ")) if c not in definitions.columns}
+    rows = definitions.withColumns(missing).select(*[x.split()[0] for x in DEFINITION.split(", ")]).mapInPandas(run, COMPILED)
     bad_address = F.when(~F.coalesce(F.col("address").rlike("^[0-9a-fA-F]{40}$"), F.lit(False)), "an address has 20 bytes")
-    return rows.withColumn("problem", F.coalesce("problem", bad_address))
+    whole = (F.col("filter").isNull() & F.col("filter_version").isNull()) | (F.col("filter").isNotNull() & F.coalesce(F.col("filter_version") == FILTER_VERSION, F.lit(False)))
+    return rows.withColumn("problem", F.coalesce("problem", bad_address, F.when(~whole, "filter and filter_version don't belong together")))
+
+
+def _names(struct: str) -> list[str]:
+    return [field.split(":")[0].strip() for field in struct[len("struct<") : -1].split(",")]
+
+
+def _kinds(struct: str) -> list[str]:
+    return [field.split(":")[1].strip() for field in struct[len("struct<") : -1].split(",")]
 
 
 def appended(monitors: DataFrame, definitions: DataFrame, chains: DataFrame, heads: DataFrame) -> DataFrame:
@@ -115,7 +99,7 @@ def appended(monitors: DataFrame, definitions: DataFrame, chains: DataFrame, hea
     A start that is not given is the finalized head of the chain. Equal targets are allowed.
     """
     here = chains.select("chain_id").join(heads.select("chain_id", "finalized_head"), "chain_id", "left").withColumn("known", F.lit(True))
-    rows = compiled(definitions).join(F.broadcast(here), "chain_id", "left").withColumn("start_block", F.coalesce("start_block", "finalized_head"))
+    rows = compiled(definitions).join(here, "chain_id", "left").withColumn("start_block", F.coalesce("start_block", "finalized_head"))
     wrong = (
         F.when(F.col("problem").isNotNull(), F.col("problem"))
         .when(F.col("known").isNull(), F.concat(F.lit("unknown chain "), F.coalesce(F.col("chain_id").cast("string"), F.lit("null"))))
@@ -124,11 +108,38 @@ def appended(monitors: DataFrame, definitions: DataFrame, chains: DataFrame, hea
     )
     sound = rows.where(F.when(wrong.isNotNull(), _error(wrong)).otherwise(F.lit(True)))
     # a registry is a small table: its new rows are numbered in one partition
-    place = F.row_number().over(W.orderBy("chain_id", "address", "signature", "start_block", "end_block"))
+    place = F.row_number().over(W.orderBy("chain_id", "address", "signature", "filter", "start_block", "end_block"))
     top = monitors.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     numbered = sound.withColumn("place", place).join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("place"))
-    new = numbered.select("id", "chain_id", "kind", F.unhex("address").alias("address"), "hash", "layout", "start_block", "end_block", F.lit(None).cast("long").alias("cursor"), F.lit(True).alias("enabled"), F.lit(False).alias("completed"))
-    return monitors.unionByName(new)
+    new = numbered.withColumn("address", F.unhex("address")).withColumns({"cursor": F.lit(None).cast("long"), "enabled": F.lit(True), "completed": F.lit(False)})
+    return monitors.unionByName(new.select(*[c for c in monitors.columns if c in new.columns]), allowMissingColumns=True)
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The versions of a stored registry, each a whole table; one counts once its marker is there."""
+    return [n for n in commitlog.numbers(spark, f"{root}/registry") if commitlog.numbers(spark, f"{root}/registry/{n}/done")]
+
+
+def stored(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The newest version of the registry under ``root``, or a former one; without any, an empty table."""
+    known = versions(spark, root)
+    if not known:
+        return spark.createDataFrame([], STORED)
+    chosen = known[-1] if version is None else version
+    return spark.read.schema(STORED).parquet(f"{root}/registry/{chosen}/table")
+
+
+def store(spark: SparkSession, root: str, monitors: DataFrame, after: int | None) -> int:
+    """Write ``monitors`` as the version that follows ``after`` (none for the first) and return its number.
+
+    An error if another driver has written that version meanwhile: its change must be read first.
+    """
+    number = 0 if after is None else after + 1
+    if not commitlog.claim(spark, f"{root}/registry/{number}/claim", ""):
+        raise ValueError(f"the registry has version {number} already")
+    monitors.coalesce(1).write.mode("overwrite").parquet(f"{root}/registry/{number}/table")
+    commitlog.claim(spark, f"{root}/registry/{number}/done/0", "")
+    return number
 
 
 def scan(monitors: DataFrame, chain_id: int | None = None) -> DataFrame:
@@ -178,11 +189,13 @@ def preview(samples: DataFrame, signature: str, expression: dict | None) -> Data
     Samples are rows of transactions for a function, of logs for an event.
     """
     target = parse_signature(signature)
+    literal = lambda kind, row: F.struct(*[F.lit(v).cast(t).alias(k) for k, t, v in zip(_names(kind), _kinds(kind), row)])
+    params = F.array(*[literal(DESCRIPTOR, d) for d in descriptors(target)]).cast(f"array<{DESCRIPTOR}>")
+    steps = F.array(*[literal(STEP, t) for t in program(expression, target)]).cast(f"array<{STEP}>")
     topics = None if target.kind == "call" else F.col("topics")
     mine = (selector(F.col("input")) if topics is None else F.try_element_at("topics", F.lit(1))) == F.lit(target.hash)
-    good, values = decode_values(target.params, F.expr("substring(input, 5)") if topics is None else F.col("data"), topics)
-    named = [f"_v{k}" for k in range(len(values))]
-    fields = F.struct((F.coalesce(mine, F.lit(False)) & good).alias("ok"), *[v.alias(n) for v, n in zip(values, named, strict=True)])
-    rows = samples.select("*", F.inline(F.array(fields)))
-    passes = compile_filter(expression, target, {c: F.col(c) for c in samples.columns} | param_columns(target.params, [F.col(n) for n in named]))
-    return rows.select(*samples.columns, "ok", (F.col("ok") & passes).alias("matches"))
+    read = decode_by(params, F.expr("substring(input, 5)") if topics is None else F.col("data"), topics)
+    rows = samples.select("*", F.inline(F.array(F.struct(read["ok"].alias("_ok"), read["_values"].alias("_values")))))
+    rows = rows.withColumn("ok", F.coalesce(mine, F.lit(False)) & F.col("_ok"))
+    keys = row_keys({c: F.col(c) for c in samples.columns}, keys_by(params, F.col("_values")))
+    return rows.select(*samples.columns, "ok", (F.col("ok") & passes(steps, keys)).alias("matches"))

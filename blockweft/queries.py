@@ -44,7 +44,8 @@ MONITORS = [
 CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
 CHAIN_O, CHAIN_E = "CASE WHEN o_custkey % 4 = 0 THEN 8453 ELSE 1 END", "CASE WHEN user_id % 4 = 0 THEN 8453 ELSE 1 END"
 USUAL = "o_orderkey % 97 <> 0 AND o_orderkey % 101 <> 0 AND o_orderkey % 103 <> 1"
-SOUND = f"o_orderstatus <> 'P' AND {USUAL} AND o_orderkey % 53 <> 0"
+SOUND_KEYS = f"{USUAL} AND o_orderkey % 53 <> 0"
+SOUND = f"o_orderstatus <> 'P' AND {SOUND_KEYS}"
 TX = "'0x' || sha256('tx:' || o_orderkey)"
 AMOUNT = "CAST(round(value * 100) AS BIGINT) * CASE WHEN event_type = 'error' THEN -1 ELSE 1 END"
 
@@ -61,12 +62,12 @@ def query(sql: str | None = None) -> Callable:
 
 def calls(spark: SparkSession, sf_dir: str, monitors: list[Monitor], decoded_only: bool = True) -> DataFrame:
     table = match.registry(spark, monitors)
-    found = match.decoded(match.matched_calls(chain.transactions(spark, sf_dir), chain.receipts(spark, sf_dir), table), monitors)
+    found = match.decoded(match.matched_calls(chain.transactions(spark, sf_dir), chain.receipts(spark, sf_dir), table))
     return found.where("ok") if decoded_only else found
 
 
 def events(spark: SparkSession, sf_dir: str, monitors: list[Monitor], decoded_only: bool = True) -> DataFrame:
-    found = match.decoded(match.matched_events(chain.logs(spark, sf_dir), match.registry(spark, monitors)), monitors)
+    found = match.decoded(match.matched_events(chain.logs(spark, sf_dir), match.registry(spark, monitors)))
     return found.where("ok") if decoded_only else found
 
 
@@ -102,10 +103,14 @@ def calls_after_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _op, _sign in (("eq", "="), ("ne", "<>"), ("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<=")):
 
     def _filtered(spark: SparkSession, sf_dir: str, op: str = _op) -> DataFrame:
-        chosen = Monitor(1, 1, contract(URGENT), chain.TRANSFER, filter={"field": "params.value", "op": op, "value": "17500000"})
+        # a value that occurs: the median of what was sent, by its place
+        sent = chain.table(spark, sf_dir, "orders").where(F.expr(f"o_orderpriority = '{URGENT}' AND o_orderstatus <> 'P' AND o_custkey % 4 <> 0 AND {SOUND_KEYS}"))
+        middle = sent.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CAST(round(o_totalprice * 100) AS BIGINT))")).first()[0]
+        chosen = Monitor(1, 1, contract(URGENT), chain.TRANSFER, filter={"field": "params.value", "op": op, "value": str(int(middle))})
         return shown(calls(spark, sf_dir, [chosen]), "to", "value")
 
-    QUERIES[f"filter_{_op}"], ORACLE_SQL[f"filter_{_op}"] = _filtered, transfers(f"{CENTS} {_sign} 17500000")
+    _MIDDLE = f"(SELECT quantile_disc({CENTS}, 0.5) FROM orders WHERE {CHAIN_O} = 1 AND o_orderpriority = '{URGENT}' AND {SOUND})"
+    QUERIES[f"filter_{_op}"], ORACLE_SQL[f"filter_{_op}"] = _filtered, transfers(f"{CENTS} {_sign} {_MIDDLE}")
 
 
 @query(f"""SELECT CAST(4 AS BIGINT) AS monitor_id, o_orderkey // 10 AS block_number, {TX} AS tx_hash,

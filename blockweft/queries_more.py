@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockweft.functions.abi import decode_call, decode_event, hex0x, parse_signature
-from blockweft.operators import match, publish, registry, results
+from blockweft.operators import match, publish, registry, reports, results
 from blockweft.operators.match import Monitor
 from blockweft.plans import blocks
 from blockweft.queries import AMOUNT, CENTS, CHAIN_E, CHAIN_O, EVENT, HEAD, HIGH, LOW, MEDIUM, MONITORS, ORACLE_SQL, SOUND, TX, URGENT, USUAL, calls, contract, events, only, query, shown, transfers
@@ -275,14 +275,40 @@ def results_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.tagged_view(found).select("monitor_id", "kind", "block_number", "tx_hash", "from", "to", "emitter")
 
 
-@query(f"SELECT '{2**256 - 1}' AS largest, '-{2**255}' AS least, {TX} AS tx_hash FROM orders WHERE o_orderpriority = '{LOW}'")
+_WORD = "sha256('wide:' || o_orderkey)"
+
+
+def hex_of_decimal(text: Column) -> Column:
+    """64 hex digits of a decimal text of up to 78 digits: its nines of digits are folded into eight 32-bit limbs."""
+    padded = F.lpad(text, 81, "0")
+    nines = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.substring(padded, k * 9 + 1, F.lit(9)).cast("long"))
+    base = F.lit(1 << 32)
+
+    def fold(limbs: Column, nine: Column) -> Column:
+        # limbs run from the lowest; each step is limbs * 10^9 + nine with carries
+        start = F.struct(nine.alias("carry"), F.expr("CAST(array() AS array<bigint>)").alias("out"))
+
+        def step(acc: Column, limb: Column) -> Column:
+            total = limb * 1_000_000_000 + acc["carry"]
+            return F.struct(F.shiftrightunsigned(total, 32).cast("long").alias("carry"), F.concat(acc["out"], F.array(total.bitwiseAND(base - 1))).alias("out"))
+
+        return F.aggregate(limbs, start, step, lambda acc: acc["out"])
+
+    limbs = F.aggregate(nines, F.array_repeat(F.lit(0).cast("long"), 8), fold)
+    return F.lower(F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+
+
+@query(f"""WITH words AS (SELECT {TX} AS tx_hash, {_WORD} AS w FROM orders WHERE o_orderpriority = '{LOW}')
+  SELECT tx_hash, w AS unsigned_hex, CASE WHEN substr(w, 1, 1) >= '8' THEN '-' ELSE '' END AS sign FROM words""")
 def calls_wide_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest unsigned and the least signed number in the calls of one kind."""
-    sent = chain.table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == LOW).select(F.unhex(chain.digest("tx:", F.col("o_orderkey"))).alias("tx_hash"))
+    """Numbers of all 256 bits, unsigned and signed, one of each call: from decimal text back to hex, and the sign."""
+    sent = chain.table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == LOW)
+    wide = chain.digest("wide:", F.col("o_orderkey"))
     both = "function extremes(uint256 largest, int256 least)"
-    data = F.concat(F.lit(parse_signature(both).hash.hex()), F.lit("f" * 64), F.lit("8" + "0" * 63))
-    found = decode_call(sent.withColumn("input", F.unhex(data)), both)
-    return found.select("decoded.largest", "decoded.least", hex0x(F.col("tx_hash")).alias("tx_hash"))
+    rows = sent.select(F.unhex(chain.digest("tx:", F.col("o_orderkey"))).alias("tx_hash"), F.unhex(F.concat(F.lit(parse_signature(both).hash.hex()), wide, wide)).alias("input"))
+    found = decode_call(rows, both)
+    signed = F.when(F.col("decoded.least").startswith("-"), "-").otherwise("")
+    return found.select(hex0x(F.col("tx_hash")).alias("tx_hash"), hex_of_decimal(F.col("decoded.largest")).alias("unsigned_hex"), signed.alias("sign"))
 
 
 @query(f"SELECT {CHAIN_O} AS chain_id, o_orderkey // 10 AS block_number, {TX} AS tx_hash, CAST({CENTS} AS VARCHAR) AS value FROM orders WHERE o_orderpriority = '{URGENT}' AND {SOUND}")
@@ -314,3 +340,87 @@ def backfill_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = store(spark, "backfill")
     publish.step(spark, root, 0, (chain.transactions(spark, sf_dir), chain.receipts(spark, sf_dir), chain.logs(spark, sf_dir)), monitors, chain.heads(spark, sf_dir), 1 << 40)
     return publish.visible(spark, root).groupBy("monitor_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A definition for each supplier with a filter of its own: transfers and approvals, and activities of both chains."""
+    k, cents = F.col("s_suppkey").cast("long"), (F.round(F.abs("s_acctbal") * 100).cast("long") * 20).cast("string")
+    text = lambda c: c.cast("string")
+    pick = lambda *values: F.when(k % 3 == 0, values[0]).when(k % 3 == 1, values[1]).otherwise(values[2])
+    filters = pick(
+        F.concat(F.lit('{"field": "params.value", "op": "gte", "value": "'), cents, F.lit('"}')),
+        F.concat(F.lit('{"not": {"field": "block.number", "op": "lt", "value": "'), text(k + 5), F.lit('"}}')),
+        F.concat(F.lit('{"or": [{"field": "params.amount", "op": "lt", "value": "'), text(k * 100), F.lit('"}, {"field": "event.log_index", "op": "gte", "value": "'), text(k % 20), F.lit('"}]}')),
+    )
+    chosen = [F.lit(contract(n)) for n in (URGENT, HIGH, "purchase")]
+    return chain.table(spark, sf_dir, "supplier").select(
+        F.when(k % 10 == 9, 7).when(k % 4 == 0, 8453).otherwise(1).cast("long").alias("chain_id"), pick(*chosen).alias("address"), pick(*[F.lit(t) for t in (chain.TRANSFER, chain.APPROVE, chain.ACTIVITY)]).alias("signature"),
+        k.alias("start_block"), (k + 40).alias("end_block"), F.when(k % 8 != 0, filters).alias("filter"), F.when(k % 8 != 0, registry.FILTER_VERSION).alias("filter_version"),
+    )
+
+
+_CHAINS = "CASE WHEN s_suppkey % 10 = 9 THEN 7 WHEN s_suppkey % 4 = 0 THEN 8453 ELSE 1 END"
+_FOUND = f"""(SELECT CAST(s_suppkey AS BIGINT) AS supplier, CAST({_CHAINS} AS BIGINT) AS chain_id, block_number, kind FROM supplier JOIN (
+  SELECT 'call' AS kind, {CHAIN_O} AS chain, o_orderkey // 10 AS block_number, CASE o_orderpriority WHEN '{URGENT}' THEN 0 ELSE 1 END AS part, {CENTS} AS number, 0 AS place
+  FROM orders WHERE {SOUND} AND o_orderpriority IN ('{URGENT}', '{HIGH}')
+  UNION ALL SELECT 'event', {CHAIN_E}, event_id // 20, 2, {AMOUNT}, event_id % 20 FROM events WHERE event_type = 'purchase')
+  ON chain = {_CHAINS} AND part = s_suppkey % 3 AND block_number BETWEEN s_suppkey AND s_suppkey + 40
+  WHERE s_suppkey % 8 = 0 OR CASE s_suppkey % 3 WHEN 0 THEN number >= CAST(round(abs(s_acctbal) * 100) AS BIGINT) * 20 WHEN 1 THEN block_number >= s_suppkey + 5 ELSE number < s_suppkey * 100 OR place >= s_suppkey % 20 END)"""
+
+
+def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The chains of the generated definitions, and their heads."""
+    heads = chain.heads(spark, sf_dir)
+    third = heads.where("chain_id = 1").select(F.lit(7).cast("long").alias("chain_id"), "finalized_head")
+    heads = heads.unionByName(third)
+    return heads.select("chain_id"), heads
+
+
+@query(f"SELECT supplier, chain_id, kind, count(*) AS n, sum(block_number) AS blocks FROM {_FOUND} GROUP BY ALL")
+def results_generated_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All results of a registry that is read from definitions with filters, by one plan for any number of monitors."""
+    chains, heads = _places(spark, sf_dir)
+    table = registry.appended(spark.createDataFrame([], registry.STORED), generated(spark, sf_dir), chains, heads)
+    found = match.outcomes(chain.transactions(spark, sf_dir), chain.receipts(spark, sf_dir), chain.logs(spark, sf_dir), table, small=False).where("ok")
+    named = found.join(table.select(F.col("id").alias("monitor_id"), F.col("start_block").alias("supplier")), "monitor_id")
+    return named.groupBy("supplier", "chain_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("block_number").alias("blocks"))
+
+
+def _driven(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A registry stored in three versions (some, all, some of them paused) drives one step over three chains: two have
+    removed logs, the source of the third doesn't answer."""
+    root = store(spark, "registry")
+    chains, heads = _places(spark, sf_dir)
+    rows = generated(spark, sf_dir)
+    for even in (True, False):
+        known = registry.versions(spark, root)
+        more = rows.where((F.col("start_block") % 2 == 0) == F.lit(even))
+        registry.store(spark, root, registry.appended(registry.stored(spark, root), more, chains, heads), known[-1] if known else None)
+    now = registry.stored(spark, root)
+    registry.store(spark, root, registry.set_enabled(now, now.where("start_block % 5 = 0").select("id", F.lit(False).alias("enabled"))), 1)
+    logs = chain.logs(spark, sf_dir)
+    logs = logs.withColumn("removed", (F.col("block_number") * 20 + F.col("log_index")) % 101 >= 99)
+    told = heads.where("chain_id <> 7").select("chain_id", F.col("chain_id").alias("reported"), "finalized_head")
+    index_step(root, lambda s: (chain.transactions(s, sf_dir), chain.receipts(s, sf_dir), logs), lambda: registry.stored(spark, root), 1 << 40, sources=lambda s: told)(heads, 0)
+    return root, chains
+
+
+_SICK = f"""(SELECT CAST({_CHAINS} AS BIGINT) AS chain_id, min(event_id // 20) AS bad FROM supplier JOIN events ON {CHAIN_E} = {_CHAINS} AND event_type = 'purchase' AND event_id % 101 >= 99
+  AND event_id // 20 BETWEEN s_suppkey AND least(s_suppkey + 40, {HEAD}) WHERE s_suppkey % 3 = 2 AND s_suppkey % 5 <> 0 GROUP BY ALL)"""
+
+
+@query(f"""SELECT supplier, chain_id, kind, count(*) AS n FROM {_FOUND} LEFT JOIN {_SICK} USING (chain_id)
+  WHERE supplier % 5 <> 0 AND block_number <= {HEAD} AND (bad IS NULL OR block_number < bad) GROUP BY ALL""")
+def registry_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From definitions to published results: what is visible after the step of a stored registry."""
+    root, _ = _driven(spark, sf_dir)
+    table = registry.stored(spark, root).select(F.col("id").alias("monitor_id"), F.col("start_block").alias("supplier"))
+    return publish.visible(spark, root).join(table, "monitor_id").groupBy("supplier", "chain_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT chain_id, CASE WHEN chain_id = 7 OR bad IS NOT NULL THEN 'degraded' ELSE 'running' END AS state, CASE WHEN chain_id = 7 THEN 'no answer' WHEN bad IS NOT NULL THEN 'removed log' END AS last_error
+  FROM (SELECT CAST(unnest([1, 7, 8453]) AS BIGINT) AS chain_id) LEFT JOIN {_SICK} USING (chain_id)""")
+def registry_step_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each chain after that step."""
+    root, chains = _driven(spark, sf_dir)
+    return reports.chain_status(publish.polls(spark, root), chains.withColumn("enabled", F.lit(True)), "batch_id").select("chain_id", "state", "last_error")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from blockweft.operators import match, publish, registry, reports
+from blockweft.operators import commitlog, match, publish, registry, reports
 from blockweft.operators.match import Monitor
 from blockweft.plans import blocks
 from blockweft.queries import contract, only
@@ -32,7 +32,7 @@ def test_stream_equals_batch(spark, tmp_path):
     root = f"{tmp_path}/store"
     run_stream(heads, index_step(root, tables, lambda: monitors, 10_000), f"{tmp_path}/check").awaitTermination()
     assert rows(publish.visible(spark, root)) == rows(match.indexed(*tables(spark), monitors).where("block_number <= 300"))
-    assert {m.id: m.cursor for m in publish.progressed(spark, root, monitors)} == {1: 300, 9: 300}
+    assert {m.id: m.cursor for m in publish.progressed(spark, root, match.registry(spark, monitors)).collect()} == {1: 300, 9: 300}
 
 
 def test_batches_are_repeatable_and_bounded(spark, tmp_path):
@@ -40,7 +40,7 @@ def test_batches_are_repeatable_and_bounded(spark, tmp_path):
     root = str(tmp_path)
     assert publish.step(spark, root, 0, tables(spark), only(1), heads, 25)
     assert not publish.step(spark, root, 0, tables(spark), only(1), heads, 25)
-    assert [m.cursor for m in publish.progressed(spark, root, only(1))] == [24]
+    assert [m.cursor for m in publish.progressed(spark, root, match.registry(spark, only(1))).collect()] == [24]
     assert publish.visible(spark, root).agg(F.max("block_number")).first()[0] <= 24
 
 
@@ -96,15 +96,89 @@ def test_bad_changes(spark, change):
         registry.upserted_chains(chains, changes).collect()
 
 
-def test_created_monitors(spark):
+def test_definitions_with_filters(spark):
     chains = spark.createDataFrame([(1,)], "chain_id long")
     heads = spark.createDataFrame([(1, 77)], "chain_id long, finalized_head long")
-    new = Monitor(1, 1, contract("x"), chain.TRANSFER, start_block=-1)
-    made = registry.created(spark, only(9), [new, new], chains, heads)
-    assert [(m.id, m.start_block) for m in made] == [(9, 0), (10, 77), (11, 77)]
-    for bad in (Monitor(1, 5, contract("x"), chain.TRANSFER), Monitor(1, 1, contract("x"), "function f()"), Monitor(1, 1, contract("x"), chain.TRANSFER, filter={"x": 1})):
-        with pytest.raises(ValueError):
-            registry.created(spark, [], [bad], chains, heads)
+    schema = "chain_id long, address string, signature string, start_block long, end_block long, filter string, filter_version int"
+    condition = json.dumps({"field": "params.value", "op": "gte", "value": "25000000"})
+    add = lambda *rows: registry.appended(match.registry(spark, only(9)), spark.createDataFrame(list(rows), schema), chains, heads)
+    good = (1, contract("x"), chain.TRANSFER, None, None, condition, 1)
+    made = {r.id: r for r in add(good, good).collect()}
+    assert {k: r.start_block for k, r in made.items()} == {9: 0, 10: 77, 11: 77}
+    assert [(t.op, t.field) for t in made[10].program] == [("gte", 7)] and made[10].params[1].name == "value"
+    for change, problem in (({"chain_id": 5}, "unknown chain"), ({"signature": "function f()"}, "nothing to decode"), ({"filter": "{"}, "Expecting"), ({"filter": '{"x": 1}'}, "no known form"), ({"filter_version": None}, "belong together"), ({"filter": None}, "belong together"), ({"filter_version": 2}, "belong together")):
+        bad = tuple((dict(zip(schema.replace(" long", "").replace(" string", "").replace(" int", "").split(", "), good)) | change).values())
+        with pytest.raises(Exception, match=problem):
+            add(good, bad).collect()
+
+
+def test_a_stored_registry_has_one_writer_a_version(spark, tmp_path):
+    root = str(tmp_path)
+    assert registry.stored(spark, root).count() == 0
+    assert registry.store(spark, root, match.registry(spark, only(1)), None) == 0
+    assert registry.store(spark, root, match.registry(spark, only(1, 9)), 0) == 1
+    with pytest.raises(ValueError, match="already"):
+        registry.store(spark, root, match.registry(spark, only(9)), 0)
+    assert registry.stored(spark, root).count() == 2 and registry.stored(spark, root, 0).count() == 1 and registry.versions(spark, root) == [0, 1]
+
+
+def test_the_same_batch_at_once_counts_once(spark, tmp_path):
+    heads = spark.createDataFrame([(1, 300)], "chain_id long, finalized_head long")
+    root = str(tmp_path)
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(3) as pool:
+        won = list(pool.map(lambda _: publish.step(spark, root, 0, tables(spark), only(1), heads, 1000), range(3)))
+    assert sorted(won) == [False, False, True]
+    want = rows(match.indexed(*tables(spark), only(1)).where("block_number <= 300"))
+    assert rows(publish.visible(spark, root)) == want and publish.commits(spark, root).count() == 1
+    with ThreadPoolExecutor(2) as pool:
+        assert sorted(pool.map(lambda text: commitlog.claim(spark, f"{root}/claim", text), "ab")) == [False, True]
+
+
+def test_readers_open_a_snapshot_and_a_short_tail(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(commitlog, "COMPACT", 3)
+    root, planned = str(tmp_path), "id long, chain_id long, first long, last long"
+    monitors = match.registry(spark, [Monitor(1, 1, contract("x"), chain.TRANSFER)])
+    none = spark.createDataFrame([], publish.RESULTS)
+    faults = spark.createDataFrame([], "chain_id long, block_number long, reason string")
+    for n in range(7):
+        assert publish.publish(spark, root, n, spark.createDataFrame([(1, 1, 10 * n, 10 * n + 9)], planned), monitors, none, faults)
+        publish.compact(spark, root)
+        assert len(commitlog.tail(spark, root)[1]) < 3
+        assert [(r.monitor_id, r.cursor) for r in publish.cursors(spark, root).collect()] == [(1, 10 * n + 9)]
+    assert commitlog.tail(spark, root)[0] == 5 and commitlog.records(spark, root).count() == 7
+    # a snapshot without its marker doesn't count
+    (tmp_path / "snapshots" / "5" / "_SUCCESS").unlink()
+    assert commitlog.tail(spark, root)[0] == 2 and publish.cursors(spark, root).first().cursor == 69
+
+
+def test_scans_are_restricted_to_planned_blocks(spark, tmp_path):
+    planned = spark.createDataFrame([(1, 1, 0, 9), (2, 1, 5, 14), (3, 1, 900, 909), (4, 1, 15, 20), (5, 8453, 7, 8)], publish.PLANNED)
+    assert publish.spans(planned) == [(1, 0, 20), (1, 900, 909), (8453, 7, 8)]
+    assert publish.spans(planned, 0) == [(1, 0, 909), (8453, 7, 8)]
+    spark.range(1000).select(F.lit(1).cast("long").alias("chain_id"), F.col("id").alias("block_number")).repartitionByRange(10, "block_number").write.parquet(f"{tmp_path}/t")
+    found = spark.read.parquet(f"{tmp_path}/t").where(publish.within(publish.spans(planned)))
+    assert sorted(r.block_number for r in found.collect()) == [*range(21), *range(900, 910)]
+    # of ten files of a hundred blocks two are read
+    plan = found._jdf.queryExecution().executedPlan()
+    assert plan.collectLeaves().head().metrics().apply("numOutputRows").value() == 200
+
+
+def test_the_last_batch_is_tried_again_without_new_heads(spark, tmp_path):
+    spark.createDataFrame([(1, 300)], "chain_id long, finalized_head long").coalesce(1).write.parquet(f"{tmp_path}/heads")
+    heads = spark.readStream.schema("chain_id long, finalized_head long").parquet(f"{tmp_path}/heads")
+    root, tried = f"{tmp_path}/store", []
+
+    def failing_once(s):
+        tried.append(1)
+        if len(tried) == 1:
+            raise OSError("no answer")
+        return tables(s)
+
+    run_stream(heads, index_step(root, failing_once, lambda: only(1), 10_000, pause=0.1), f"{tmp_path}/check").awaitTermination()
+    assert len(tried) == 2 and rows(publish.visible(spark, root)) == rows(match.indexed(*tables(spark), only(1)).where("block_number <= 300"))
+    assert [r.error for r in publish.polls(spark, root).collect()] == [None]
 
 
 def test_registry_jobs(spark):
@@ -113,10 +187,6 @@ def test_registry_jobs(spark):
     assert {r.id: r.enabled for r in paused.collect()} == {1: True, 9: False}
     views = {r.id: r for r in registry.monitor_view(table).collect()}
     assert views[1].selector == "0xa9059cbb" and views[1].topic0 is None and views[9].selector is None and len(views[9].topic0) == 66
-    stored = spark.createDataFrame([(1, None, None), (2, "{}", 1), (3, "{}", None)], "id long, filter string, filter_version int")
-    assert registry.checked_filters(stored.where("id < 3")).count() == 2
-    with pytest.raises(Exception, match="not whole"):
-        registry.checked_filters(stored).collect()
 
 
 def test_a_stream_outlives_a_failed_batch_and_publishes_after_commits(spark, tmp_path):
@@ -136,7 +206,7 @@ def test_a_stream_outlives_a_failed_batch_and_publishes_after_commits(spark, tmp
             raise OSError("sink is away")
         sent.append((batch_id, payloads.agg(F.sum("n")).first()[0]))
 
-    run_stream(heads, index_step(root, failing_once, lambda: only(1, 9), 10_000, sink), f"{tmp_path}/check").awaitTermination()
+    run_stream(heads, index_step(root, failing_once, lambda: only(1, 9), 10_000, sink, tries=1), f"{tmp_path}/check").awaitTermination()
     assert rows(publish.visible(spark, root)) == rows(match.indexed(*tables(spark), only(1, 9)).where("block_number <= 300"))
     polls = {r.batch_id: r for r in publish.polls(spark, root).collect()}
     assert polls[0].error == "publication: OSError: sink is away" and polls[0].decoded > 0
