@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ ROUNDS = 8
 
 # Patterns of the entities, in order of precedence.
 PATTERNS = (
-    ("email", re.compile(r"(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")),
+    ("email", re.compile(r"(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@(?:[^\W_]|-)+(?:\.(?:[^\W_]|-)+)*\.[^\W\d_]{2,}")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")),
     ("ssn", re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])")),
@@ -45,10 +46,52 @@ CONSONANTS = ("bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ", "çñ", "ÇÑ",
 DIGITS = "0123456789"
 PLACE = {c: (a, k) for a in (DIGITS, *(v + c for v, c in zip(VOWELS, CONSONANTS, strict=True))) for k, c in enumerate(a)}
 SPOKEN = {c: (a, k) for a in (DIGITS, *VOWELS, *CONSONANTS) for k, c in enumerate(a)}
+#: Code points in which the alphabet of any other letter is looked for, from near ones to far ones.
+REACH = (1 << 7, 1 << 10, 1 << 16)
 
-_WORD = r"(?:[^\W\d_]['’])?[^\W\d_]+(?:['’-][^\W\d_]+)*"
+
+@lru_cache(maxsize=1 << 16)
+def alphabet(c: str) -> tuple[str, int] | None:
+    """The alphabet of a letter or digit that PLACE doesn't have, and its place there: the digits of its script, or the
+    letters of its case among the code points around it. None for all other characters."""
+    if c in PLACE:
+        return None
+    if (digit := unicodedata.decimal(c, None)) is not None:
+        return "".join(chr(ord(c) - digit + k) for k in range(10)), digit
+    kind = unicodedata.category(c)
+    if not kind.startswith("L"):
+        return None
+    for reach in REACH:
+        first = ord(c) // reach * reach
+        found = _alike(first, reach, kind)
+        if len(found) > 1:
+            return found, found.index(c)
+    return None
+
+
+@lru_cache(maxsize=4096)
+def _alike(first: int, reach: int, kind: str) -> str:
+    return "".join(x for x in map(chr, range(first, first + reach)) if unicodedata.category(x) == kind and x not in PLACE)
+
+
+def placed(c: str, place: dict[str, tuple[str, int]]) -> tuple[str, int] | None:
+    return place.get(c) or alphabet(c)
+
+
+
+
+def _marks() -> str:
+    """A character class of the marks that follow letters in many scripts, as ranges."""
+    points = {k for k in range(0x300, 0x10000) if unicodedata.category(chr(k))[0] == "M"}
+    starts, ends = sorted(k for k in points if k - 1 not in points), sorted(k for k in points if k + 1 not in points)
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+
+
+#: Letters with the marks that belong to them.
+_RUN = rf"[^\W\d_]+(?:[{_marks()}]+[^\W\d_]*)*"
+_WORD = rf"(?:[^\W\d_]['’])?{_RUN}(?:['’-]{_RUN})*"
 #: The same with a capital at its start, or behind a letter and an apostrophe (d'Arc).
-_CAPITAL = r"(?:[^\W\d_]['’])?(?![a-zß-öø-ÿа-яёα-ωά-ώ])[^\W\d_]+(?:['’-][^\W\d_]+)*"
+_CAPITAL = rf"(?:[^\W\d_]['’])?(?![a-zß-öø-ÿа-яёα-ωά-ώ]){_RUN}(?:['’-]{_RUN})*"
 _TITLE = "|".join(re.escape(t) + ("" if t.endswith(".") else r"\.?") for kind in TITLES.values() for t in kind)
 #: A title, further titles, and the words of a name behind it, with particles between them.
 NAMED = re.compile(rf"(?<![\w.])((?:(?:{_TITLE})\s+)+)((?:(?:{PARTICLES})\s)*{_CAPITAL}(?:\s(?:(?:{PARTICLES})\s)*{_CAPITAL}){{0,3}})")
@@ -56,27 +99,40 @@ _BARE = sorted({t.rstrip(".") for kind in TITLES.values() for t in kind})
 QUICK = tuple(f"{t}{end}" for t in _BARE for end in (" ", ". "))
 OF_TITLE = {t.rstrip("."): kind for kind, titles in TITLES.items() for t in titles}
 IN_NAME = re.compile(_WORD)
+ANY_DIGIT = re.compile(r"\d")
 PARTICLE, OWNED = re.compile(f"(?:{PARTICLES})$"), re.compile(r"['’]s?$")
 
 
 def permuted(symbols: Sequence[int], sizes: Sequence[int], key: bytes, tweak: str) -> list[int]:
-    """A keyed permutation of the sequences of these alphabet sizes: Feistel rounds add to one half what the other gives.
+    """A keyed permutation of the sequences of these alphabet sizes, of one cycle: with more than one sequence, none stays.
 
-    A single symbol has no other half; it is moved by a keyed order of its alphabet.
+    Rounds of a Feistel network, the next sequence in counting order, and the rounds back.
     """
     x, half = list(symbols), len(symbols) // 2
     if not half:
         return [shuffled(sizes[0], key, tweak)[x[0]]] if x else x
     for r in range(ROUNDS):
-        mine, other = (range(half), range(half, len(x))) if r % 2 else (range(half, len(x)), range(half))
-        said = hashlib.blake2b(f"{tweak}|{r}|{len(x)}|{','.join(str(x[k]) for k in other)}".encode(), key=key[:64], digest_size=64).digest()
-        for n, k in enumerate(mine):
-            if n % 32 == 0 and n:
-                said = hashlib.blake2b(said, key=key[:64], digest_size=64).digest()
-            x[k] = (x[k] + int.from_bytes(said[2 * (n % 32) : 2 * (n % 32) + 2], "big")) % sizes[k]
+        _mixed(x, sizes, r, 1, key, tweak)
+    for k, size in enumerate(sizes):
+        x[k] = (x[k] + 1) % size
+        if x[k]:
+            break
+    for r in reversed(range(ROUNDS)):
+        _mixed(x, sizes, r, -1, key, tweak)
     return x
 
 
+def _mixed(x: list[int], sizes: Sequence[int], r: int, sign: int, key: bytes, tweak: str) -> None:
+    """Add to one half, or take from it, what the other gives."""
+    half = len(x) // 2
+    mine, other = (range(half), range(half, len(x))) if r % 2 else (range(half, len(x)), range(half))
+    said = hashlib.blake2b(f"{tweak}|{r}|{len(x)}|{','.join(str(x[k]) for k in other)}".encode(), key=key[:64], digest_size=64).digest()
+    for n, k in enumerate(mine):
+        if n % 32 == 0 and n:
+            said = hashlib.blake2b(said, key=key[:64], digest_size=64).digest()
+        x[k] = (x[k] + sign * int.from_bytes(said[2 * (n % 32) : 2 * (n % 32) + 2], "big")) % sizes[k]
+
+
 @lru_cache(maxsize=1024)
 def shuffled(n: int, key: bytes, tweak: str) -> tuple[int, ...]:
     """A permutation of n things that the key decides: one cycle, so nothing stays, in an order that a few pairs don't tell."""
@@ -94,18 +150,23 @@ def walked(start: str, step: Callable[[str], str], valid: Callable[[str], bool])
 
 
 def letters(value: str, key: bytes, tweak: str, place: dict[str, tuple[str, int]] = PLACE) -> str:
-    """Letters and digits replaced by others of their alphabet, all else as it is."""
-    at = [k for k, c in enumerate(value) if c in place]
-    if not at:
+    """Letters and digits of any script replaced by others of their alphabet, all else as it is."""
+    found = [(k, *p) for k, c in enumerate(value) if (p := placed(c, place))]
+    if not found:
         return value
-    shape = "".join(place[value[k]][0][0] for k in at)  # values of different shapes never meet
-    new = permuted([place[value[k]][1] for k in at], [len(place[value[k]][0]) for k in at], key, f"{tweak}:{shape}")
+    shape = "".join(a[0] for _, a, _ in found)  # values of different shapes never meet
+    new = permuted([n for _, _, n in found], [len(a) for _, a, _ in found], key, f"{tweak}:{shape}")
     out = list(value)
-    for k, n in zip(at, new, strict=True):
-        out[k] = place[value[k]][0][n]
+    for (k, a, _), n in zip(found, new, strict=True):
+        out[k] = a[n]
     return "".join(out)
 
 
+def plain_digits(value: str) -> str:
+    """The digits of a value, of whatever script, as 0 to 9."""
+    return "".join(str(unicodedata.decimal(c)) for c in value if c.isdecimal())
+
+
 def luhn(digits: str) -> int:
     """The check digit that follows ``digits``."""
     total = 0
@@ -116,9 +177,9 @@ def luhn(digits: str) -> int:
 
 
 def refill(value: str, digits: str) -> str:
-    """``value`` with its digits replaced in order."""
+    """``value`` with its digits replaced in order, each by one of its own script."""
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in value)
+    return "".join(chr(ord(c) - unicodedata.decimal(c) + int(next(it))) if c.isdecimal() else c for c in value)
 
 
 def iban_check(country: str, rest: str) -> int:
@@ -131,7 +192,7 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
 
     Kinds of single words of names are man, woman and person (given names) and family.
     """
-    digits = "".join(c for c in value if c.isdigit())
+    digits = plain_digits(value)
     if kind == "email":
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
@@ -154,17 +215,20 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
             x = permuted(x, [256] * 4, key, "ip")
         return ".".join(map(str, x))
     if kind == "phone":
-        country = len(re.match(r"\+?(\d*)", value)[1]) if value.startswith("+") else 0
+        country = len(re.match(r"\+?(\d{0,3})", value)[1]) if value.startswith("+") else 0
+        country = country if len(digits) > country + 3 else 0
         ok = lambda d: (d[:1] < "2") == (digits[country : country + 1] < "2")
         return refill(value, digits[:country] + walked(digits[country:], lambda d: letters(d, key, f"phone:{digits[:country]}:{len(digits)}"), ok))
     if kind == "iban":
-        bare = value.replace(" ", "")
+        bare = "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in value if c != " ")
         rest = letters(bare[4:], key, "iban:" + bare[:2])
         was, right, new = int(bare[2:4]), iban_check(bare[:2], bare[4:]), iban_check(bare[:2], rest)
         # check digits stay as right or wrong as they were, apart from what two digits can't show
         moved = f"{bare[:2]}{(was - right + new) % 100:02d}{rest}"
         at = iter(moved)
-        return "".join(c if c == " " else next(at) for c in value)
+        return "".join(c if c == " " else n if not c.isdecimal() or not n.isdecimal() else refill(c, n) for c, n in ((c, None if c == " " else next(at)) for c in value))
+    if kind == "ssn":
+        return refill(value, letters(digits, key, "ssn"))
     if kind in ("man", "woman", "person"):
         for gender, names in GIVEN.items():
             if value in names:
@@ -196,7 +260,7 @@ def detected(text: str) -> list[tuple[int, int, str]]:
     """
     found: list[tuple[int, int, str]] = []
     taken: bytearray | None = None
-    digits = any(c in text for c in DIGITS)
+    digits = ANY_DIGIT.search(text) is not None
 
     def add(a: int, b: int, kind: str) -> None:
         nonlocal taken
@@ -211,7 +275,7 @@ def detected(text: str) -> list[tuple[int, int, str]]:
             continue
         for m in pattern.finditer(text):
             if kind == "card":
-                number = "".join(c for c in m[0] if c.isdigit())
+                number = plain_digits(m[0])
                 if int(number[-1]) != luhn(number[:-1]) and not (len(number) == 16 and number[0] in "3456"):
                     continue
             add(*m.span(), kind)
@@ -232,11 +296,17 @@ def detected(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def hidden(kind: str, value: str, key: bytes) -> str:
+    """The surrogate of an entity; where nothing in it can be replaced, a mark of its own, so that no entity stays."""
+    new = surrogate(kind, value, key)
+    return new if new != value else f"[{kind} {hashlib.blake2b(plain(kind, value).encode(), key=key[:64], digest_size=8).hexdigest()}]"
+
+
 def replaced(text: str, key: bytes, found: list[tuple[int, int, str]] | None = None) -> tuple[str, list[tuple[int, int, str]]]:
     found = detected(text) if found is None else found
     out, at = [], 0
     for a, b, kind in found:
-        out += [text[at:a], surrogate(kind, text[a:b], key)]
+        out += [text[at:a], hidden(kind, text[a:b], key)]
         at = b
     return "".join([*out, text[at:]]), found
 
@@ -244,7 +314,7 @@ def replaced(text: str, key: bytes, found: list[tuple[int, int, str]] | None = N
 def plain(kind: str, value: str) -> str:
     """The form that mentions of one entity share."""
     if kind == "card":
-        return "".join(c for c in value if c.isdigit())
+        return plain_digits(value)
     if kind == "iban":
         return value.replace(" ", "")
     return value.lower() if kind == "email" else value
@@ -265,7 +335,7 @@ def entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         for pdf in parts:
             rows = {(k, plain(k, t[a:b])) for t in pdf["text"].tolist() if t for a, b, k in detected(t)}
             if rows:  # an empty frame has no types
-                listed = sorted({(group_of(k), v, plain(k, surrogate(k, v, key))) for k, v in rows})
+                listed = sorted({(group_of(k), v, plain(k, hidden(k, v, key))) for k, v in rows})
                 yield pd.DataFrame(listed, columns=["kind", "value", "replacement"])
 
     return map_batches(docs.select("text"), run, SCHEMA).distinct()
@@ -278,17 +348,12 @@ def collisions(found: DataFrame) -> DataFrame:
     return shared.unionByName(split)
 
 
-def occurring(found: DataFrame) -> DataFrame:
-    """Replacements that are themselves values of the corpus: the entity they name there has another one, so the texts
-    stay distinct, but a reader may take one for the other. Few, but for given names, whose lists are short."""
-    return found.join(found.select("kind", F.col("value").alias("replacement")), ["kind", "replacement"], "left_semi")
-
-
 def pseudonymise(docs: DataFrame, key: bytes = KEY, check: bool = True) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, text, n_entities, entities.
 
-    Every entity is replaced by a surrogate of its kind and format: digits by digits, letters by letters of their
-    alphabet and case, given names by names of the same gender, vowels of names by vowels; check digits and address
+    Every entity is replaced by a surrogate of its kind and format, which always differs from it: digits by digits of
+    their script, letters of any script by letters of their alphabet and case (beyond Latin, Cyrillic and Greek: by
+    letters of their Unicode class near them), given names by names of the same gender, vowels of names by vowels; check digits and address
     ranges that hold go on to hold. A name is found behind a title (Mr Smith, Dr. Anna Lee, Frau von Berg) and then in
     every mention of its words in the text, with or without the title; names of which no word follows a title anywhere
     in the text are not found, a limit. Surrogates come from keyed permutations, so one entity has one surrogate in all

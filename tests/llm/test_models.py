@@ -195,3 +195,44 @@ def test_scratch_is_deleted(spark):
     assert kept.count() == 3
     with pytest.raises(Exception):
         gone.count()
+
+
+SCRIPTS = ["Łuść", "Šůž", "王伟", "محمد", "Ñandú", "Ωμέγα", "Ёжиков", "Øst", "გიორგი", "राम", "김철수", "Žižek", "Đặng", "Ĳsbrand", "אברהם", "ひろし"]
+
+
+@pytest.mark.parametrize("name", SCRIPTS)
+def test_names_of_all_scripts_are_replaced(name):
+    text, found = surrogates.replaced(f"Dr. {name} came. {name} went", b"k")
+    words = [w for w in surrogates.IN_NAME.findall(name)]
+    assert found and not any(w in text.replace("came", "").replace("went", "") for w in words)
+    new = surrogates.surrogate("family", words[0], b"k")
+    assert len(new) == len(words[0]) and text.count(new) == 2
+    assert [c.isupper() for c in new] == [c.isupper() for c in words[0]] and [c.isalpha() for c in new] == [c.isalpha() for c in words[0]]
+
+
+@pytest.mark.parametrize("text,kind", [("+٩٦٦ ٥٥ ١٢٣ ٤٥٦٧", "phone"), ("żółć@пример.com", "email"), ("a@b.co", "email"), ("१२३-४५-६७८९", "ssn"), ("127.0.0.1", "ip"), ("0.0.0.0", "ip"), ("4111 1111 1111 1111", "card"), ("DE89 3704 0044 0532 0130 00", "iban")])
+def test_no_entity_stays_as_it_is(text, kind):
+    for key in (b"k", b"another", b"third"):
+        new, found = surrogates.replaced(f"see {text} there", key)
+        assert [k for _, _, k in found] == [kind] and text not in new
+        assert [c.isdecimal() for c in new[4:-6]] == [c.isdecimal() for c in text] or new[4] == "[" or kind == "ip"
+
+
+def test_permutations_are_one_cycle():
+    for sizes in ([2, 3], [3, 4, 5], [10, 10], [7]):
+        total = int(np.prod(sizes))
+        x = start = [0] * len(sizes)
+        seen = set()
+        for _ in range(total):
+            x = surrogates.permuted(x, sizes, b"k", "t")
+            seen.add(tuple(x))
+        assert len(seen) == total and x == start
+
+
+def test_surrogates_of_random_characters_differ():
+    """No letter or digit of the first planes maps to itself in a word of two, and words keep distinct."""
+    rng = np.random.default_rng(1)
+    letters = [c for c in map(chr, rng.integers(0x41, 0x2FFFF, 6000)) if c.isalpha()][:1500]
+    words = sorted({a + b for a, b in zip(letters, letters[1:])})
+    out = [surrogates.hidden("family", w, b"k") for w in words]
+    assert all(a != b for a, b in zip(words, out)) and len(set(out)) == len(words)
