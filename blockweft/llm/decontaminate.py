@@ -110,17 +110,22 @@ def windows(hashes: Column, width: int) -> Column:
 def compare(pairs: DataFrame, width: Column, coverage: float = COVERAGE, conflict: float = CONFLICT) -> DataFrame:
     """``pairs`` (item_words, doc_words, ...) with coverage, n_slots, n_changed and n_conflicts.
 
-    coverage: share of the item's template windows that the document contains. Slots are the marked words of matched
-    windows, each with the value in the item and the one in the document; a conflict is an item value that maps to
-    several document values of its type. A window that the document has several times is taken at its first place. If
-    that gives conflicts, each alignment (document position minus item position) is tried as well: windows are taken
-    nearest to it, at most a window off, at most the item's length off, or anywhere. Of all readings the best counts:
-    one that is a leak, then the largest coverage, then the fewest conflicts.
+    coverage: share of the item's template windows that the document contains; a window of placeholders alone says
+    nothing of the item, so such windows are met with their values. Slots are the marked words of matched windows, each
+    with the value in the item and the one in the document; a conflict is an item value that maps to several document
+    values of its type. A window that the document has several times is taken at its first place. If that gives
+    conflicts, the alignment (document position minus item position) that most places have, the first of equal ones, is
+    tried as well: windows are taken nearest to it, at most a window off, at most the item's length off, or anywhere. Of
+    these readings the best counts: one that is a leak, then the largest coverage, then the fewest conflicts. The work
+    is linear in the places.
     """
     x = pin(pairs.withColumn("_w", width), _item_t=template(F.col("item_words")), _doc_t=template(F.col("doc_words")))
-    x = pin(x, _item_h=F.expr("transform(_item_t, w -> xxhash64(w))"), _doc_h=F.expr("transform(_doc_t, w -> xxhash64(w))"))
-    cells = "if(size({0}) < _w, CAST(array() AS array<bigint>), transform(sequence(0, greatest(size({0}) - _w, 0)), i -> xxhash64(slice({0}, i + 1, _w))))"
-    x = pin(x, _item_win=F.expr(cells.format("_item_h")), _doc_win=F.expr(cells.format("_doc_h")))
+    hashes = "transform({0}, w -> xxhash64(w))"
+    x = pin(x, **{f"_{side}_{to}": F.expr(hashes.format(of)) for side in ("item", "doc") for to, of in (("h", f"_{side}_t"), ("v", f"{side}_words"))})
+    flags = f"transform({{0}}, w -> if(w IN ('{NUM}', '{NAME}', '{UNIT}'), 0, 1))"
+    x = pin(x, _item_f=F.expr(flags.format("_item_t")), _doc_f=F.expr(flags.format("_doc_t")))
+    cells = "if(size({0}_h) < _w, CAST(array() AS array<bigint>), transform(sequence(0, greatest(size({0}_h) - _w, 0)), i -> if(array_contains(slice({0}_f, i + 1, _w), 1), xxhash64(slice({0}_h, i + 1, _w)), xxhash64(slice({0}_v, i + 1, _w), 1))))"
+    x = pin(x, _item_win=F.expr(cells.format("_item")), _doc_win=F.expr(cells.format("_doc")))
     x = pin(x, _hits=F.expr("filter(transform(_doc_win, (h, p) -> struct(h AS h, p AS p)), x -> array_contains(_item_win, x.h))"))
     x = pin(x, _at=F.expr("filter(transform(_item_win, (h, i) -> struct(i AS i, transform(filter(_hits, x -> x.h = h), x -> x.p) AS ps)), m -> size(m.ps) > 0)"))
     slot = f"^[{NUM}{NAME}{UNIT}]"
@@ -133,7 +138,11 @@ def compare(pairs: DataFrame, width: Column, coverage: float = COVERAGE, conflic
         return pin(x, **{name: F.expr(f"array_max(transform(_read, y -> struct(y.coverage >= {coverage} AND y.m - y.n <= {conflict} * y.n AS leak, y.coverage AS coverage, y.n - y.m AS agreed, y.n AS n, -y.changed AS same)))")})
 
     x = read_as(x, "_first", "array(transform(_at, m -> struct(m.i AS i, m.ps[0] AS p)))")
-    x = pin(x, _lines=F.expr("if(_first.agreed = 0, CAST(array() AS array<int>), array_distinct(flatten(transform(_at, m -> transform(m.ps, p -> p - m.i)))))"))
+    x = pin(x, _votes=F.expr("if(_first.agreed = 0, CAST(array() AS array<int>), array_sort(flatten(transform(_at, m -> transform(m.ps, p -> p - m.i)))))"))
+    # equal ones stand together: the longest run wins
+    run = "named_struct('a', v, 'n', if(s.a = v, s.n + 1, 1), 'best', if(if(s.a = v, s.n + 1, 1) > s.most, v, s.best), 'most', greatest(if(s.a = v, s.n + 1, 1), s.most))"
+    start = "named_struct('a', CAST(NULL AS int), 'n', 0, 'best', CAST(NULL AS int), 'most', 0)"
+    x = pin(x, _lines=F.expr(f"if(size(_votes) = 0, CAST(array() AS array<int>), array(aggregate(_votes, {start}, (s, v) -> {run}, s -> s.best)))"))
     near = "array_min(filter(transform(m.ps, p -> struct(abs(p - m.i - a) AS d, p AS p)), z -> z.d <= r))"
     taken = f"transform(filter(transform(_at, m -> struct(m.i AS i, {near} AS z)), m -> m.z IS NOT NULL), m -> struct(m.i AS i, m.z.p AS p))"
     x = read_as(x, "_other", f"flatten(transform(_lines, a -> transform(array(_w, size(item_words), {2**31 - 1}), r -> {taken})))")
@@ -146,7 +155,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     """The leaked items: doc_id, item_id, coverage, n_slots, n_changed, one row for each document and item.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. A document leaks an item if it contains ``coverage``
-    of the item's template windows and at most ``conflict`` of the item's slots contradict: so both the literal
+    of the item's template windows (``compare``) and at most ``conflict`` of the item's slots contradict: so both the literal
     question and the question with other numbers, names or units are found. Items shorter than ``window`` are windows
     of their own length; those below SHORTEST words, null or empty are not looked for. Null and empty documents leak
     nothing; rows that repeat a doc_id count as one document, found if one of them leaks; equal items are each

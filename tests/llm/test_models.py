@@ -236,3 +236,20 @@ def test_surrogates_of_random_characters_differ():
     words = sorted({a + b for a, b in zip(letters, letters[1:])})
     out = [surrogates.hidden("family", w, b"k") for w in words]
     assert all(a != b for a, b in zip(words, out)) and len(set(out)) == len(words)
+
+
+def test_numbers_alone_are_no_leak_and_long_texts_take_seconds(spark):
+    import time
+
+    rng = np.random.default_rng(0)
+    values = [str(v) for v in rng.integers(1000, 9999, 13)]
+    items = spark.createDataFrame([(1, "sort " + " ".join(values)), (2, "the train leaves at 9 and takes 45 minutes to reach Paris from Berlin")], "item_id long, text string")
+    many = " ".join(str(v) for v in rng.integers(1000, 9999, 20_000))
+    told = "the train leaves at 9 and takes 45 minutes to reach Paris from Berlin"
+    texts = ["please " + many, "please sort " + " ".join(values) + " now", many + " " + told.replace("9", "7").replace("45", "30") + " " + many, "sort " + " ".join(str(v) for v in rng.integers(1000, 9999, 13)), (told + " . ") * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    decontaminate.leaks(docs.limit(1), items).collect()
+    began = time.time()
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, items).collect()}
+    assert set(found) == {(1, 1), (2, 2), (4, 2)} and time.time() - began < 60
+    assert found[2, 2].n_changed == 2 and found[4, 2].n_changed == 0
