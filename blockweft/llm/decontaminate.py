@@ -104,7 +104,7 @@ def windows(hashes: Column, width: int) -> Column:
     """Hashes of the windows of ``width`` words at each position."""
     last = F.size(hashes) - width
     starts = F.when(last < 0, F.expr("CAST(array() AS array<int>)")).otherwise(F.sequence(F.lit(0), F.greatest(last, F.lit(0))))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i + 1, width)))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
 
 
 def compare(pairs: DataFrame, width: Column, coverage: float = COVERAGE, conflict: float = CONFLICT) -> DataFrame:
@@ -179,9 +179,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     each = [items.where(F.col("width") == w).dropDuplicates(["template"]).select("template", F.explode(windows(F.col("h"), w)).alias("window")) for w in widths]
     held = cut(reduce(DataFrame.unionByName, each).groupBy("template", "window").agg(F.count(F.lit(1)).alias("m")), "leak-windows")
     base = pin(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), h=template_hashes(F.col("text"), names)).drop("text")
-    seen = base.select("doc_id", F.explode(F.array_distinct(F.concat(*[windows(F.col("h"), w) for w in widths]))).alias("window"))
+    seen = base.select("doc_id", F.explode(F.concat(*[windows(F.col("h"), w) for w in widths])).alias("window"))
     # the windows are a written table, whose size decides between a broadcast and a shuffle
-    met = cut(seen.join(cut(held.select("window").distinct(), "leak-keys"), "window"), "leak-met")
+    met = cut(seen.join(cut(held.select("window").distinct(), "leak-keys"), "window").distinct(), "leak-met")
 
     counts = met.groupBy("window").agg(F.count(F.lit(1)).alias("n"))
     ranked = W.partitionBy("template").orderBy(F.coalesce("n", F.lit(0)), "window").rowsBetween(W.unboundedPreceding, -1)
