@@ -90,7 +90,7 @@ def template_hashes(text: Column, names: tuple[list[str], list[str]] = ([], []))
     t = F.regexp_replace(t, PROPER, f" {NAME} ")
     t = F.regexp_replace(t, NUMBER, f" {NUM} ")
     t = F.regexp_replace(t, f"{NUM} \\s?(?i:{UNITS})(?![\\p{{L}}\\p{{N}}])", f"{NUM} {UNIT} ")
-    words = F.split(F.lower(t), r"[^\p{L}\p{N}" + NUM + NAME + UNIT + OPEN + REST + "]+")
+    words = F.split(F.lower(t), r"[^a-z0-9\p{L}\p{N}" + NUM + NAME + UNIT + OPEN + REST + "]+")  # ASCII first, for speed
 
     def shown(w: Column) -> Column:
         head = F.translate(w, OPEN + REST, "")
