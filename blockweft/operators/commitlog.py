@@ -89,3 +89,9 @@ def records(spark: SparkSession, root: str) -> DataFrame:
 def holds(spark: SparkSession, root: str, number: int) -> bool:
     files, place = _place(spark, f"{root}/log/{number}")
     return files.exists(place)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of one's own that nothing will read."""
+    files, place = _place(spark, path)
+    files.delete(place, True)

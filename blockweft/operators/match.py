@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -59,6 +60,13 @@ def registry(spark: SparkSession, monitors: list[Monitor]) -> DataFrame:
 BROADCAST_ROWS = 50_000
 
 
+#: Columns of a registry whose logs are fetched in windows (``plans.blocks.fetched``).
+FETCHED = ("run_first", "window", "fetch_first", "fetch_last")
+#: Marks of a sieve, as a power of two: 2^27 bits are 16 MB, whatever is sieved.
+SIEVE_BITS = 27
+CALL_KEY = ["chain_id", "block_number", "tx_hash"]
+
+
 def sized(table: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(table) if small else table
 
@@ -66,7 +74,7 @@ def sized(table: DataFrame, small: bool) -> DataFrame:
 def targets(monitors: DataFrame, kind: str) -> DataFrame:
     """(m_chain, m_address, m_hash, params, wanted): what active monitors of a kind look for. ``wanted`` has the monitors
     that share a target and the names of its parameters, so that a payload is decoded and shown once for all of them."""
-    own = F.struct("id", "start_block", "end_block", "cursor", "program")
+    own = F.struct("id", "start_block", "end_block", "cursor", "program", *[c for c in FETCHED if c in monitors.columns])
     grouped = active(monitors).where(F.col("kind") == kind).groupBy("chain_id", "address", "hash", "params").agg(F.collect_list(own).alias("wanted"))
     return grouped.select(F.col("chain_id").alias("m_chain"), F.col("address").alias("m_address"), F.col("hash").alias("m_hash"), "params", "wanted")
 
@@ -96,6 +104,16 @@ def selector(data: Column) -> Column:
     return F.when(F.length(data) >= 4, F.substring(data, 1, 4))
 
 
+def receipts_by_call(receipts: DataFrame) -> DataFrame:
+    """One row a call (chain_id, block_number, tx_hash): succeeded, and copies, the number of its receipts."""
+    return receipts.groupBy("chain_id", "block_number", "tx_hash").agg(F.max("succeeded").alias("succeeded"), F.count(F.lit(1)).alias("copies"))
+
+
+def receipt_fault() -> Column:
+    """What is wrong with the receipts of a call that was joined to ``receipts_by_call``."""
+    return F.when(F.col("copies").isNull(), F.lit("no receipt")).when(F.col("copies") > 1, F.lit("several receipts")).when(F.col("succeeded").isNull(), F.lit("receipt without status"))
+
+
 def call_candidates(txs: DataFrame, monitors: DataFrame) -> DataFrame:
     """Transactions that some active monitor needs; receipts are looked at for these only."""
     keyed = txs.where("to_addr IS NOT NULL").withColumn("hash", selector(F.col("input"))).where("hash IS NOT NULL")
@@ -104,14 +122,45 @@ def call_candidates(txs: DataFrame, monitors: DataFrame) -> DataFrame:
     return keyed.join(F.broadcast(wanted), on, "left_semi")
 
 
-def receipts_by_call(receipts: DataFrame) -> DataFrame:
-    """One row a call (chain_id, block_number, tx_hash): succeeded, and copies, the number of its receipts."""
-    return receipts.groupBy("chain_id", "block_number", "tx_hash").agg(F.max("succeeded").alias("succeeded"), F.count(F.lit(1)).alias("copies"))
+def called(txs: DataFrame, monitors: DataFrame, small: bool = True) -> DataFrame:
+    """The candidates: transactions that call a target which monitors need, with those monitors in ``wanted``."""
+    keyed = txs.where("to_addr IS NOT NULL").withColumn("hash", selector(F.col("input"))).where("hash IS NOT NULL")
+    on = (F.col("chain_id") == F.col("m_chain")) & (F.col("to_addr") == F.col("m_address")) & (F.col("hash") == F.col("m_hash"))
+    found = keyed.join(sized(targets(monitors, "call"), small), on).withColumn("wanted", needed(F.col("block_number"))).where(F.size("wanted") > 0)
+    return found.select(*CALL_KEY, "tx_index", "from_addr", "to_addr", F.expr("substring(input, 5)").alias("body"), "params", "wanted")
 
 
-def receipt_fault() -> Column:
-    """What is wrong with the receipts of a call that was joined to ``receipts_by_call``."""
-    return F.when(F.col("copies").isNull(), F.lit("no receipt")).when(F.col("copies") > 1, F.lit("several receipts")).when(F.col("succeeded").isNull(), F.lit("receipt without status"))
+def _mark() -> Column:
+    return F.pmod(F.xxhash64(*CALL_KEY), F.lit(1 << SIEVE_BITS))
+
+
+def sieved(receipts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Receipts whose mark is one of a candidate's: all of candidates and few others.
+
+    The marks are bitmaps of 4 kB, 2^SIEVE_BITS / 32768 of them at most, so they can be sent to all executors however
+    many candidates there are; with very many, more of the other receipts pass, and the join sorts them out.
+    """
+    marks = candidates.select(_mark().alias("_mark")).groupBy(F.bitmap_bucket_number("_mark").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_mark")).alias("_bits"))
+    rows = receipts.withColumn("_mark", _mark()).withColumn("_bucket", F.bitmap_bucket_number("_mark")).withColumn("_bit", F.bitmap_bit_position("_mark"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright("_bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    power = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (F.col("_bit") % 8 + 1).cast("int"))
+    return rows.join(F.broadcast(marks), "_bucket").where(byte.bitwiseAND(power) != 0).select(*receipts.columns)
+
+
+def settled(candidates: DataFrame, receipts: DataFrame, strict: bool = True, count: int | None = None) -> DataFrame:
+    """Candidates that succeeded; see ``matched_calls``.
+
+    ``count`` tells how many candidates there are, where they are a written table. Then only their receipts are
+    shuffled: a small set of candidates is sent to the receipts, of a larger one the marks are (``sieved``).
+    """
+    if count is not None:
+        few = count <= BROADCAST_ROWS
+        receipts = receipts.join(F.broadcast(candidates.select(*CALL_KEY)), CALL_KEY, "left_semi") if few else sieved(receipts, candidates)
+    joined = candidates.join(receipts_by_call(receipts), CALL_KEY, "left")
+    bad = receipt_fault()
+    wrong = F.raise_error(F.concat(bad, F.lit(" for "), F.hex("tx_hash"))).cast("boolean") if strict else F.lit(True)
+    found = joined.where(F.when(bad.isNotNull(), wrong).otherwise(F.col("succeeded")))
+    return found.select("chain_id", "block_number", "tx_index", "tx_hash", "from_addr", "to_addr", "body", "params", "wanted", bad.alias("fault"))
 
 
 def matched_calls(txs: DataFrame, receipts: DataFrame, monitors: DataFrame, strict: bool = True, small: bool = True) -> DataFrame:
@@ -120,14 +169,7 @@ def matched_calls(txs: DataFrame, receipts: DataFrame, monitors: DataFrame, stri
     Each candidate has one receipt in its block. With ``strict`` anything else is an error; else such rows carry what is
     wrong in ``fault``. ``small`` tells that the registry has BROADCAST_ROWS rows at most.
     """
-    keyed = txs.where("to_addr IS NOT NULL").withColumn("hash", selector(F.col("input"))).where("hash IS NOT NULL")
-    on = (F.col("chain_id") == F.col("m_chain")) & (F.col("to_addr") == F.col("m_address")) & (F.col("hash") == F.col("m_hash"))
-    called = keyed.join(sized(targets(monitors, "call"), small), on).withColumn("wanted", needed(F.col("block_number"))).where(F.size("wanted") > 0)
-    joined = called.join(receipts_by_call(receipts), ["chain_id", "block_number", "tx_hash"], "left")
-    bad = receipt_fault()
-    wrong = F.raise_error(F.concat(bad, F.lit(" for "), F.hex("tx_hash"))).cast("boolean") if strict else F.lit(True)
-    found = joined.where(F.when(bad.isNotNull(), wrong).otherwise(F.col("succeeded")))
-    return found.select("chain_id", "block_number", "tx_index", "tx_hash", "from_addr", "to_addr", F.expr("substring(input, 5)").alias("body"), "params", "wanted", bad.alias("fault"))
+    return settled(called(txs, monitors, small), receipts, strict)
 
 
 def receipt_faults(txs: DataFrame, receipts: DataFrame, monitors: DataFrame) -> DataFrame:
@@ -146,14 +188,15 @@ def _strays(logs: DataFrame) -> Column:
     return F.col("first_block").isNotNull() & ~F.coalesce(F.col("block_number").between(F.col("first_block"), F.col("last_block")), F.lit(False))
 
 
+def fetch_fault(logs: DataFrame) -> Column:
+    """What is wrong with a log that says the same of all that was fetched with it."""
+    return F.when(F.col("removed"), F.lit("removed log")).when(_strays(logs), F.lit("log outside the range asked for"))
+
+
 def log_fault(logs: DataFrame) -> Column:
     """What is wrong with a log of ``logs``."""
-    return (
-        F.when(F.col("removed"), F.lit("removed log"))
-        .when(F.col("tx_hash").isNull(), F.lit("log without transaction hash"))
-        .when(F.col("log_index").isNull(), F.lit("log without index"))
-        .when(_strays(logs), F.lit("log outside the range asked for"))
-    )
+    own = F.when(F.col("tx_hash").isNull(), F.lit("log without transaction hash")).when(F.col("log_index").isNull(), F.lit("log without index"))
+    return F.coalesce(fetch_fault(logs), own)
 
 
 def matched_events(logs: DataFrame, monitors: DataFrame, strict: bool = True, small: bool = True) -> DataFrame:
@@ -162,17 +205,31 @@ def matched_events(logs: DataFrame, monitors: DataFrame, strict: bool = True, sm
     Finalized logs carry all their fields, lie where they were asked for and are never removed. With ``strict`` anything
     else is an error; else such rows carry what is wrong in ``fault``. A log outside its range says nothing reliable about
     its block, so it counts for the first block of that range that a monitor still needs.
+
+    Where the registry tells the windows that logs are fetched in (FETCHED), a removed or stray log counts for the
+    start of its window, whichever block of the window a monitor of its target needs: all that came with it is in
+    doubt. A log without hash or index is known to be of its block and counts for that.
     """
     keyed = logs.withColumn("hash", F.try_element_at("topics", F.lit(1))).where("hash IS NOT NULL")
     on = (F.col("chain_id") == F.col("m_chain")) & (F.col("address") == F.col("m_address")) & (F.col("hash") == F.col("m_hash"))
-    block, strays, bad = F.col("block_number"), _strays(logs), log_fault(logs)
-    ranged = {"first_block", "last_block"} <= set(logs.columns)
-    at = lambda w: F.when(strays, F.greatest(F.col("first_block"), F.coalesce(w["cursor"] + 1, w["start_block"]))).otherwise(block) if ranged else block
-    hit = F.filter("wanted", lambda w: _needs(w, at(w)) & (~strays | (at(w) <= F.col("last_block"))) if ranged else _needs(w, block))
-    found = keyed.join(sized(targets(monitors, "event"), small), on).withColumn("wanted", hit).where(F.size("wanted") > 0)
+    block, strays, bad, spoilt = F.col("block_number"), _strays(logs), log_fault(logs), fetch_fault(logs).isNotNull()
+    ranged, windows = {"first_block", "last_block"} <= set(logs.columns), set(FETCHED) <= set(monitors.columns)
+
+    def at(w: Column) -> Column:
+        first = w["fetch_first"] if windows else F.coalesce(w["cursor"] + 1, w["start_block"])
+        return F.when(strays, F.greatest(F.col("first_block"), first)).otherwise(block) if ranged else block
+
+    def wants(w: Column) -> Column:
+        needs = _needs(w, at(w))
+        if windows:
+            needs = F.when(spoilt, at(w).between(w["fetch_first"], w["fetch_last"])).otherwise(needs)
+        return needs & (~strays | (at(w) <= F.col("last_block"))) if ranged else needs
+
+    found = keyed.join(sized(targets(monitors, "event"), small), on).withColumn("wanted", F.filter("wanted", wants)).where(F.size("wanted") > 0)
     if strict:
         found = found.where(F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(F.lit(True)))
-    where = F.when(strays, F.array_min(F.transform("wanted", at))).otherwise(block)
+    start = lambda w: at(w) - (at(w) - w["run_first"]) % w["window"] if windows else at(w)
+    where = F.when(spoilt if windows else strays, F.array_min(F.transform("wanted", start))).otherwise(block)
     return found.select("chain_id", where.alias("block_number"), "log_index", "tx_hash", "address", "topics", "data", "params", "wanted", bad.alias("fault"))
 
 
@@ -202,9 +259,14 @@ def decoded(matched: DataFrame) -> DataFrame:
     return rows.select(*base, F.explode(ids).alias("monitor_id"), "ok", "params", "fault")
 
 
-def outcomes(txs: DataFrame, receipts: DataFrame, logs: DataFrame, monitors: DataFrame, strict: bool = False, small: bool = True) -> DataFrame:
-    """Decoded calls and events of all monitors, those that can't be decoded, and faults, in one pass over each table."""
-    calls = decoded(matched_calls(txs, receipts, monitors, strict, small))
+def outcomes(txs: DataFrame, receipts: DataFrame, logs: DataFrame, monitors: DataFrame, strict: bool = False, small: bool = True, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Decoded calls and events of all monitors, those that can't be decoded, and faults, in one pass over each table.
+
+    ``keep`` writes the candidates of calls and gives them as a table; then receipts are looked at for these only.
+    """
+    candidates = called(txs, monitors, small)
+    stored = keep(candidates) if keep else candidates
+    calls = decoded(settled(stored, receipts, strict, stored.count() if keep else None))
     calls = calls.select("chain_id", "monitor_id", F.lit("call").alias("kind"), "block_number", "tx_hash", "from_addr", "to_addr", "ok", "params", "fault")
     events = decoded(matched_events(logs, monitors, strict, small))
     events = events.select("chain_id", "monitor_id", F.lit("event").alias("kind"), "block_number", "tx_hash", F.col("log_index").cast("long").alias("log_index"), "address", "ok", "params", "fault")

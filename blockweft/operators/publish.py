@@ -1,6 +1,6 @@
 """Publication of batches: data first, then one record that makes them visible together with the new cursors.
 
-Under ``root`` lie ``results``, ``plans`` and ``commits`` (each ``batch_id=N/attempt=X``), ``polls/batch_id=N``, and the log of
+Under ``root`` lie ``results``, ``plans``, ``candidates`` and ``commits`` (each ``batch_id=N/attempt=X``), ``polls/batch_id=N``, and the log of
 records (``commitlog``). A batch counts from the moment its record names an attempt; what no record names is never read,
 so drivers that publish the same batch at once don't harm each other: the record of one of them counts.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from blockweft.operators import commitlog
 from blockweft.operators.match import BROADCAST_ROWS, Monitor, active, outcomes, registry
 from blockweft.operators.results import identity
-from blockweft.plans.blocks import ranges
+from blockweft.plans.blocks import fetched, with_ranges
 
 COMMITS = "monitor_id long, chain_id long, cursor long, completed boolean, error string, bad_block long"
 PLANNED = "id long, chain_id long, first long, last long"
@@ -180,33 +180,49 @@ def publish_outcomes(spark: SparkSession, root: str, batch_id: int, planned: Dat
     return commitlog.record(spark, root, batch_id, attempt)
 
 
-def step(spark: SparkSession, root: str, batch_id: int, tables: tuple[DataFrame, DataFrame, DataFrame], monitors: DataFrame | list[Monitor], heads: DataFrame, batch: int, sick: DataFrame | None = None) -> bool:
+def step(spark: SparkSession, root: str, batch_id: int, tables: tuple[DataFrame, DataFrame, DataFrame], monitors: DataFrame | list[Monitor], heads: DataFrame, batch: int, sick: DataFrame | None = None, window: int | None = None) -> bool:
     """One incremental step over (transactions, receipts, logs): plan, scan, match, decode, filter, commit.
 
     ``monitors`` is the registry as a table (or as a list, which becomes one): nothing of it comes to the driver. Each
     monitor takes at most ``batch`` blocks from its cursor and never passes the finalized head. Nothing is planned for
-    chains of ``sick`` (chain_id, reason). False if there was nothing to do or the batch was committed before.
+    chains of ``sick`` (chain_id, reason). With ``window``, logs are taken as fetched in windows of that many blocks, of
+    which a removed or stray log voids the whole (``match.matched_events``). Candidates of calls are written before
+    receipts are looked at, and receipts are shuffled for these only. False if there was nothing to do or the batch was committed before.
     """
     table = registry(spark, monitors) if isinstance(monitors, list) else monitors
     if commitlog.holds(spark, root, batch_id):
         return False
     able = heads if sick is None else heads.join(sick.select("chain_id").distinct(), "chain_id", "left_anti")
     now = progressed(spark, root, table)
-    plan = f"{root}/plans/batch_id={batch_id}/attempt={uuid.uuid4().hex}"
-    ranges(active(now), able, batch).write.parquet(plan)
-    planned = spark.read.schema(PLANNED).parquet(plan)
-    count = planned.count()
+    own = f"batch_id={batch_id}/attempt={uuid.uuid4().hex}"
+    plan = f"{root}/plans/{own}"
+    rows = with_ranges(active(now), able, batch)
+    if window:
+        rows = fetched(rows, window)
+    # the monitors of this step are written once, with all that later parts ask of them
+    rows.write.parquet(plan)
+    stored = spark.read.schema(rows.schema).parquet(plan)
+    count = stored.count()
     if not count:
         return False
+    planned, known = stored.select("id", "chain_id", "first", "last"), stored.select(*now.columns)
     intervals = spans(planned)
     # for this step a monitor ends where its plan does
-    mine = now.join(planned.select("id", F.col("last").alias("_last")), "id").withColumn("end_block", F.col("_last")).select(*now.columns)
+    mine = stored.withColumn("end_block", F.col("last")).drop("first", "last")
+
+    def keep(candidates: DataFrame) -> DataFrame:
+        candidates.write.parquet(f"{root}/candidates/{own}")
+        return spark.read.schema(candidates.schema).parquet(f"{root}/candidates/{own}")
+
     txs, receipts, logs = tables
     inside = within(intervals)
     # logs that were asked for in a range are read by that too, as their own block may be wrong
     asked = inside | within(intervals, "first_block", "last_block") if {"first_block", "last_block"} <= set(logs.columns) else inside
-    found = outcomes(txs.where(inside), receipts.where(inside), logs.where(asked), mine, small=count <= BROADCAST_ROWS)
-    done = publish_outcomes(spark, root, batch_id, planned, now, found, intervals)
+    try:
+        found = outcomes(txs.where(inside), receipts.where(inside), logs.where(asked), mine, small=count <= BROADCAST_ROWS, keep=keep)
+        done = publish_outcomes(spark, root, batch_id, planned, known, found, intervals)
+    finally:
+        commitlog.discard(spark, f"{root}/candidates/{own}")
     if done:
         compact(spark, root)
     return done

@@ -15,11 +15,16 @@ def next_block() -> Column:
     return F.coalesce(F.col("cursor") + 1, F.col("start_block"))
 
 
-def ranges(monitors: DataFrame, heads: DataFrame, batch: int = BATCH) -> DataFrame:
-    """(id, chain_id, first, last): the next blocks of each monitor that has any up to the finalized head."""
+def with_ranges(monitors: DataFrame, heads: DataFrame, batch: int = BATCH) -> DataFrame:
+    """Monitors that have blocks up to the finalized head, with the next of them as first and last."""
     m = monitors.join(F.broadcast(heads), "chain_id").withColumn("first", next_block())
     last = F.least("finalized_head", F.coalesce("end_block", F.col("finalized_head")), F.col("first") + (batch - 1))
-    return m.withColumn("last", last).where("last >= first").select("id", "chain_id", "first", "last")
+    return m.withColumn("last", last).where("last >= first").select(*monitors.columns, "first", "last")
+
+
+def ranges(monitors: DataFrame, heads: DataFrame, batch: int = BATCH) -> DataFrame:
+    """(id, chain_id, first, last): the next blocks of each monitor that has any up to the finalized head."""
+    return with_ranges(monitors, heads, batch).select("id", "chain_id", "first", "last")
 
 
 def plan_blocks(monitors: DataFrame, heads: DataFrame, batch: int = BATCH) -> DataFrame:
@@ -37,6 +42,25 @@ def plan_windows(blocks: DataFrame, most: int = BATCH) -> DataFrame:
     return cut.groupBy("chain_id", "run", "part").agg(F.min("block_number").alias("from_block"), F.max("block_number").alias("to_block")).drop("run", "part")
 
 
+def fetched(planned: DataFrame, most: int = BATCH) -> DataFrame:
+    """``planned`` (id, chain_id, first, last) with the windows in which the logs of a monitor's blocks are fetched.
+
+    A run of consecutive planned blocks of a chain is cut into windows of ``most`` blocks from its start (run_first);
+    a monitor's windows reach from fetch_first to fetch_last. Ranges of one start are combined before they are sorted.
+    """
+    if most < 1:
+        raise ValueError("a window has a block at least")
+    starts = planned.groupBy("chain_id", "first").agg(F.max("last").alias("_last"))
+    order = W.partitionBy("chain_id").orderBy("first")
+    reached = F.max("_last").over(order.rowsBetween(W.unboundedPreceding, -1))
+    opens = starts.withColumn("_opens", F.when(reached.isNull() | (F.col("first") > reached + 1), F.col("first")))
+    runs = opens.withColumn("run_first", F.max("_opens").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    ends = runs.withColumn("run_last", F.max("_last").over(W.partitionBy("chain_id", "run_first")))
+    start = lambda block: block - (block - F.col("run_first")) % most
+    rows = planned.join(ends.select("chain_id", "first", "run_first", "run_last"), ["chain_id", "first"])
+    return rows.select(*planned.columns, "run_first", F.lit(most).cast("long").alias("window"), start(F.col("first")).alias("fetch_first"), F.least(start(F.col("last")) + (most - 1), "run_last").alias("fetch_last"))
+
+
 def log_targets(monitors: DataFrame) -> DataFrame:
     return active(monitors).where("kind = 'event'").select("chain_id", "address", F.col("hash").alias("topic0")).distinct()
 

@@ -424,3 +424,75 @@ def registry_step_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of each chain after that step."""
     root, chains = _driven(spark, sf_dir)
     return reports.chain_status(publish.polls(spark, root), chains.withColumn("enabled", F.lit(True)), "batch_id").select("chain_id", "state", "last_error")
+
+
+def receipt_dump(spark: SparkSession, sf_dir: str, by_place: bool) -> DataFrame:
+    """Answers of a provider to requests for the receipts of each block's orders. Some are lost; of single requests some
+    are of another hash; of blocks, some receipts come twice (first with the wrong status), and all in reverse order."""
+    o = chain.table(spark, sf_dir, "orders").select(chain.chain_of(F.col("o_custkey")).alias("chain_id"), F.expr("o_orderkey div 10").alias("number"), F.col("o_orderkey").alias("key"), (F.col("o_orderstatus") != "P").alias("good"))
+    hashed = lambda k: F.concat(F.lit("0x"), chain.digest("tx:", k))
+    status = lambda good: F.when(good, "0x1").otherwise("0x0")
+    receipt = lambda k, good: F.struct(hashed(k).alias("transactionHash"), status(good).alias("status"))
+    per_block = o.groupBy("chain_id", "number").agg(F.sort_array(F.collect_list(F.struct("key", "good"))).alias("rows"))
+    there = F.filter("rows", lambda x: x["key"] % 13 != 0)
+    if by_place:
+        result = F.transform("rows", lambda x: F.when(x["key"] % 13 != 0, receipt(F.when(x["key"] % 19 == 0, x["key"] + 1).otherwise(x["key"]), x["good"])))
+    else:
+        result = F.concat(F.transform(F.filter(there, lambda x: x["key"] % 17 == 0), lambda x: receipt(x["key"], ~x["good"])), F.reverse(F.transform(there, lambda x: receipt(x["key"], x["good"]))))
+    request = F.struct("chain_id", "number", F.transform("rows", lambda x: hashed(x["key"])).alias("hashes"))
+    return per_block.select(F.to_json(F.struct(request.alias("request"), F.when(F.col("number") % 43 != 0, result).alias("result"))).alias("value"))
+
+
+_ANSWERS = f"""SELECT {{place}} AS by_place, CAST({CHAIN_O} AS BIGINT) AS chain_id, o_orderkey // 10 AS block_number, {TX} AS tx_hash, CASE WHEN o_orderkey // 10 % 43 = 0 THEN 'no answer'
+  WHEN o_orderkey % 13 = 0 THEN 'no receipt' WHEN {{place}} AND o_orderkey % 19 = 0 THEN 'another receipt than asked for' END AS reason, CASE WHEN reason IS NULL THEN o_orderstatus <> 'P' END AS succeeded FROM orders"""
+
+
+@query(" UNION ALL ".join(_ANSWERS.format(place=p) for p in ("true", "false")))
+def receipts_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was asked for and what came of it: answers at their places, and blocks in any order."""
+    parts = [rpc.receipts_answered(receipt_dump(spark, sf_dir, p), p).withColumn("by_place", F.lit(p)) for p in (True, False)]
+    return parts[0].unionByName(parts[1]).withColumn("tx_hash", hex0x(F.col("tx_hash")))
+
+
+_KEPT = "o_orderkey // 10 % 43 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 19 <> 0"
+
+
+@query(f"""SELECT block_number, {TX} AS tx_hash, CASE WHEN kept THEN NULL ELSE 'no receipt' END AS fault FROM (SELECT *, o_orderkey // 10 AS block_number, {_KEPT} AS kept FROM orders)
+  WHERE {CHAIN_O} = 1 AND o_orderpriority = '{URGENT}' AND {USUAL} AND (NOT kept OR o_orderstatus <> 'P')""")
+def calls_with_asked_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls by receipts that were asked for one by one: those without a sound answer are faults."""
+    told = rpc.receipts_of(receipt_dump(spark, sf_dir, True), True)
+    found = match.matched_calls(chain.transactions(spark, sf_dir), told, match.registry(spark, [ANY]), strict=False)
+    return found.select("block_number", hex0x(F.col("tx_hash")).alias("tx_hash"), "fault")
+
+
+#: Monitors with two runs of planned blocks on chain 1: calls and purchases from 10 on, errors from 100 on.
+WINDOWED = [
+    Monitor(21, 1, contract(URGENT), chain.TRANSFER, start_block=10, end_block=60), Monitor(22, 1, contract("purchase"), chain.ACTIVITY, start_block=38, end_block=75), Monitor(23, 1, contract("error"), chain.ACTIVITY, start_block=100),
+    Monitor(24, 8453, contract("purchase"), chain.ACTIVITY, start_block=3), Monitor(25, 8453, contract(URGENT), chain.TRANSFER),
+]
+_KINDS = {contract(URGENT): "call", contract("purchase"): "purchase", contract("error"): "error"}
+_ROWS = ", ".join(f"({m.id}, {m.chain_id}, '{_KINDS[m.address]}', {m.start_block}, {m.end_block if m.end_block is not None else 'NULL'})" for m in WINDOWED)
+_SPOILT, _HASHLESS = "(event_id % 229 = 77 AND event_id // 20 > 33)", "(event_id % 397 = 201)"
+_WINDOWS = f"""WITH planned AS (SELECT * FROM (SELECT id, chain, kind, first, least(coalesce(stop, {HEAD}), {HEAD}) AS last FROM (VALUES {_ROWS}) AS v(id, chain, kind, first, stop)) WHERE last >= first),
+  opens AS (SELECT *, CASE WHEN max(last) OVER (PARTITION BY chain ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 >= first THEN NULL ELSE first END AS opened FROM planned),
+  runs AS (SELECT *, max(opened) OVER (PARTITION BY chain ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS run FROM opens),
+  ends AS (SELECT *, max(last) OVER (PARTITION BY chain, run) AS run_last FROM runs),
+  monitors AS (SELECT *, first - (first - run) % 7 AS low, least(last - (last - run) % 7 + 6, run_last) AS high FROM ends),
+  logs AS (SELECT *, {CHAIN_E} AS chain, event_id // 20 AS block, {_SPOILT} AS spoilt, {_HASHLESS} AS hashless FROM events),
+  faults AS (SELECT chain, block - (block - run) % 7 AS stop, 'removed log' AS reason FROM logs JOIN monitors USING (chain) WHERE event_type = kind AND spoilt AND block BETWEEN low AND high
+    UNION ALL SELECT chain, block, 'log without transaction hash' FROM logs JOIN monitors USING (chain) WHERE event_type = kind AND hashless AND NOT spoilt AND block BETWEEN first AND last),
+  bad AS (SELECT chain, stop, reason FROM faults QUALIFY row_number() OVER (PARTITION BY chain ORDER BY stop, reason) = 1),
+  found AS (SELECT {CHAIN_O} AS chain, 'call' AS kind, o_orderkey // 10 AS block FROM orders WHERE o_orderpriority = '{URGENT}' AND {SOUND} UNION ALL SELECT chain, event_type, block FROM logs)"""
+
+
+@query(f"""{_WINDOWS} SELECT CAST(m.id AS BIGINT) AS monitor_id, CAST(b.stop AS BIGINT) AS bad_block, b.reason AS error, CAST(CASE WHEN least(m.last, b.stop - 1) >= m.first THEN least(m.last, b.stop - 1) END AS BIGINT) AS cursor,
+  (SELECT count(*) FROM found AS f WHERE f.chain = m.chain AND f.kind = m.kind AND f.block BETWEEN m.first AND least(m.last, coalesce(b.stop - 1, m.last))) AS n FROM monitors AS m LEFT JOIN bad AS b ON m.chain = b.chain""")
+def voided_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step with logs in windows of seven blocks: removed logs void their window, logs without hash their block."""
+    logs, event = chain.logs(spark, sf_dir), F.col("block_number") * 20 + F.col("log_index")
+    logs = logs.withColumns({"removed": (event % 229 == 77) & (F.col("block_number") > 33), "tx_hash": F.when(event % 397 != 201, F.col("tx_hash"))})
+    root = store(spark, "windows")
+    publish.step(spark, root, 0, (chain.transactions(spark, sf_dir), chain.receipts(spark, sf_dir), logs), WINDOWED, chain.heads(spark, sf_dir), 1 << 40, window=7)
+    counts = publish.visible(spark, root).groupBy("monitor_id").agg(F.count(F.lit(1)).alias("n"))
+    return publish.commits(spark, root).join(counts, "monitor_id", "left").select("monitor_id", "bad_block", "error", "cursor", F.coalesce("n", F.lit(0).cast("long")).alias("n"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = "request struct<chain_id: bigint, number: bigint>, result struct<number: string, transactions: array<struct<hash: string, `from`: string, `to`: string, input: string>>>"
-RECEIPTS = "request struct<chain_id: bigint, number: bigint>, result array<struct<transactionHash: string, status: string>>"
+RECEIPTS = "request struct<chain_id: bigint, number: bigint, hashes: array<string>>, result array<struct<transactionHash: string, status: string>>"
 LOGS = "request struct<chain_id: bigint, from_block: bigint, to_block: bigint>, result array<struct<address: string, topics: array<string>, data: string, blockNumber: string, transactionHash: string, logIndex: string, removed: boolean>>"
 
 
@@ -60,9 +60,42 @@ def transactions_of(dump: DataFrame, strict: bool = False) -> DataFrame:
     return each.where("t.to IS NOT NULL").select("chain_id", "block_number", "tx_index", data(F.col("t.hash"), 32).alias("tx_hash"), data(F.col("t.from"), 20).alias("from_addr"), data(F.col("t.to"), 20).alias("to_addr"), data(F.col("t.input")).alias("input"))
 
 
-def receipts_of(dump: DataFrame) -> DataFrame:
-    each = parsed(dump, RECEIPTS).select(F.col("request.chain_id").alias("chain_id"), F.col("request.number").alias("block_number"), F.explode("result").alias("t"))
-    return each.select("chain_id", "block_number", data(F.col("t.transactionHash"), 32).alias("tx_hash"), (quantity(F.col("t.status")) == 1).alias("succeeded"))
+ANSWERED = ["chain_id", "block_number", "tx_hash"]
+
+
+def receipts_answered(dump: DataFrame, by_place: bool = False) -> DataFrame:
+    """(chain_id, block_number, tx_hash, succeeded, reason): one row for each hash that a request asks for.
+
+    ``by_place``: the answers are those of single requests, in the order of the hashes (null where there is none), so
+    each must be of the hash at its place; a hash that is asked for twice has two rows. Otherwise an answer holds all
+    receipts of a block in any order, of which the asked ones are taken; of two receipts of one hash the later counts.
+    ``reason`` is null where an answer is sound. A line that can't be read is a row with nothing but its reason.
+    """
+    told = parsed(dump, RECEIPTS).select(F.col("request.chain_id").alias("chain_id"), F.col("request.number").alias("block_number"), F.col("request.hashes").alias("hashes"), "result")
+    unread = F.col("chain_id").isNull() | F.col("block_number").isNull() | F.col("hashes").isNull()
+    lost = told.where(unread).select("chain_id", "block_number", F.lit(None).cast("binary").alias("tx_hash"), F.lit(None).cast("boolean").alias("succeeded"), F.lit("unreadable response").alias("reason"))
+    sound = told.where(~unread)
+    state = lambda t: quantity(t["status"]) == 1
+    status = F.when(F.col("succeeded").isNull(), "receipt without status")
+    if by_place:
+        each = sound.select("chain_id", "block_number", F.col("result").isNotNull().alias("answered"), F.posexplode("hashes").alias("place", "hash"), "result").withColumn("t", F.get("result", F.col("place")))
+        each = each.select("chain_id", "block_number", "answered", data(F.col("hash"), 32).alias("tx_hash"), data(F.col("t.transactionHash"), 32).alias("own"), F.col("t").isNotNull().alias("found"), state(F.col("t")).alias("succeeded"))
+        reason = F.when(~F.col("answered"), "no answer").when(~F.col("found"), "no receipt").when(~F.coalesce(F.col("own") == F.col("tx_hash"), F.lit(False)), "another receipt than asked for").otherwise(status)
+    else:
+        # asked and told hashes meet in one group, so a block of any size is linear
+        asked = sound.select("chain_id", "block_number", F.explode("hashes").alias("hash"), F.col("result").isNotNull().alias("answered")).select("chain_id", "block_number", data(F.col("hash"), 32).alias("tx_hash"), "answered")
+        given = sound.select("chain_id", "block_number", F.posexplode("result").alias("place", "t")).select("chain_id", "block_number", data(F.col("t.transactionHash"), 32).alias("tx_hash"), F.struct("place", state(F.col("t")).alias("succeeded")).alias("told"))
+        both = asked.withColumn("told", F.lit(None).cast("struct<place: int, succeeded: boolean>")).unionByName(given.withColumn("answered", F.lit(None).cast("boolean")))
+        each = both.groupBy(*ANSWERED).agg(F.bool_or("answered").alias("answered"), F.max("told").alias("told")).where("answered IS NOT NULL").withColumn("succeeded", F.col("told.succeeded"))
+        reason = F.when(~F.col("answered"), "no answer").when(F.col("told").isNull(), "no receipt").otherwise(status)
+    rows = each.withColumn("reason", F.when(F.col("tx_hash").isNull(), "no hash was asked for").otherwise(reason))
+    return rows.select(*ANSWERED, F.when(F.col("reason").isNull(), F.col("succeeded")).alias("succeeded"), "reason").unionByName(lost)
+
+
+def receipts_of(dump: DataFrame, by_place: bool = False, strict: bool = False) -> DataFrame:
+    """Sound receipts of responses; others are left out (a candidate then has no receipt), or an error with ``strict``."""
+    bad = F.raise_error(F.concat("reason", F.lit(": "), F.coalesce(F.hex("tx_hash"), F.lit("a line")))).cast("boolean") if strict else F.lit(False)
+    return receipts_answered(dump, by_place).where(F.when(F.col("reason").isNotNull(), bad).otherwise(F.lit(True))).select(*ANSWERED, "succeeded")
 
 
 def logs_of(dump: DataFrame) -> DataFrame:

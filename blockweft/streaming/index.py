@@ -17,7 +17,7 @@ Step = Callable[[DataFrame, int], None]
 Tables = Callable[[SparkSession], tuple[DataFrame, DataFrame, DataFrame]]
 
 
-def index_step(root: str, tables: Tables, monitors: Callable[[], DataFrame | list[Monitor]], batch: int, sink: Step | None = None, sources: Callable[[SparkSession], DataFrame] | None = None, tries: int = 3, pause: float = 1.0) -> Step:
+def index_step(root: str, tables: Tables, monitors: Callable[[], DataFrame | list[Monitor]], batch: int, sink: Step | None = None, sources: Callable[[SparkSession], DataFrame] | None = None, tries: int = 3, pause: float = 1.0, window: int | None = None) -> Step:
     """A step for ``run_stream`` over (chain_id, finalized_head) rows.
 
     Tables and monitors (a list or a stored registry) are asked for in every micro-batch, so new data and changes of the
@@ -26,7 +26,7 @@ def index_step(root: str, tables: Tables, monitors: Callable[[], DataFrame | lis
     (``publish.polls``) and leaves cursors where they were, so the next one takes up its blocks.
 
     ``sources`` gives what each chain's source says of itself (``registry.source_faults``), anew for each try; nothing is
-    planned for chains whose source is wrong. ``sink`` gets the payloads of a batch once it is committed, and again if
+    planned for chains whose source is wrong. ``window`` has the blocks of a request for logs (``publish.step``). ``sink`` gets the payloads of a batch once it is committed, and again if
     the batch is repeated; what fails there is recorded and never takes back a commit.
     """
 
@@ -39,7 +39,7 @@ def index_step(root: str, tables: Tables, monitors: Callable[[], DataFrame | lis
                 now = monitors()
                 now = listed(spark, now) if isinstance(now, list) else now
                 sick = registry.source_faults(newest, sources(spark)) if sources else None
-                publish.step(spark, root, batch_id, tables(spark), now, newest, batch, sick)
+                publish.step(spark, root, batch_id, tables(spark), now, newest, batch, sick, window)
                 failure = None
                 break
             except Exception as e:  # the stream outlives a failed batch, whatever made it fail

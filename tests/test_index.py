@@ -227,3 +227,97 @@ def test_logs_outside_the_range_asked_for(spark):
     # beyond the range, and without a block: the first block of the range that the monitor still needs
     assert faults(line("0x14", 10, 19), line(None, 10, 19)) == [(12, "log outside the range asked for")]
     assert faults(line("0x14", 0, 11)) == []
+
+
+def test_receipts_are_taken_for_candidates_only(spark, tmp_path, monkeypatch):
+    sent, told = chain.transactions(spark, SF), chain.receipts(spark, SF)
+    table = match.registry(spark, only(1, 8))
+    match.called(sent, table).write.parquet(f"{tmp_path}/candidates")
+    candidates = spark.read.parquet(f"{tmp_path}/candidates")
+    count = candidates.count()
+    one = candidates.select("tx_hash").orderBy("tx_hash").limit(1)
+    lost = told.join(one, "tx_hash", "left_anti").select(*told.columns)
+    twice = told.unionByName(told.join(one, "tx_hash", "left_semi").select(*told.columns))
+    shown = lambda df: sorted((r.chain_id, r.block_number, bytes(r.tx_hash), r.fault) for r in df.collect())
+    assert 0 < count < told.count() and match.sieved(told, candidates).count() == count
+    for few in (50_000, 0):  # candidates are sent to the receipts, or their marks are
+        monkeypatch.setattr(match, "BROADCAST_ROWS", few)
+        for answers in (told, lost, twice):
+            assert shown(match.settled(candidates, answers, False, count)) == shown(match.matched_calls(sent, answers, table, strict=False))
+    assert match.settled(candidates.limit(0), told, True, 0).count() == 0
+
+
+def test_a_sieve_keeps_all_candidates(spark, monkeypatch):
+    monkeypatch.setattr(match, "SIEVE_BITS", 17)
+    rows = spark.range(40_000).select((F.col("id") % 3).alias("chain_id"), F.col("id").alias("block_number"), F.sha2(F.col("id").cast("string").cast("binary"), 256).cast("binary").alias("tx_hash"), F.lit(True).alias("succeeded"))
+    some = rows.where("block_number % 7 = 3")
+    marks = {r[0] for r in some.select(match._mark()).collect()}
+    want = {r.block_number for r in rows.select("block_number", match._mark().alias("m")).collect() if r.m in marks}
+    got = [r.block_number for r in match.sieved(rows, some).collect()]
+    assert len(got) == len(set(got)) and set(got) == want >= {r.block_number for r in some.collect()} and len(want) < 12_000
+    assert match.sieved(rows, some.limit(0)).count() == 0
+
+
+def test_windows_of_ranges_are_those_of_blocks(spark):
+    planned = [(1, 1, 0, 9), (2, 1, 5, 14), (3, 1, 17, 40), (4, 1, 15, 15), (5, 8453, 7, 8), (6, 1, 41, 41), (7, 1, 0, 3)]
+    for most in (1, 4, 7, 100):
+        blocks_of = {}
+        for _, c, low, high in planned:
+            blocks_of.setdefault(c, set()).update(range(low, high + 1))
+        want = {}
+        for c, all_blocks in blocks_of.items():
+            window = []
+            for b in sorted(all_blocks):
+                if not window or b != window[-1] + 1 or len(window) == most:
+                    window = []
+                window.append(b)
+                want[c, b] = window
+        found = blocks.fetched(spark.createDataFrame(planned, publish.PLANNED), most).collect()
+        assert {(r.id, r.fetch_first, r.fetch_last) for r in found} == {(i, want[c, low][0], want[c, high][-1]) for i, c, low, high in planned}
+        assert all((r.fetch_first - r.run_first) % most == 0 and r.window == most for r in found)
+    with pytest.raises(ValueError, match="a block"):
+        blocks.fetched(spark.createDataFrame(planned, publish.PLANNED), 0)
+
+
+def test_a_removed_log_voids_its_window(spark):
+    one = only(9)[0]
+    table = match.registry(spark, [Monitor(9, 1, one.address, one.signature, 10, 16), Monitor(3, 1, contract("x"), chain.TRANSFER, 4, 30)])
+    planned = spark.createDataFrame([(9, 1, 10, 16), (3, 1, 4, 30)], publish.PLANNED)
+    windowed = table.join(blocks.fetched(planned, 5).select("id", *match.FETCHED), "id")  # 4-8, 9-13, 14-18, ...
+    schema = "block_number long, log_index long, removed boolean, has_hash boolean, first_block long, last_block long"
+
+    def faults(registry_, *logs, ranged=False):
+        rows = spark.createDataFrame(list(logs), schema).select(F.lit(1).cast("long").alias("chain_id"), "block_number", "log_index", "removed", F.when(F.col("has_hash"), F.lit(b"h" * 32)).alias("tx_hash"), F.lit(bytes.fromhex(one.address)).alias("address"), F.array(F.lit(one.target.hash)).alias("topics"), F.lit(b"").alias("data"), "first_block", "last_block")
+        return sorted((r.block_number, r.reason) for r in match.log_faults(rows if ranged else rows.drop("first_block", "last_block"), registry_).collect())
+
+    removed = lambda b: (b, 0, True, True, None, None)
+    assert faults(windowed, removed(12), removed(13)) == [(9, "removed log")]
+    assert faults(windowed, removed(9)) == [(9, "removed log")] and faults(windowed, removed(18)) == [(14, "removed log")]
+    assert faults(windowed, removed(8), removed(19)) == []  # windows in which no event is looked for
+    assert faults(windowed, (12, None, False, True, None, None), (11, 0, False, False, None, None), (9, 0, False, False, None, None)) == [(11, "log without transaction hash"), (12, "log without index")]
+    assert faults(table, removed(12), removed(9)) == [(12, "removed log")]  # without windows, its block
+    assert faults(windowed, (40, 0, False, True, 14, 18), (None, 0, False, True, 9, 13), ranged=True) == [(9, "log outside the range asked for"), (14, "log outside the range asked for")]
+    assert faults(windowed, (40, 0, False, True, 19, 23), ranged=True) == []
+
+
+def test_receipts_answer_their_requests(spark):
+    one, two, three = ("0x" + c * 64 for c in "abc")
+    told = lambda h, status="0x1": {"transactionHash": h, "status": status}
+    line = lambda number, hashes, result: json.dumps({"request": {"chain_id": 1, "number": number, "hashes": hashes}, "result": result})
+    bad = ["no json", None, json.dumps({"result": []}), json.dumps({"request": {"chain_id": 1, "number": 5}, "result": []})]
+
+    def answers(by_place, *lines):
+        rows = rpc.receipts_answered(spark.createDataFrame([(x,) for x in lines], "value string"), by_place).collect()
+        return sorted(((r.block_number, r.tx_hash and "0x" + bytes(r.tx_hash).hex(), r.succeeded, r.reason) for r in rows), key=str)
+
+    for by_place in (True, False):
+        assert [a[3] for a in answers(by_place, *bad)] == ["unreadable response"] * 4
+        assert answers(by_place, line(7, [one], None), line(8, [], [])) == [(7, one, None, "no answer")]
+        assert answers(by_place, line(7, [one, two], [told(one), told(two, None)])) == [(7, one, True, None), (7, two, None, "receipt without status")]
+        assert answers(by_place, line(7, [one, two], [told(one, "0x0")])) == [(7, one, False, None), (7, two, None, "no receipt")]
+        assert [a[3] for a in answers(by_place, line(7, ["0x12", None], [told(one), told(two)]))] in (["no hash was asked for"] * 2, ["no hash was asked for"])
+    mixed = line(7, [one, two, three], [told(two, "0x0"), None, told(three), told(three, "0x0")])
+    assert answers(True, mixed) == [(7, one, None, "another receipt than asked for"), (7, two, None, "no receipt"), (7, three, True, None)]
+    assert answers(False, mixed) == [(7, one, None, "no receipt"), (7, two, False, None), (7, three, False, None)]
+    with pytest.raises(Exception, match="no receipt: BBBB"):
+        rpc.receipts_of(spark.createDataFrame([(line(7, [one, two], [told(one)]),)], "value string"), True, True).collect()
