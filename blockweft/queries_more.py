@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -13,7 +14,7 @@ from blockweft.operators import match, publish, registry, reports, results
 from blockweft.operators.match import Monitor
 from blockweft.plans import blocks
 from blockweft.queries import AMOUNT, CENTS, CHAIN_E, CHAIN_O, EVENT, HEAD, HIGH, LOW, MEDIUM, MONITORS, ORACLE_SQL, SOUND, TX, URGENT, USUAL, calls, contract, events, only, query, shown, transfers
-from blockweft.sources import chain, rpc
+from blockweft.sources import chain, reader, rpc
 from blockweft.streaming.index import index_step
 
 ANY = Monitor(1, 1, contract(URGENT), chain.TRANSFER)
@@ -496,3 +497,47 @@ def voided_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     publish.step(spark, root, 0, (chain.transactions(spark, sf_dir), chain.receipts(spark, sf_dir), logs), WINDOWED, chain.heads(spark, sf_dir), 1 << 40, window=7)
     counts = publish.visible(spark, root).groupBy("monitor_id").agg(F.count(F.lit(1)).alias("n"))
     return publish.commits(spark, root).join(counts, "monitor_id", "left").select("monitor_id", "bad_block", "error", "cursor", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+#: Blocks of a chain that lie in one folder of the stored answers, and most logs of one answer.
+FOLDER_BLOCKS, MOST_LOGS = 1024, 300
+
+
+def stored_provider(folder: str) -> rpc.Fetch:
+    """A transport that answers from a folder of logs, parted by chain and runs of blocks, with a limit on its answers."""
+
+    def fetch(chain_id: int, low: int, high: int, addresses: list[str], topics: list[str]) -> list[str]:
+        import pyarrow.compute as pc
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(folder)
+        wanted = (pc.field("block_number") >= low) & (pc.field("block_number") <= high) & pc.field("emitter").isin(addresses) & pc.field("topic").isin(topics)
+        found: list[str] = []
+        for part in range(low // FOLDER_BLOCKS, high // FOLDER_BLOCKS + 1):
+            where = f"{place}/chain_id={chain_id}/part={part}"
+            if system.get_file_info(where).type == fs.FileType.Directory:
+                found += ds.dataset(where, filesystem=system, format="parquet").to_table(columns=["log"], filter=wanted)["log"].to_pylist()
+            if len(found) > MOST_LOGS:
+                raise rpc.RangeLimit
+        return [json.dumps({"result": [json.loads(x) for x in found]})]
+
+    return fetch
+
+
+@query(f"SELECT CAST({CHAIN_E} AS BIGINT) AS chain_id, {EVENT}, '0x' || left(sha256('contract:' || event_type), 40) AS emitter, true AS inside FROM events WHERE event_type IN ('purchase', 'error')")
+def logs_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logs of four monitors by a data source that asks a provider for ranges and halves those with too many."""
+    folder = store(spark, "provider")
+    shown_log = F.struct(*[hex0x(F.col(c)).alias(n) for n, c in (("address", "address"), ("data", "data"), ("transactionHash", "tx_hash"))], F.transform("topics", hex0x).alias("topics"), "removed",
+                         *[F.concat(F.lit("0x"), F.lower(F.hex(c))).alias(n) for n, c in (("blockNumber", "block_number"), ("logIndex", "log_index"))])
+    told = chain.logs(spark, sf_dir).select("chain_id", "block_number", F.lower(F.hex("address")).alias("emitter"), F.lower(F.hex(F.try_element_at("topics", F.lit(1)))).alias("topic"), F.to_json(shown_log).alias("log"))
+    told.withColumn("part", F.expr(f"block_number div {FOLDER_BLOCKS}")).hint("rebalance", "chain_id", "part").write.partitionBy("chain_id", "part").parquet(folder)
+    last = spark.read.parquet(folder).groupBy(F.col("chain_id").cast("long").alias("chain_id")).agg(F.max("block_number").alias("last")).collect()  # one row a chain
+    monitors = [Monitor(k, c, contract(n), chain.ACTIVITY) for k, (n, c) in enumerate(((n, c) for n in ("purchase", "error") for c in (1, 8453)), 1)]
+    text = lambda c: F.transform(c, lambda x: F.lower(F.hex(x))).alias(c)
+    groups = blocks.log_groups(blocks.log_targets(match.registry(spark, monitors))).select("chain_id", text("addresses"), text("topics")).collect()
+    ranges = [{"chain_id": r["chain_id"], "from_block": 0, "to_block": r["last"]} for r in last]
+    found = rpc.logs_of(reader.ranged_logs(spark, stored_provider(folder), ranges, [g.asDict() for g in groups]))
+    inside = F.col("block_number").between(F.col("first_block"), F.col("last_block"))
+    return found.select("chain_id", "block_number", hex0x(F.col("tx_hash")).alias("tx_hash"), "log_index", hex0x(F.col("address")).alias("emitter"), inside.alias("inside"))

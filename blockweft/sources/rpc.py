@@ -122,6 +122,22 @@ class RangeLimit(Exception):
 Fetch = Callable[[int, int, int, list[str], list[str]], list[str]]
 
 
+def halved(fetch: Fetch, chain_id: int, low: int, high: int, addresses: list[str], topics: list[str]) -> Iterator[tuple[int, int, list[str]]]:
+    """(from, to, response lines) in order of blocks; a range that meets a limit is halved, a single block that does is an error."""
+    todo = [(low, high)]
+    while todo:
+        low, high = todo.pop()
+        try:
+            lines = fetch(chain_id, low, high, addresses, topics)
+        except RangeLimit:
+            if low == high:
+                raise
+            middle = (low + high) // 2
+            todo += [(middle + 1, high), (low, middle)]
+            continue
+        yield low, high, lines
+
+
 def fetched_logs(windows: DataFrame, groups: DataFrame, fetch: Fetch) -> DataFrame:
     """(value string): log responses for block windows (chain_id, from_block, to_block) and request groups.
 
@@ -134,17 +150,7 @@ def fetched_logs(windows: DataFrame, groups: DataFrame, fetch: Fetch) -> DataFra
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for row in pdf.itertuples():
-                todo = [(int(row.from_block), int(row.to_block))]
-                while todo:
-                    low, high = todo.pop()
-                    try:
-                        lines = fetch(int(row.chain_id), low, high, list(row.addresses), list(row.topics))
-                    except RangeLimit:
-                        if low == high:
-                            raise
-                        middle = (low + high) // 2
-                        todo += [(middle + 1, high), (low, middle)]
-                        continue
+                for _, _, lines in halved(fetch, int(row.chain_id), int(row.from_block), int(row.to_block), list(row.addresses), list(row.topics)):
                     if lines:  # an empty frame has no types
                         yield pd.DataFrame({"value": lines})
 
