@@ -99,16 +99,25 @@ def dump_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpc.block_rejects(block_dump(spark, sf_dir))
 
 
-@query("""SELECT CAST(s_nationkey AS BIGINT) AS chain_id, arg_max(s_name, rank) AS name, CAST(max(n) AS INTEGER) AS n_rpcs, arg_max(urls, rank) AS urls FROM (
-  SELECT *, n * 1000000000000 - s_suppkey AS rank FROM (SELECT s_nationkey, s_name, s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END AS n,
-    'https://a' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN ',http://b' || s_suppkey ELSE '' END AS urls FROM supplier)) GROUP BY s_nationkey""")
+@query("""SELECT CAST(s_nationkey AS BIGINT) AS chain_id, arg_max(name, rank) AS name, arg_max(tvl, rank) AS tvl, CAST(max(n) AS INTEGER) AS n_rpcs, arg_max(urls, rank) AS urls FROM (
+  SELECT *, n * 1000000000000 - s_suppkey AS rank FROM (SELECT s_nationkey, s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END AS n,
+    CASE WHEN s_suppkey % 5 = 0 THEN 'chain-' || s_nationkey ELSE s_name END AS name, CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE CAST(s_acctbal AS DOUBLE) END AS tvl,
+    'https://a' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN ',http://b' || s_suppkey ELSE '' END AS urls FROM supplier
+    WHERE s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0 AND s_suppkey % 17 <> 0 AND s_suppkey % 19 <> 0 AND s_suppkey % 23 <> 0 AND s_nationkey > 0)) GROUP BY s_nationkey""")
 def endpoint_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses of each chain; entries of test networks, without ids and without a usable address are left out."""
     s = chain.table(spark, sf_dir, "supplier")
-    key = F.col("s_suppkey").cast("string")
+    k, key = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
     url = lambda *parts: F.struct(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("url"))
-    usual = F.array(url("https://a", key, " "), url("wss://c", key), url("https://d/${API_KEY}/", key), url("https://e/API_KEY/", key), url("https://a", key))
-    entries = s.select(F.col("s_nationkey").cast("long").alias("chainId"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("tvl"), F.col("s_suppkey").cast("long").alias("pos"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(usual, F.array(url("http://b", key)))).otherwise(usual).alias("rpc"))
-    return rpc.endpoint_list(entries).select("chain_id", "name", "n_rpcs", F.array_join("urls", ",").alias("urls"))
+    useless = [url("wss://c", key), url("https://d/${API_KEY}/", key), url("https://e/API_KEY/", key)]
+    usual = F.array(url("https://a", key, " "), *useless, url("https://a", key))
+    addresses = F.when(k % 23 == 0, F.array(*useless)).when(k % 3 == 0, F.concat(usual, F.array(url("http://b", key)))).otherwise(usual)
+    number = F.col("s_nationkey").cast("long")
+    entries = s.select(
+        F.when(k % 19 == 0, -number).otherwise(number).alias("chainId"), F.when(k % 17 != 0, number).alias("networkId"), (k % 11 == 0).alias("isTestnet"), F.when(k % 13 == 0, True).alias("testnet"),
+        F.when(k % 10 == 0, "").when(k % 5 != 0, F.col("s_name")).alias("name"), F.when(k % 7 != 0, F.col("s_acctbal").cast("double")).alias("tvl"), k.cast("long").alias("pos"), addresses.alias("rpc"),
+    )
+    return rpc.endpoint_list(entries).select("chain_id", "name", "tvl", "n_rpcs", F.array_join("urls", ",").alias("urls"))
 
 
 @query("""SELECT CAST(s_suppkey AS BIGINT) AS chain_id, CASE s_suppkey % 4 WHEN 2 THEN 'https://new' ELSE 'https://old' END || s_suppkey AS rpc_url,

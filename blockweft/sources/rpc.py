@@ -158,14 +158,22 @@ def fetched_logs(windows: DataFrame, groups: DataFrame, fetch: Fetch) -> DataFra
 
 
 def endpoint_list(entries: DataFrame) -> DataFrame:
-    """(chain_id, name, tvl, urls, n_rpcs) of chain entries (chainId, name, tvl, rpc array of url structs, pos).
+    """(chain_id, name, tvl, urls, n_rpcs) of chain entries (chainId, networkId, name, tvl, rpc array of url structs, pos).
 
-    Only http(s) addresses without placeholders for keys count, trimmed, each once in the order of the entry. Of
-    entries of one chain that of the most addresses stays, the first (by pos) of equals.
+    Only http(s) addresses without placeholders for keys count, trimmed, each once in the order of the entry. Entries of
+    test networks (a true isTestnet or testnet, where there are such columns), without a network id, without a positive
+    chain id and without an address that counts are left out. Of entries of one chain that of the most addresses stays,
+    the first (by pos) of equals. One without a name is called after its id, one without a value has 0.
     """
     trimmed = F.transform("rpc", lambda r: F.trim(r["url"]))
     usable = F.array_distinct(F.filter(trimmed, lambda u: u.rlike("^https?://") & ~u.contains("API_KEY") & ~u.contains("${")))
-    rows = entries.select(F.col("chainId").alias("chain_id"), "name", "tvl", "pos", F.coalesce(usable, F.expr("CAST(array() AS array<string>)")).alias("urls")).withColumn("n_rpcs", F.size("urls"))
+    test = F.lit(False)
+    for flag in ("isTestnet", "testnet"):
+        if flag in entries.columns:
+            test = test | F.coalesce(F.col(flag), F.lit(False))
+    chosen = entries.where(~test & F.col("networkId").isNotNull() & (F.col("chainId") > 0))
+    name = F.when(F.col("name") != "", F.col("name")).otherwise(F.concat(F.lit("chain-"), F.col("chainId").cast("string")))
+    rows = chosen.select(F.col("chainId").alias("chain_id"), name.alias("name"), F.coalesce("tvl", F.lit(0)).alias("tvl"), "pos", usable.alias("urls")).withColumn("n_rpcs", F.size("urls")).where("n_rpcs > 0")
     # one row a chain by a combining aggregate, not by a window that sorts all entries
-    best = rows.where("chain_id IS NOT NULL").groupBy("chain_id").agg(F.max_by(F.struct("name", "tvl", "urls", "n_rpcs"), F.struct("n_rpcs", (-F.col("pos")).alias("first"))).alias("b"))
+    best = rows.groupBy("chain_id").agg(F.max_by(F.struct("name", "tvl", "urls", "n_rpcs"), F.struct("n_rpcs", (-F.col("pos")).alias("first"))).alias("b"))
     return best.select("chain_id", "b.*")

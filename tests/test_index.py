@@ -321,3 +321,13 @@ def test_receipts_answer_their_requests(spark):
     assert answers(False, mixed) == [(7, one, None, "no receipt"), (7, two, False, None), (7, three, False, None)]
     with pytest.raises(Exception, match="no receipt: BBBB"):
         rpc.receipts_of(spark.createDataFrame([(line(7, [one, two], [told(one)]),)], "value string"), True, True).collect()
+
+
+def test_entries_of_chains(spark):
+    schema = "chainId long, networkId long, testnet boolean, name string, tvl double, rpc array<struct<url: string>>, pos long"
+    good = [("https://x",)]
+    entries = [(1, 1, None, None, None, good, 0), (1, 1, None, "later", 1.0, good, 1), (2, 2, True, "test", 1.0, good, 2), (3, None, False, "no id", 1.0, good, 3), (0, 1, None, "zero", 1.0, good, 4), (-5, 1, None, "below", 1.0, good, 5),
+               (None, 1, None, "null", 1.0, good, 6), (6, 6, None, "none", 1.0, None, 7), (7, 7, None, "empty", 1.0, [("wss://x",), (None,)], 8)]
+    found = rpc.endpoint_list(spark.createDataFrame(entries, schema)).collect()
+    assert [tuple(r) for r in found] == [(1, "chain-1", 0.0, ["https://x"], 1)]
+    assert rpc.endpoint_list(spark.createDataFrame([], schema)).count() == 0
