@@ -258,6 +258,27 @@ def test_a_sieve_keeps_all_candidates(spark, monkeypatch):
     assert match.sieved(rows, some.limit(0)).count() == 0
 
 
+def test_monitors_are_looked_up_by_their_blocks(spark):
+    sent, told, logs = chain.transactions(spark, SF), chain.receipts(spark, SF), chain.logs(spark, SF)
+    call, event = only(1)[0], only(9)[0]
+    reach = lambda k: None if k % 11 == 0 else 2 * k + (0, 0, 3, 20, 70, 5000)[k % 6]
+    many = [Monitor(k, 1, m.address, m.signature, 2 * k, reach(k), cursor=2 * k + 1 if k % 7 == 0 else None) for k in range(1, 300) for m in (call if k % 2 else event,)]
+    table = match.registry(spark, many)
+    per_block = match.indexed(sent, told, logs, [Monitor(1, 1, call.address, call.signature), Monitor(2, 1, event.address, event.signature)]).groupBy("kind", "block_number").agg(F.count(F.lit(1)).alias("n")).collect()
+    want = {}
+    for m in many:
+        low, high = max(m.start_block, (m.cursor or -1) + 1), 1 << 40 if m.end_block is None else m.end_block
+        n = sum(r.n for r in per_block if r.kind == m.target.kind and low <= r.block_number <= high)
+        want |= {m.id: n} if n else {}
+    for small in (True, False):
+        found = match.outcomes(sent, told, logs, table, strict=True, small=small).where("ok")
+        assert {r.monitor_id: r["count"] for r in found.groupBy("monitor_id").count().collect()} == want
+    # lists grow with the monitors that overlap, not with all of a target
+    narrow = match.registry(spark, [Monitor(k, 1, call.address, call.signature, k, k + 3) for k in range(1, 300)])
+    keyed = sent.where("to_addr IS NOT NULL").withColumn("hash", match.selector(F.col("input")))
+    assert 0 < match.watched(keyed, "to_addr", narrow, "call", True).agg(F.max(F.size("wanted"))).first()[0] <= 7
+
+
 def test_windows_of_ranges_are_those_of_blocks(spark):
     planned = [(1, 1, 0, 9), (2, 1, 5, 14), (3, 1, 17, 40), (4, 1, 15, 15), (5, 8453, 7, 8), (6, 1, 41, 41), (7, 1, 0, 3)]
     for most in (1, 4, 7, 100):
