@@ -215,3 +215,19 @@ def test_monitors_of_one_target_share_a_row(spark):
     matched = match.matched_calls(origin.transactions(spark, SF), origin.receipts(spark, SF), table)
     found = {r.monitor_id: r.n for r in match.decoded(matched).where("ok").groupBy("monitor_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert found[1] > found[2] > 0 and 3 not in found and matched.count() == 133
+
+
+def test_decimal_texts_at_the_edges_of_words(spark):
+    edges = {n + d for k in (0, 1, 63, 64, 65, 127, 128, 192, 255) for n in (1 << k, -(1 << k)) for d in (-1, 0, 1)}
+    rows = [(n, (n % (1 << 256)).to_bytes(32, "big")) for n in sorted(edges) if -(1 << 255) <= n < 1 << 255]
+    df = spark.createDataFrame([(str(n), w) for n, w in rows], "n string, w binary")
+    got = df.select("n", "w", abi.decimal_string(F.col("w")).alias("u"), abi.decimal_string(F.col("w"), signed=True).alias("s")).collect()
+    assert len(got) == len(rows) and all(r.s == r.n and r.u == str(int.from_bytes(r.w, "big")) for r in got)
+
+
+def test_texts_that_nobody_reads_are_not_made(spark):
+    table = match.registry(spark, chain.only(1, 9))
+    found = match.outcomes(origin.transactions(spark, SF), origin.receipts(spark, SF), origin.logs(spark, SF), table).where("ok")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" in plan(found.select("params")).lower() or "structstojson" in plan(found.select("params")).lower()
+    assert "to_json" not in plan(found.groupBy("monitor_id").count()).lower() and "structstojson" not in plan(found.groupBy("monitor_id").count()).lower()
