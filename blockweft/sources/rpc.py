@@ -26,8 +26,9 @@ def quantity(text: Column) -> Column:
 
 def data(text: Column, size: int | None = None) -> Column:
     """Hex data as binary, null if it is none or not of ``size`` bytes."""
-    digits = f"{{{size}}}" if size is not None else "*"
-    return F.when(text.rlike(f"^0x([0-9a-fA-F]{{2}}){digits}$"), F.unhex(F.substring(text, F.lit(3), F.length(text))))
+    # a class is repeated, not a group
+    whole = text.rlike("^0x[0-9a-fA-F]*$") & (F.length(text) % 2 == 0) if size is None else text.rlike(f"^0x[0-9a-fA-F]{{{2 * size}}}$")
+    return F.when(whole, F.unhex(F.substring(text, F.lit(3), F.length(text))))
 
 
 def parsed(dump: DataFrame, schema: str) -> DataFrame:
@@ -71,25 +72,35 @@ def receipts_answered(dump: DataFrame, by_place: bool = False) -> DataFrame:
     receipts of a block in any order, of which the asked ones are taken; of two receipts of one hash the later counts.
     ``reason`` is null where an answer is sound. A line that can't be read is a row with nothing but its reason.
     """
-    told = parsed(dump, RECEIPTS).select(F.col("request.chain_id").alias("chain_id"), F.col("request.number").alias("block_number"), F.col("request.hashes").alias("hashes"), "result")
+    # a line is read once, and its answers go on as the rows of one array
+    line = dump.select(F.inline(F.array(F.from_json("value", RECEIPTS))))
+    told = line.select(F.col("request.chain_id").alias("chain_id"), F.col("request.number").alias("block_number"), F.col("request.hashes").alias("hashes"), "result", F.col("result").isNotNull().alias("answered"))
     unread = F.col("chain_id").isNull() | F.col("block_number").isNull() | F.col("hashes").isNull()
-    lost = told.where(unread).select("chain_id", "block_number", F.lit(None).cast("binary").alias("tx_hash"), F.lit(None).cast("boolean").alias("succeeded"), F.lit("unreadable response").alias("reason"))
-    sound = told.where(~unread)
-    state = lambda t: quantity(t["status"]) == 1
     status = F.when(F.col("succeeded").isNull(), "receipt without status")
+    none = lambda kind: F.lit(None).cast(kind)
+    entry = lambda asked, text, own, place, code, unread=False: F.struct(F.lit(unread).alias("unread"), asked.alias("asked"), text.alias("text"), own.alias("own"), place.alias("place"), code.alias("status"))
+    lost = F.array(entry(F.lit(True), none("string"), none("string"), none("int"), none("string"), unread=True))
     if by_place:
-        each = sound.select("chain_id", "block_number", F.col("result").isNotNull().alias("answered"), F.posexplode("hashes").alias("place", "hash"), "result").withColumn("t", F.get("result", F.col("place")))
-        each = each.select("chain_id", "block_number", "answered", data(F.col("hash"), 32).alias("tx_hash"), data(F.col("t.transactionHash"), 32).alias("own"), F.col("t").isNotNull().alias("found"), state(F.col("t")).alias("succeeded"))
-        reason = F.when(~F.col("answered"), "no answer").when(~F.col("found"), "no receipt").when(~F.coalesce(F.col("own") == F.col("tx_hash"), F.lit(False)), "another receipt than asked for").otherwise(status)
+        entries = F.transform("hashes", lambda h, k: entry(F.lit(True), h, F.get("result", k)["transactionHash"], F.when(F.get("result", k).isNotNull(), k), F.get("result", k)["status"]))
     else:
         # asked and told hashes meet in one group, so a block of any size is linear
-        asked = sound.select("chain_id", "block_number", F.explode("hashes").alias("hash"), F.col("result").isNotNull().alias("answered")).select("chain_id", "block_number", data(F.col("hash"), 32).alias("tx_hash"), "answered")
-        given = sound.select("chain_id", "block_number", F.posexplode("result").alias("place", "t")).select("chain_id", "block_number", data(F.col("t.transactionHash"), 32).alias("tx_hash"), F.struct("place", state(F.col("t")).alias("succeeded")).alias("told"))
-        both = asked.withColumn("told", F.lit(None).cast("struct<place: int, succeeded: boolean>")).unionByName(given.withColumn("answered", F.lit(None).cast("boolean")))
-        each = both.groupBy(*ANSWERED).agg(F.bool_or("answered").alias("answered"), F.max("told").alias("told")).where("answered IS NOT NULL").withColumn("succeeded", F.col("told.succeeded"))
+        asked = F.transform("hashes", lambda h: entry(F.lit(True), h, none("string"), none("int"), none("string")))
+        given = F.transform("result", lambda t, k: entry(F.lit(False), t["transactionHash"], none("string"), k, t["status"]))
+        entries = F.when(F.col("answered"), F.concat(asked, given)).otherwise(asked)
+    each = told.select("chain_id", "block_number", "answered", F.inline(F.when(unread, lost).otherwise(entries)))
+    each = each.select("chain_id", "block_number", "answered", "unread", "asked", "place", data(F.col("text"), 32).alias("tx_hash"), data(F.col("own"), 32).alias("own"), (quantity(F.col("status")) == 1).alias("succeeded"))
+    if by_place:
+        found, right = F.col("place").isNotNull(), F.coalesce(F.col("own") == F.col("tx_hash"), F.lit(False))
+        reason = F.when(~F.col("answered"), "no answer").when(~found, "no receipt").when(~right, "another receipt than asked for").otherwise(status)
+    else:
+        # the place and the status of a receipt as one number, as numbers are combined without a sort; lines that can't be read keep apart
+        told_as = F.when(~F.col("asked"), F.col("place").cast("long") * 4 + F.when(F.col("succeeded").isNull(), 0).when(F.col("succeeded"), 2).otherwise(1))
+        alone = F.when(F.col("unread"), F.monotonically_increasing_id())
+        sums = each.withColumn("_alone", alone).groupBy(*ANSWERED, "_alone").agg(F.bool_or(F.when(F.col("asked"), F.col("answered"))).alias("answered"), F.max(told_as).alias("told"))
+        each = sums.where("answered IS NOT NULL").withColumn("unread", F.col("_alone").isNotNull()).withColumn("succeeded", F.when(F.col("told") % 4 > 0, F.col("told") % 4 == 2))
         reason = F.when(~F.col("answered"), "no answer").when(F.col("told").isNull(), "no receipt").otherwise(status)
-    rows = each.withColumn("reason", F.when(F.col("tx_hash").isNull(), "no hash was asked for").otherwise(reason))
-    return rows.select(*ANSWERED, F.when(F.col("reason").isNull(), F.col("succeeded")).alias("succeeded"), "reason").unionByName(lost)
+    rows = each.withColumn("reason", F.when(F.col("unread"), "unreadable response").when(F.col("tx_hash").isNull(), "no hash was asked for").otherwise(reason))
+    return rows.select(*ANSWERED, F.when(F.col("reason").isNull(), F.col("succeeded")).alias("succeeded"), "reason")
 
 
 def receipts_of(dump: DataFrame, by_place: bool = False, strict: bool = False) -> DataFrame:

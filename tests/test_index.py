@@ -344,6 +344,17 @@ def test_receipts_answer_their_requests(spark):
         rpc.receipts_of(spark.createDataFrame([(line(7, [one, two], [told(one)]),)], "value string"), True, True).collect()
 
 
+def test_responses_with_receipts_are_read_once(spark):
+    lines = spark.createDataFrame([("{}",)], "value string")
+    for by_place in (True, False):
+        plan = rpc.receipts_answered(lines, by_place)._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert plan.count("from_json(") + plan.count("jsontostructs(") == 1
+    hexes = ["0x" + "aB" * 32, "0x" + "ab" * 31, "0x" + "ab" * 33, "0x" + "a" * 63, "ab" * 33, "0x" + "ag" * 32, "0x", None]
+    df = spark.createDataFrame([(k, h) for k, h in enumerate(hexes)], "k int, h string")
+    assert [r.k for r in df.where(rpc.data(F.col("h"), 32).isNotNull()).orderBy("k").collect()] == [0]
+    assert [r.k for r in df.where(rpc.data(F.col("h")).isNotNull()).orderBy("k").collect()] == [0, 1, 2, 6]
+
+
 def test_entries_of_chains(spark):
     schema = "chainId long, networkId long, testnet boolean, name string, tvl double, rpc array<struct<url: string>>, pos long"
     good = [("https://x",)]
