@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,6 +22,8 @@ SHORTEST = 4
 NUM, NAME, UNIT = "", "", ""
 NUMBER = r"(?<![\p{L}\p{N}.,:/+-])[+-]?\p{Nd}+(?:[.,:/]\p{Nd}+)*"
 UNITS = r"(?:km|cm|mm|m|mi|miles?|metres?|meters?|feet|ft|inch(?:es)?|kg|g|mg|grams?|lbs?|pounds?|tons?|l|ml|lit(?:re|er)s?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|usd|eur|percent|degrees?|kwh|kw|w|v|hz|mb|gb|tb|mph|kmh)"
+#: All words that UNITS has.
+UNIT_WORDS = frozenset("km cm mm m mi mile miles metre metres meter meters foot feet ft inch inches kg g mg gram grams lb lbs pound pounds ton tons l ml liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars euro euros cent cents usd eur percent degree degrees kwh kw w v hz mb gb tb mph kmh".split())
 #: A capitalised word, or up to seven, within a sentence: after a lower case letter or comma and a space.
 PROPER = r"(?<=[\p{Ll},;] )\p{Lu}\p{L}*(?: \p{Lu}\p{L}*){0,6}"
 #: A capitalised word elsewhere, as at the start of a sentence, line or quotation, and the capitalised words behind it;
@@ -82,9 +85,9 @@ def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(F.rlike(w, F.lit(f"^[{NUM}{NAME}{UNIT}]")), F.substring(w, 1, 1)).otherwise(w))
 
 
-def template_hashes(text: Column, names: tuple[list[str], list[str]] = ([], [])) -> Column:
-    """Hashes of the template's words, for whole corpora: like ``template(marked_words(text, names))`` without the values."""
-    t = F.translate(F.coalesce(text, F.lit("")), OPEN + REST, "")
+def template_words(text: Column, names: tuple[list[str], list[str]] = ([], [])) -> Column:
+    """The template's words, for whole corpora: like ``template(marked_words(text, names))`` without the values."""
+    t = unmarked(text)
     t = F.regexp_replace(t, OPENER.replace("{0,6}", "{1,6}"), f" {OPEN}$1{REST} ")
     t = F.regexp_replace(t, f"(?<!{OPEN})" + OPENER, f" {OPEN}$1 ")
     t = F.regexp_replace(t, PROPER, f" {NAME} ")
@@ -97,7 +100,40 @@ def template_hashes(text: Column, names: tuple[list[str], list[str]] = ([], []))
         known, name = head.isin(names[1]), F.lit(NAME)
         return F.when(w.startswith(OPEN), F.when(~known, F.array(name)).when(w.endswith(REST), F.array(head, name)).otherwise(F.array(head))).when(w.isin(names[0]), F.array(name)).otherwise(F.array(w))
 
-    return F.transform(F.flatten(F.transform(F.filter(words, lambda w: w != ""), shown)), lambda w: F.xxhash64(w))
+    return F.flatten(F.transform(F.filter(words, lambda w: w != ""), shown))
+
+
+def template_hashes(text: Column, names: tuple[list[str], list[str]] = ([], [])) -> Column:
+    """Hashes of ``template_words``."""
+    return F.transform(template_words(text, names), lambda w: F.xxhash64(w))
+
+
+def unmarked(text: Column) -> Column:
+    """A text, null as empty, without the marks of opening words."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(t.contains(OPEN) | t.contains(REST), F.translate(t, OPEN + REST, "")).otherwise(t)
+
+
+def thinned(text: Column, known: list[str], least: int) -> Column:
+    """A text with the same windows of ``known`` words, of ``least`` words or more, and far fewer others.
+
+    ``known`` are the lower case words that windows may have, besides placeholders, and those that become placeholders.
+    Any other word of small letters alone is in no such window. It becomes a gap, a word that is not known either, with a
+    point where it ends a sentence; of the words before and behind it that is all that names, numbers and units look
+    at. Gaps with fewer than ``least`` words of one capital at most between them become one.
+    """
+    gap = next(g for n in count(1) if (g := "x" * n) not in known)
+    ends = "[.,;:!?]"
+
+    def kept(w: Column) -> Column:
+        bare = F.regexp_replace(w, rf"{ends}+\z", "")
+        other = F.rlike(w, F.lit(rf"^[a-z\p{{Ll}}]+{ends}+\z")) & ~bare.isin(known)
+        return F.when(w.isin(known), w).when(F.rlike(w, F.lit(r"^[a-z\p{Ll}]+\z")), gap).when(other, F.when(F.rlike(w, F.lit(r"[,;]\z")), gap).otherwise(f"{gap}.")).otherwise(w)
+
+    t = F.array_join(F.transform(F.split(unmarked(text), " "), kept), " ")
+    # a capital that two characters are the small form of would make two words; possessive, as long runs are to take no stack
+    between = rf"(?:[|\"'(\[]*[\p{{Lu}}&&[^İ]]?[a-z\p{{Ll}}]*[|\"')\].,;:!?]* ){{0,{least - 1}}}"
+    return F.regexp_replace(t, rf"(?<![^ ]){gap}\.?(?: {between}({gap}\.?)(?![^ ]))++", "$1")
 
 
 def windows(hashes: Column, width: int) -> Column:
@@ -161,15 +197,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     nothing; rows that repeat a doc_id count as one document, found if one of them leaks; equal items are each
     reported; an empty table gives an empty result; texts of any length are read whole; other columns are ignored.
 
-    Every window of a document meets the different windows of all items, at most once each, so what comes of it is no
-    more than the documents' windows. A document that holds ``coverage`` of an item's windows holds one of its rarest
+    Words of small letters that no item has are gaps, which no window spans (``thinned``), so patterns and windows are
+    worked out for what is left of a text. Every window of that meets the different windows of all items, at most once
+    each, so what comes of it is no more than the documents' windows. A document that holds ``coverage`` of an item's windows holds one of its rarest
     as well, counted in the documents, once more than 1 - coverage of them are taken; only these lead to candidates, so
     windows of placeholders that many items and documents share are hardly ever followed. Items of one template are
     one for this search.
     """
     names = vocabulary(benchmark)
     items = benchmark.select("item_id", "text", marked_words(F.col("text"), names).alias("item_words"))
-    items = pin(items, h=template_hashes(F.col("text"), names)).where((F.size("h") >= SHORTEST) & (F.size("item_words") >= SHORTEST)).drop("text")
+    items = pin(items, shown=template_words(F.col("text"), names))
+    items = pin(items, h=F.transform("shown", lambda w: F.xxhash64(w))).where((F.size("h") >= SHORTEST) & (F.size("item_words") >= SHORTEST)).drop("text")
     # short items have a width of their own
     items = items.withColumn("width", F.least(F.size("h"), F.size("item_words"), F.lit(window)))
     items = cut(items.withColumn("template", F.xxhash64("width", "h")), "leak-items")
@@ -178,7 +216,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
         return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, coverage double, n_slots int, n_changed int")
     each = [items.where(F.col("width") == w).dropDuplicates(["template"]).select("template", F.explode(windows(F.col("h"), w)).alias("window")) for w in widths]
     held = cut(reduce(DataFrame.unionByName, each).groupBy("template", "window").agg(F.count(F.lit(1)).alias("m")), "leak-windows")
-    base = pin(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), h=template_hashes(F.col("text"), names)).drop("text")
+    known = {r[0] for r in items.select(F.explode("shown")).distinct().collect()} | set(names[0]) | UNIT_WORDS
+    thin = pin(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), thin=thinned(F.col("text"), sorted(known), widths[0])).drop("text")
+    base = pin(thin, h=template_hashes(F.col("thin"), names)).drop("thin")
     seen = base.select("doc_id", F.explode(F.concat(*[windows(F.col("h"), w) for w in widths])).alias("window"))
     # the windows are a written table, whose size decides between a broadcast and a shuffle
     met = cut(seen.join(cut(held.select("window").distinct(), "leak-keys"), "window").distinct(), "leak-met")

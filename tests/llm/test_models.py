@@ -253,3 +253,25 @@ def test_numbers_alone_are_no_leak_and_long_texts_take_seconds(spark):
     found = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, items).collect()}
     assert set(found) == {(1, 1), (2, 2), (4, 2)} and time.time() - began < 60
     assert found[2, 2].n_changed == 2 and found[4, 2].n_changed == 0
+
+
+def test_gaps_keep_all_windows_of_known_words(spark):
+    texts = [
+        "Soon after qqa, Big Ben rang qqb. The red fox has 5 km of qqc and the red fox. McDonald donald has the red",
+        "qqa qqb the red qqc fox The red qqd qqe. Zoe has the red fox has\n The red fox, qqf; Ann has the red",
+        "\u0130zmir has qqa \u0130zmir has qqb the\ue0f1 red fox qqa! Ann qqb \"The\" red\tfox has 3rd (qqc) 7 qqd",
+        "qqa\n The red qqb: The red 5 m. The red x x. the red qqc 5 x the red | qqd | Ann Ben Cid qqe qqf, 3.5 qqg",
+        "",
+        "qqa " * 30_000 + "the red fox has the red",
+    ]
+    names, known = (["ben"], ["the", "red", "fox", "has", "donald"]), ["ben", "donald", "fox", "has", "km", "m", "rd", "red", "the"]
+    marks = "".join((decontaminate.NUM, decontaminate.NAME, decontaminate.UNIT))
+    for least in (2, 4, 6):
+        thin = decontaminate.thinned(F.col("text"), known, least)
+        held = spark.createDataFrame([(t,) for t in texts], "text string").select(thin.alias("thin"), decontaminate.template_words(F.col("text"), names).alias("whole"), decontaminate.template_words(thin, names).alias("left")).collect()
+
+        def seen(words):
+            return {tuple(words[k : k + least]) for k in range(len(words) - least + 1) if all(w in known or w in marks for w in words[k : k + least])}
+
+        assert [seen(r.left) for r in held] == [seen(r.whole) for r in held]
+        assert len(held[-1].thin) < 40 and sum(len(seen(r.whole)) for r in held) > 10
