@@ -363,3 +363,24 @@ def test_entries_of_chains(spark):
     found = rpc.endpoint_list(spark.createDataFrame(entries, schema)).collect()
     assert [tuple(r) for r in found] == [(1, "chain-1", 0.0, ["https://x"], 1)]
     assert rpc.endpoint_list(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_nothing_behind_the_first_faulty_log_is_decoded(spark, tmp_path):
+    def keep(name, table):
+        table.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    sent, told, logs = tables(spark)
+    monitors = match.registry(spark, only(1, 9))
+    late = (F.col("block_number") > 20) & (F.col("block_number") % 3 == 0)
+    found = match.outcomes(sent, told, logs.withColumn("removed", late), monitors, keep=keep).cache()
+    bad = found.where("fault IS NOT NULL").agg(F.min("block_number")).first()[0]
+    assert found.agg(F.max("block_number")).first()[0] == bad > 20
+    below = match.outcomes(sent, told, logs, monitors).where(F.col("block_number") < bad)
+    assert rows(found.where(F.col("block_number") < bad)) == rows(below) and below.select("kind").distinct().count() == 2
+
+
+def test_filters_on_blocks_come_before_the_other_columns(spark):
+    for table in (chain.transactions(spark, SF), chain.logs(spark, SF)):
+        plan = table.where("chain_id = 1 AND block_number < 5")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate inline") < plan.index("Filter")  # the filter lies below
